@@ -4,6 +4,8 @@ A plain ``lag`` sorts a whole key in one task. Here a key is cut into segments o
 order column; each (key, segment) is looked at on its own and the first row of a
 segment takes what the nearest earlier segment of the key ended with. The second pass
 sees one row per (key, segment). Results equal the plain window functions.
+
+Both passes hang on the same exchange by (key, segment), so the rows are produced once.
 """
 
 from __future__ import annotations
@@ -16,37 +18,33 @@ def with_previous(
     rows: DataFrame, keys: list[str], order: list[str], values: list[str], segment: Column, name: str = "prev"
 ) -> DataFrame:
     """Adds ``name``: struct of ``values`` of the row before, NULL on the first row of a key."""
-    rows = rows.withColumn("_seg", segment)
     inside = Window.partitionBy(*keys, "_seg").orderBy(*order)
-    looked = rows.withColumn("_lag", F.lag(F.struct(*values)).over(inside))
-    last = rows.groupBy(*keys, "_seg").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_tail"))
+    looked = rows.withColumn("_seg", segment).select(
+        "*", F.lag(F.struct(*values)).over(inside).alias("_lag"), F.lead(F.lit(1)).over(inside).isNull().alias("_ends")
+    )
+    tails = looked.filter("_ends").select(*keys, "_seg", F.struct(*values).alias("_tail"))
     across = Window.partitionBy(*keys).orderBy("_seg")
-    carried = last.select(*keys, "_seg", F.lag("_tail").over(across).alias("_carry"))
+    carried = tails.select(*keys, "_seg", F.lag("_tail").over(across).alias("_carry"))
     joined = looked.join(carried, [*keys, "_seg"], "left")
-    return joined.withColumn(name, F.coalesce("_lag", "_carry")).drop("_seg", "_lag", "_carry")
+    return joined.withColumn(name, F.coalesce("_lag", "_carry")).drop("_seg", "_lag", "_carry", "_ends")
 
 
 def with_last_known(
     rows: DataFrame, keys: list[str], order: list[str], value: Column, segment: Column, name: str = "last_known"
 ) -> DataFrame:
     """Adds the latest non-NULL ``value`` at or before each row of its key."""
-    rows = rows.withColumn("_seg", segment).withColumn("_val", value)
-    ordering = ", ".join(order)
-    parts = ", ".join([*keys, "_seg"])
-    looked = rows.withColumn(
-        "_here",
+    parts, ordering = ", ".join([*keys, "_seg"]), ", ".join(order)
+    inside = Window.partitionBy(*keys, "_seg").orderBy(*order)
+    looked = rows.withColumn("_seg", segment).withColumn("_val", value).select(
+        "*",
         F.expr(
             f"last(_val) IGNORE NULLS OVER (PARTITION BY {parts} ORDER BY {ordering} "
             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-        ),
-    )
-    tail = (
-        rows.filter(F.col("_val").isNotNull())
-        .groupBy(*keys, "_seg")
-        .agg(F.max_by("_val", F.struct(*order)).alias("_tail"))
+        ).alias("_here"),
+        F.lead(F.lit(1)).over(inside).isNull().alias("_ends"),
     )
-    segments = rows.select(*keys, "_seg").distinct().join(tail, [*keys, "_seg"], "left")
-    carried = segments.select(
+    tails = looked.filter("_ends").select(*keys, "_seg", F.col("_here").alias("_tail"))
+    carried = tails.select(
         *keys, "_seg",
         F.expr(
             f"last(_tail) IGNORE NULLS OVER (PARTITION BY {', '.join(keys)} ORDER BY _seg "
@@ -54,4 +52,4 @@ def with_last_known(
         ).alias("_carry"),
     )
     joined = looked.join(carried, [*keys, "_seg"], "left")
-    return joined.withColumn(name, F.coalesce("_here", "_carry")).drop("_seg", "_val", "_here", "_carry")
+    return joined.withColumn(name, F.coalesce("_here", "_carry")).drop("_seg", "_val", "_here", "_carry", "_ends")

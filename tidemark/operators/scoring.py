@@ -134,7 +134,8 @@ def classify_changes(
     lowered = F.lower(text)
     data = changes
     for name, each in rules.items():
-        hits = F.array(*[F.least(F.regexp_count(lowered, F.lit(p)), F.lit(cap)) for p, _ in each])
+        # Splitting into at most cap + 1 parts counts up to cap matches and then stops reading.
+        hits = F.array(*[F.size(F.split(lowered, p, cap + 1)) - 1 for p, _ in each])
         data = data.withColumn(f"_hits_{name}", hits)
     scored = []
     for order, (name, each) in enumerate(rules.items()):

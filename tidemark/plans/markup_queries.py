@@ -67,7 +67,8 @@ def _page_segment() -> Column:
 
 
 def _statuses(spark, sf):
-    return page_scan.capture_status(page_scan.snapshot_table(sample.captures(spark, sf)), PAGE_ORDER, _page_segment())
+    narrow = page_scan.snapshot_table(sample.captures(spark, sf)).drop("norm_text", "norm_lines")
+    return page_scan.capture_status(cut_lineage(narrow), PAGE_ORDER, _page_segment())
 
 
 @query("token_census", f"WITH {TOKENS_SQL} " + """

@@ -44,8 +44,7 @@ def incremental_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "source_id", "title", "article_url", F.col("title").alias("body_text"), F.col("created_at").alias("found_at"),
         F.col("id").alias("idx"),
     )
-    quarter = F.floor(F.col("id") * DROPS / (F.lit(1) + F.col("id").cast("bigint") + F.col("id") % 7))
-    stream = in_drops(found, root, F.least(quarter, F.lit(DROPS - 1)))
+    stream = in_drops(found, root, F.col("id") % DROPS)
     options = {"relevant": markup_queries.SAMPLE_RELEVANT, "irrelevant": markup_queries.SAMPLE_IRRELEVANT}
     scan_stream.start_press(stream, root, options, {"ends": ".!?", "keywords": markup_queries.SAMPLE_RELEVANT}).awaitTermination()
     rows = scan_stream.stored_articles(spark, root)
