@@ -5,7 +5,9 @@ order column; each (key, segment) is looked at on its own and the first row of a
 segment takes what the nearest earlier segment of the key ended with. The second pass
 sees one row per (key, segment). Results equal the plain window functions.
 
-Both passes hang on the same exchange by (key, segment), so the rows are produced once.
+Both passes hang on the same exchange by (key, segment), so the rows are produced once
+as long as they hold no columns beyond keys, order and values. Rows without a key form a
+group of their own, as they do in a window.
 """
 
 from __future__ import annotations
@@ -14,6 +16,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _with_carry(looked: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    """Joins the carried value of each (key, segment).
+
+    The comparison is null-safe. That keeps rows without a key, and it keeps the optimiser
+    from adding a not-null filter on one side only, which would undo the shared exchange.
+    """
+    names = [*keys, "_seg"]
+    right = carried.select(*[F.col(k).alias(f"_r_{k}") for k in names], "_carry")
+    same = None
+    for k in names:
+        test = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        same = test if same is None else same & test
+    return looked.join(right, same, "inner").drop(*[f"_r_{k}" for k in names])
+
+
 def with_previous(
     rows: DataFrame, keys: list[str], order: list[str], values: list[str], segment: Column, name: str = "prev"
 ) -> DataFrame:
@@ -25,7 +42,7 @@ def with_previous(
     tails = looked.filter("_ends").select(*keys, "_seg", F.struct(*values).alias("_tail"))
     across = Window.partitionBy(*keys).orderBy("_seg")
     carried = tails.select(*keys, "_seg", F.lag("_tail").over(across).alias("_carry"))
-    joined = looked.join(carried, [*keys, "_seg"], "left")
+    joined = _with_carry(looked, carried, keys)
     return joined.withColumn(name, F.coalesce("_lag", "_carry")).drop("_seg", "_lag", "_carry", "_ends")
 
 
@@ -51,5 +68,5 @@ def with_last_known(
             "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         ).alias("_carry"),
     )
-    joined = looked.join(carried, [*keys, "_seg"], "left")
+    joined = _with_carry(looked, carried, keys)
     return joined.withColumn(name, F.coalesce("_here", "_carry")).drop("_seg", "_val", "_here", "_carry", "_ends")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import cut, lookup
+from tidemark.functions.text import chain, cut, lookup
 
 # Fixed values of the digest.
 CATEGORY_LABELS = {"CRO": "CRO", "AD_PRODUCT": "広告商品", "SEO": "SEO", "AI": "AI機能", "OTHER": "その他"}
@@ -85,37 +85,48 @@ def digest_rows(digest: DataFrame, scans: DataFrame) -> DataFrame:
         lookup(F.col("category"), CATEGORY_LABELS, F.lit("その他")), short,
     )
     compact = F.format_string("• %s (%s): %s", service, label, cut(F.col("summary"), 60))
-    row = lambda frame, part, item, text: frame.select(
+    named = lambda part, item, text: F.struct(
         F.lit(part).alias("part"), item.cast("bigint").alias("item"), text.alias("text")
     )
-    none = F.lit(0)
-    parts = [
-        row(
-            digest.agg(F.count(F.lit(1)).alias("n")).filter("n > 0"), 0, none,
-            F.format_string("🔍 競合変更レポート (%d箇所)", F.col("n")),
-        )
-    ]
+    none, n = F.lit(0), F.col("n")
+    # Changes: one row each, and the headings from the number of URLs per priority.
+    tier_no = chain([(F.col("priority") == tier, F.lit(10 * i)) for i, (tier, _) in enumerate(TIERS, 1)])
+    blocks = digest.select(
+        (tier_no + 1).alias("part"), F.col("first_seen").cast("bigint").alias("item"),
+        F.when(F.col("priority") == "low", compact).otherwise(block).alias("text"),
+    ).filter(F.col("part").isNotNull())
+    counted = digest.rollup("priority").agg(F.count(F.lit(1)).alias("n"), F.grouping("priority").alias("_all"))
+    title = F.when((F.col("_all") == 1) & (n > 0), named(0, none, F.format_string("🔍 競合変更レポート (%d箇所)", n)))
     for i, (tier, heading) in enumerate(TIERS, 1):
-        of_tier = digest.filter(F.col("priority") == tier)
-        parts.append(row(of_tier.agg(F.count(F.lit(1)).alias("n")).filter("n > 0"), 10 * i, none, F.lit(heading)))
-        parts.append(row(of_tier, 10 * i + 1, F.col("first_seen"), compact if tier == "low" else block))
-    rotated = scans.filter("url_rotated")
-    missing = scans.filter(F.col("status").endswith("_no_fallback") | (F.col("status") == "expired_no_valid_fallback"))
-    for part, frame, heading, tail in (
-        (40, rotated, "*🔄 物件URL自動切替: %d件*", F.coalesce("new_url", F.lit("N/A"))),
-        (50, missing, "*⚠️ URL切替失敗（要手動対応）: %d件*", F.col("url")),
-    ):
-        total = frame.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-        parts.append(row(total, part, none, F.format_string(heading, F.col("n"))))
-        parts.append(row(frame, part + 1, F.col("scan_no"), F.format_string("• %s (%s): %s", F.col("service"), F.col("device"), tail)))
-    failures = scans.agg(
-        F.count_if(F.col("status") == "rendering_failure").alias("n"), F.count(F.lit(1)).alias("all")
-    ).filter((F.col("n") >= F.col("all") * 0.3) & (F.col("all") > 0))
-    parts.append(row(failures, 60, none, F.format_string("*🔧 レンダリング失敗（誤検知除外）: %d件*", F.col("n"))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        title = title.when((F.col("_all") == 0) & (F.col("priority") == tier), named(10 * i, none, F.lit(heading)))
+    headings = counted.select(title.alias("_h")).filter(F.col("_h").isNotNull()).select("_h.*")
+    # Scans: one pass for the rows, one for the totals.
+    rotated = F.coalesce(F.col("url_rotated"), F.lit(False))
+    missing = F.col("status").endswith("_no_fallback") | (F.col("status") == "expired_no_valid_fallback")
+    told = lambda tail: F.format_string("• %s (%s): %s", F.col("service"), F.col("device"), tail)
+    lines = F.array_compact(
+        F.array(
+            F.when(rotated, named(41, F.col("scan_no"), told(F.coalesce("new_url", F.lit("N/A"))))),
+            F.when(missing, named(51, F.col("scan_no"), told(F.col("url")))),
+        )
+    )
+    each = scans.filter(rotated | missing).select(F.explode(lines).alias("_l")).select("_l.*")
+    totals = scans.agg(
+        F.count_if(rotated).alias("r"), F.count_if(missing).alias("m"), F.count(F.lit(1)).alias("all"),
+        F.count_if(F.col("status") == "rendering_failure").alias("f"),
+    )
+    sums = F.array_compact(
+        F.array(
+            F.when(F.col("r") > 0, named(40, none, F.format_string("*🔄 物件URL自動切替: %d件*", F.col("r")))),
+            F.when(F.col("m") > 0, named(50, none, F.format_string("*⚠️ URL切替失敗（要手動対応）: %d件*", F.col("m")))),
+            F.when(
+                (F.col("all") > 0) & (F.col("f") >= F.col("all") * 0.3),
+                named(60, none, F.format_string("*🔧 レンダリング失敗（誤検知除外）: %d件*", F.col("f"))),
+            ),
+        )
+    )
+    summed = totals.select(F.explode(sums).alias("_s")).select("_s.*")
+    return headings.unionByName(blocks).unionByName(each).unionByName(summed)
 
 
 def dashboard(changes: DataFrame, pages: DataFrame, services: DataFrame, main_category: str = "real_estate") -> DataFrame:
@@ -127,13 +138,15 @@ def dashboard(changes: DataFrame, pages: DataFrame, services: DataFrame, main_ca
         services.select(F.col("id").alias("service_id"), "category"), "service_id"
     )
     main, other = F.col("category") == main_category, ~F.col("category").eqNullSafe(main_category)
-    running = live(services)
-    return changes.agg(n.alias("total_changes")).select(
-        "total_changes", live(pages).agg(n).scalar().alias("active_pages"),
-        running.agg(F.count_if(main)).scalar().alias("main_services"),
-        running.agg(F.count_if(F.col("category") == "other")).scalar().alias("other_services"),
-        last.agg(F.count_if(main)).scalar().alias("recent_main"),
-        last.agg(F.count_if(other)).scalar().alias("recent_other"),
+    both = lambda first, second: F.struct(F.count_if(first).alias("a"), F.count_if(second).alias("b")).alias("s")
+    of_services = live(services).agg(both(main, F.col("category") == "other")).scalar()
+    of_last = last.agg(both(main, other)).scalar()
+    totals = changes.agg(n.alias("total_changes")).select(
+        "total_changes", live(pages).agg(n).scalar().alias("active_pages"), of_services.alias("_s"), of_last.alias("_l")
+    )
+    return totals.select(
+        "total_changes", "active_pages", F.col("_s.a").alias("main_services"), F.col("_s.b").alias("other_services"),
+        F.col("_l.a").alias("recent_main"), F.col("_l.b").alias("recent_other"),
     )
 
 

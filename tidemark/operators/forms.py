@@ -132,15 +132,15 @@ def form_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
     # What stands beside a form: the element after it and the elements before it.
     siblings = Window.partitionBy(key, "_parent").orderBy("idx")
     rows = rows.withColumn("_parent", parent)
-    elements = rows.filter(F.col("kind") != "text")
-    elements = elements.withColumn(
-        "_next", F.lead(F.struct("tag", "text")).over(siblings)
+    rows = rows.withColumn("_beside", F.when(F.col("kind") != "text", F.struct("tag", "text"))).withColumn(
+        "_next", F.expr(f"lead(_beside, 1) IGNORE NULLS OVER (PARTITION BY {key}, _parent ORDER BY idx)")
     ).withColumn(
         "_bar_before",
         F.max(F.col("cls").rlike(fixed.PROGRESS_BEFORE_CLASS).cast("int")).over(
             siblings.rowsBetween(Window.unboundedPreceding, -1)
         ),
     )
+    elements = rows.filter(F.col("kind") != "text")
     # Step indicators count list items below them, else their direct children.
     children = elements.groupBy(key, F.col("_parent").alias("idx")).agg(F.count(F.lit(1)).alias("_children"))
     step = F.col("cls").rlike(fixed.STEP_CLASS)
@@ -150,16 +150,6 @@ def form_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
         .filter(F.col("_items") >= 2)
         .groupBy(key, F.col("form.idx").alias("form_idx")).agg(F.min_by("_items", "idx").alias("_step_items"))
     )
-    is_form = F.col("tag") == "form"
-    own = elements.filter(is_form).select(
-        key, F.col("idx").alias("form_idx"), _attr("action").alias("action"),
-        F.upper(F.coalesce(attribute(F.col("attrs"), "method"), F.lit("GET"))).alias("method"),
-        _has("novalidate").alias("_novalidate"), inside("fieldset").alias("_fieldsets"),
-        F.coalesce(F.col("_bar_before") == 1, F.lit(False)).alias("_bar_before"),
-        F.col("_next.text").alias("_after"), F.col("up_1.idx").alias("_area"), F.col("up_1.cls").alias("_area_cls"),
-        F.col("end_idx").alias("_form_end"), F.col("token").rlike(fixed.REALTIME_VALIDATION).alias("_own_realtime"),
-    )
-    own = own.withColumn("form_no", F.row_number().over(Window.partitionBy(key).orderBy("form_idx")) - 1)
     text_ok = (F.length("text") <= 100) & (F.col("text") != "")
     copy = F.col("tag").isin("p", "span", "small", "div", "em") & text_ok & F.col("text").rlike(fixed.FORM_MICRO_COPY)
     link_button = (F.col("tag") == "a") & F.col("cls").rlike(fixed.SUBMIT_LINK_CLASS)
@@ -176,27 +166,44 @@ def form_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
         F.lit("form_bottom").alias("position"),
     )
     field = is_field() & (F.col("kind") != "text")
-    in_form = rows.filter(F.col("form").isNotNull())
-    types = in_form.filter(field).groupBy(key, F.col("form.idx").alias("form_idx"), "field_type").agg(
-        F.count(F.lit(1)).cast("int").alias("n"), F.count_if("required").alias("r"),
-        F.sum(field_seconds(F.col("field_type"))).alias("s"),
-    )
-    typed = types.groupBy(key, "form_idx").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_type", "n")))).alias("field_types"),
-        F.sum("n").cast("int").alias("total_fields"), F.sum("r").cast("int").alias("required_fields"),
-        F.sum("s").alias("_seconds"),
-    )
     realtime = F.col("token").rlike(fixed.REALTIME_VALIDATION)
     html5 = F.col("tag").isin(*FIELD_TAGS) & (_has("pattern") | _has("required"))
-    found = in_form.groupBy(key, F.col("form.idx").alias("form_idx")).agg(
-        F.bool_or(realtime).alias("_realtime"), F.bool_or(F.coalesce(html5, F.lit(False))).alias("_html5"),
-        F.bool_or(
-            F.coalesce((F.col("tag") == "progress") | F.col("cls").rlike(fixed.PROGRESS_CLASS), F.lit(False))
-        ).alias("_bar"),
-        F.min_by(F.when(preference.isNotNull(), button), F.when(preference.isNotNull(), F.struct(preference, "idx"))).alias("submit"),
-        F.collect_list(F.when(copy, F.struct("idx", "text"))).alias("_copies"),
+    is_form = F.col("tag") == "form"
+    own = F.struct(
+        _attr("action").alias("action"), F.upper(F.coalesce(attribute(F.col("attrs"), "method"), F.lit("GET"))).alias("method"),
+        _has("novalidate").alias("novalidate"), inside("fieldset").alias("fieldsets"),
+        F.coalesce(F.col("_bar_before") == 1, F.lit(False)).alias("bar_before"), F.col("_next.text").alias("after"),
+        F.col("up_1.idx").alias("area"), F.col("up_1.end_idx").alias("area_end"), F.col("up_1.cls").alias("area_cls"),
+        F.col("end_idx").alias("end_idx"),
+    )
+    counts = [F.count_if(field & (F.col("field_type") == t)).cast("int").alias(f"_n_{t}") for t in fixed.FIELD_SECONDS]
+    # The form's own row and everything in it fall into one group.
+    joined = (
+        rows.withColumn("form_idx", F.when(is_form, F.col("idx")).otherwise(F.col("form.idx")))
+        .filter(F.col("form_idx").isNotNull()).groupBy(key, "form_idx").agg(
+            F.first(F.when(is_form, own), ignorenulls=True).alias("_own"),
+            *counts, F.count_if(field & F.col("required")).cast("int").alias("required_fields"),
+            F.sum(F.when(field, field_seconds(F.col("field_type")))).alias("_seconds"),
+            F.bool_or(realtime).alias("_realtime"), F.bool_or(F.coalesce(html5, F.lit(False))).alias("_html5"),
+            F.bool_or(
+                F.coalesce(
+                    ~is_form & ((F.col("tag") == "progress") | F.col("cls").rlike(fixed.PROGRESS_CLASS)), F.lit(False)
+                )
+            ).alias("_bar"),
+            F.min_by(
+                F.when(preference.isNotNull(), button), F.when(preference.isNotNull(), F.struct(preference, "idx"))
+            ).alias("submit"),
+            F.collect_list(F.when(copy, F.struct("idx", "text"))).alias("_copies"),
+        )
     )
-    joined = own.join(typed, [key, "form_idx"]).join(found, [key, "form_idx"], "left").join(steps, [key, "form_idx"], "left")
+    types = list(fixed.FIELD_SECONDS)
+    pairs = F.array_sort(F.array(*[F.struct(F.lit(t).alias("key"), F.col(f"_n_{t}").alias("value")) for t in types]))
+    joined = joined.withColumn("field_types", F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0)))
+    total = F.aggregate(F.map_values("field_types"), F.lit(0), lambda a, x: a + x)
+    joined = joined.withColumn("total_fields", total).select("*", "_own.*").drop("_own")
+    number = F.row_number().over(Window.partitionBy(key).orderBy("form_idx")) - 1
+    joined = joined.withColumn("form_no", number).filter("total_fields > 0")
+    joined = joined.join(steps, [key, "form_idx"], "left")
     # Proof is looked for in the parent of the form, list items there count as steps.
     near = rows.filter(
         (F.col("kind") != "text")
@@ -205,10 +212,9 @@ def form_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
             | (F.col("tag") == "li")
         )
     ).select(key, F.col("idx").alias("_at"), F.col("tag").alias("_tag"), F.col("text").alias("_said"))
-    areas = nodes.filter(F.col("kind") == "open").select(key, F.col("idx").alias("_area"), F.col("end_idx").alias("_area_end"))
     inside_area = (
-        own.select(key, "form_idx", "_area").join(areas, [key, "_area"]).join(near, key)
-        .filter((F.col("_at") > F.col("_area")) & (F.col("_at") < F.col("_area_end")))
+        joined.select(key, "form_idx", "area", "area_end").join(near, key)
+        .filter((F.col("_at") > F.col("area")) & (F.col("_at") < F.col("area_end")))
         .groupBy(key, "form_idx").agg(
             F.count_if(F.col("_tag") == "li").alias("_area_items"),
             F.collect_list(
@@ -218,21 +224,21 @@ def form_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
     )
     joined = joined.join(inside_area, [key, "form_idx"], "left")
     none = F.array().cast("array<struct<idx:int,text:string>>")
-    after_ok = (F.length("_after") <= 100) & F.col("_after").rlike(fixed.FORM_MICRO_COPY)
+    after_ok = (F.length("after") <= 100) & F.col("after").rlike(fixed.FORM_MICRO_COPY)
     copies = F.concat(
         F.coalesce("_copies", none),
-        F.when(after_ok, F.array(F.struct(F.col("_form_end").alias("idx"), F.col("_after").alias("text")))).otherwise(none),
+        F.when(after_ok, F.array(F.struct(F.col("end_idx").alias("idx"), F.col("after").alias("text")))).otherwise(none),
     )
-    area_steps = F.col("_area_cls").rlike(fixed.STEP_CLASS) & (F.col("_area_items") >= 2)
+    area_steps = F.col("area_cls").rlike(fixed.STEP_CLASS) & (F.col("_area_items") >= 2)
     return joined.select(
         key, "form_no", F.concat(F.lit("form-"), F.col("form_no")).alias("id"), "action", "method",
         "total_fields", "required_fields", "field_types",
         F.coalesce(
             F.col("_step_items"), F.when(area_steps, F.col("_area_items")),
-            F.when(F.col("_fieldsets") >= 2, F.col("_fieldsets")), F.lit(1),
+            F.when(F.col("fieldsets") >= 2, F.col("fieldsets")), F.lit(1),
         ).cast("int").alias("steps"),
-        (F.coalesce("_bar", F.lit(False)) | F.col("_bar_before")).alias("has_progress_bar"),
-        F.when(F.col("_novalidate") | F.col("_own_realtime") | F.coalesce("_realtime", F.lit(False)), "realtime")
+        (F.col("_bar") | F.col("bar_before")).alias("has_progress_bar"),
+        F.when(F.col("novalidate") | F.col("_realtime"), "realtime")
         .when(F.col("_html5"), "onsubmit").otherwise("none").alias("validation_type"),
         "submit", _first_distinct(copies, 5).alias("micro_copy"),
         _first_distinct(F.coalesce("_proofs", none), 3).alias("social_proof"),
