@@ -37,12 +37,12 @@ def line_changes(pairs: DataFrame, lines: DataFrame, array: str = "norm_lines")
     )
 
 
-def signed_lines(changes: DataFrame) -> DataFrame:
+def signed_lines(changes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Added (+) and removed (-) lines, one row per line with its number of copies."""
     added, removed = F.col("new_n") - F.col("old_n"), F.col("old_n") - F.col("new_n")
     differing = changes.filter(F.col("new_n") != F.col("old_n"))
     return differing.select(
-        "pair_id", F.when(added > 0, "+").otherwise("-").alias("sign"), "line",
+        "pair_id", *keep, F.when(added > 0, "+").otherwise("-").alias("sign"), "line",
         F.greatest(added, removed).alias("copies"),
         F.when(added > 0, F.col("new_at")).otherwise(F.col("old_at")).alias("at"),
     )
@@ -76,27 +76,33 @@ def is_partial_render(additions, deletions, old_lines, share: float = SMALL_SHAR
     return only_gone | only_new
 
 
-def diff_texts(signed: DataFrame, first: int = DIFF_LINES) -> DataFrame:
+def diff_texts(signed: DataFrame, first: int = DIFF_LINES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per pair: the first signed lines in page order, as arrays and as text."""
     each = signed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     order = Window.partitionBy("pair_id").orderBy("at", F.col("sign").desc(), "line", "_copy")
     each = each.withColumn("_no", F.row_number().over(order)).filter(F.col("_no") <= first)
     listed = F.array_sort(F.collect_list(F.struct("_no", "sign", "line")))
-    out = each.groupBy("pair_id").agg(listed.alias("_all"))
+    out = each.groupBy("pair_id").agg(*[F.first(c).alias(c) for c in keep], listed.alias("_all"))
     of = lambda sign: F.transform(F.filter("_all", lambda x: x["sign"] == sign), lambda x: x["line"])
     text = F.array_join(F.transform("_all", lambda x: F.concat(x["sign"], x["line"])), "\n")
-    return out.select("pair_id", of("+").alias("added"), of("-").alias("removed"), text.alias("diff_text"))
+    return out.select("pair_id", *keep, of("+").alias("added"), of("-").alias("removed"), text.alias("diff_text"))
 
 
 def compute_diffs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs with real changes: totals, added/removed line arrays and diff text."""
-    changes = line_changes(pairs, lines)
-    totals = diff_totals(changes)
-    real = totals.filter(
-        ((F.col("additions") > 0) | (F.col("deletions") > 0))
-        & ~is_partial_render(F.col("additions"), F.col("deletions"), F.col("old_lines"))
+    """Pairs with real changes: totals, added/removed line arrays and diff text.
+
+    Totals and texts come from one pass over the counted lines of a pair.
+    """
+    pair = Window.partitionBy("pair_id")
+    gain = F.col("new_n") - F.col("old_n")
+    marked = line_changes(pairs, lines).select(
+        "*", F.sum(F.greatest(gain, F.lit(0))).over(pair).alias("additions"),
+        F.sum(F.greatest(-gain, F.lit(0))).over(pair).alias("deletions"),
+        F.sum("old_n").over(pair).alias("old_lines"), F.sum("new_n").over(pair).alias("new_lines"),
     )
-    return real.join(diff_texts(signed_lines(changes)), "pair_id")
+    real = marked.filter(~is_partial_render(F.col("additions"), F.col("deletions"), F.col("old_lines")))
+    totals = ("additions", "deletions", "old_lines", "new_lines")
+    return diff_texts(signed_lines(real, totals), keep=totals)
 
 
 def read_unified(diffs: DataFrame, key: str = "change_id", text: str = "diff_text") -> DataFrame:

@@ -14,6 +14,7 @@ from tidemark.functions import urls
 from tidemark.functions.dates import date_from_text, date_text
 from tidemark.functions.html import attribute, has_class
 from tidemark.functions.text import any_of, chain, collapse, cut, none_if_empty
+from tidemark.lineage import cut_lineage
 from tidemark.operators.tokens import carried, element_nodes
 from tidemark.rules import press as fixed
 
@@ -229,9 +230,11 @@ def _bodies(pages: DataFrame, names: list[str], removed: tuple[str, ...], key: s
     if removed:
         best = chosen
     else:
-        # Page furniture is cut out for the largest block only.
-        largest = _ranked_blocks(pages, names, (*OPAQUE, "nav", "header", "footer"), key, False, True)
-        best = chosen.unionByName(largest)
+        # Page furniture is cut out for the largest block only, and only the pages without
+        # a selected block (normally few) are taken apart a second time.
+        chosen = cut_lineage(chosen)
+        rest = pages.join(chosen.select(key).distinct(), key, "left_anti")
+        best = chosen.unionByName(_ranked_blocks(rest, names, (*OPAQUE, "nav", "header", "footer"), key, False, True))
     picked = best.groupBy(key).agg(F.min_by("body", "rank").alias("body_text"))
     return pages.select(key).join(picked, key, "left").select(key, F.coalesce("body_text", F.lit("")).alias("body_text"))
 
