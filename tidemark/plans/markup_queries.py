@@ -586,3 +586,39 @@ def article_page_dates(spark, sf):
         .otherwise(F.concat(F.lit("<p>"), _escaped("text"), F.lit("</p>")))
     )
     return press_pages.article_dates(d.select(k.alias("capture_id"), html.alias("html")))
+
+
+@query("press_run", """
+WITH a AS (SELECT doc_id, 'https://press.example.com/news/a/' || doc_id AS article_url,
+ CASE WHEN doc_id % 4 = 3 THEN NULL WHEN doc_id % 2 = 0 THEN strftime(DATE '2020-01-01' + CAST(doc_id % 1500 AS INTEGER), '%Y-%m-%d') ELSE '2019-09-09' END AS published_on,
+ trim(regexp_replace(CASE doc_id % 3 WHEN 0 THEN '決算のお知らせ' WHEN 1 THEN '調査レポート統計' ELSE '料金プラン無料' END || regexp_replace(text, 'UI|UX|IR|CSR|SDGs', '-', 'g'), '\\s+', ' ', 'g')) AS body_text
+ FROM documents WHERE doc_id % 5 <> 0)
+SELECT doc_id AS id, published_on, CASE doc_id % 3 WHEN 0 THEN 'irrelevant' ELSE 'relevant' END AS classification,
+ CASE doc_id % 3 WHEN 1 THEN 'market_data' WHEN 2 THEN 'pricing' END AS relevance_category, length(body_text) AS body_length FROM a""")
+def press_run(spark, sf):
+    """Listings with a date on every second row, pages with one on most, a fifth stored before."""
+    from tidemark.plans import press_run as plan
+
+    d, k, days = sample.table(spark, sf, "documents"), F.col("doc_id"), _day_texts()
+    url = F.concat(F.lit("https://press.example.com/news/a/"), k)
+    row = F.concat(
+        F.lit('<ul class="news"><li>'), F.when(k % 2 == 0, F.concat(F.lit('<time datetime="'), days["iso"], F.lit('">x</time>'))).otherwise(""),
+        F.lit('<a href="a/'), k, F.lit('">Item number '), k, F.lit(' of many</a></li><li><a href="/about/">About this company</a></li></ul>'),
+    )
+    listings = d.select(
+        k.alias("capture_id"), F.lit("s1").alias("source_id"), F.lit("athome").alias("source_name"),
+        F.lit("https://press.example.com/news/").alias("base_url"), row.alias("html"),
+    )
+    lead = sample.case(k % 3, {0: "決算のお知らせ", 1: "調査レポート統計"}, "料金プラン無料")
+    masked = d.withColumn("text", F.concat(lead, F.regexp_replace("text", "UI|UX|IR|CSR|SDGs", "-")))
+    dated = F.when(k % 4 == 3, "").otherwise('<p class="date">2019-09-09</p>')
+    pages = masked.select(
+        k.alias("capture_id"), url.alias("url"), F.lit("athome").alias("source_name"),
+        F.concat(F.lit("<body>"), dated, F.lit('<article class="x"><p>'), _escaped("text"), F.lit("</p></article></body>")).alias("html"),
+    )
+    stored = d.filter("doc_id % 5 = 0").select(F.lit("s1").alias("source_id"), url.alias("article_url"))
+    rows = plan.press_articles(listings, pages, stored)
+    return rows.select(
+        F.regexp_extract("article_url", "([0-9]+)$", 1).cast("bigint").alias("id"), "published_on", "classification",
+        "relevance_category", F.length("body_text").cast("bigint").alias("body_length"),
+    )
