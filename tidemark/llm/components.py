@@ -11,18 +11,20 @@ from tidemark.llm.shared import checkpointed
 def component_roots(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a``, ``b``; longs without nulls).
 
-    Contraction: each node takes the smallest node among itself and its neighbours as its
-    parent, edges are rewritten to parents, loops and repeats go, until no edge is left.
-    Every round joins on nodes and at least halves the nodes that still have edges in the
-    usual case; nothing is gathered by node, so hubs do not matter. Nodes are long; a node
-    of an edge with itself is its own root.
+    Contraction: nodes get a fresh random order each round; each node takes the first one
+    among itself and its neighbours as its parent, edges are rewritten to parents, loops and
+    repeats go, until no edge is left. In a fresh order about half of the nodes of any graph
+    are nobody's parent, chains too, so rounds grow with the logarithm of the size. Nothing
+    is gathered by node, so hubs do not matter. The root is some node of the component.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = checkpointed(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = None
+    roots, number = None, 0
     while not edges.isEmpty():
-        parents = both(edges).groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("parent"))
-        parents = checkpointed(parents)
+        number += 1
+        order = lambda c: F.struct(F.xxhash64(F.lit(number), F.col(c)).alias("by"), F.col(c).alias("node"))  # noqa: B023, E731
+        firsts = both(edges).groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("first"))
+        parents = checkpointed(firsts.select("node", F.least("first", order("node"))["node"].alias("parent")))
         if roots is None:
             roots = parents.withColumnRenamed("parent", "root")
         else:

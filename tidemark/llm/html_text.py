@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import text_steps
+from tidemark.llm.shared import map_batches, text_steps
 
 # Fixed values of HTML: elements without content, without visible text, and within a line;
 # and those that a start tag of a block closes.
@@ -426,4 +426,4 @@ def extract_pages(pages: DataFrame, field: ChainField | None = None) -> DataFram
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_batches(rows, run, "page_id long, url string, text string, n_chars long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import text_steps
+from tidemark.llm.shared import map_batches, map_frames, text_steps
 
 SUBWORD_BYTES = (2, 3, 4)
 BUCKETS = 1 << 14
@@ -153,7 +153,7 @@ def fit(docs: DataFrame) -> Model | None:
                     rows.append((doc_id, name, buckets.astype(np.int32), counts.astype(np.float32)))
             yield pd.DataFrame(rows, columns=["doc_id", "name", "buckets", "counts"])
 
-    features = chosen.mapInPandas(run, "doc_id long, name string, buckets array<int>, counts array<float>").dropDuplicates(["doc_id"])
+    features = map_frames(chosen, run, "doc_id long, name string, buckets array<int>, counts array<float>").dropDuplicates(["doc_id"])
     rows = sorted(features.collect(), key=lambda r: (hash_order(r["doc_id"]), r["doc_id"]))
     samples = [(r["name"], np.array(r["buckets"]), np.array(r["counts"], np.float64)) for r in rows]
     return train(samples) if samples else None
@@ -191,4 +191,4 @@ def identify(docs: DataFrame) -> DataFrame:
                 ["doc_id", "held_out", "lang_pred", "score", "accepted"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    return map_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")

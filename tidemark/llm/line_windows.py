@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import WORD_SPACE, document_key, text_steps
+from tidemark.llm.shared import WORD_SPACE, document_key, map_batches, text_steps
 
 LINES = 3
 
@@ -70,4 +70,4 @@ def without_repeated_lines(docs: DataFrame, lines: int = LINES, carried: tuple[s
             )
 
     schema = "doc_id long, n_lines long, n_removed long, text string"
-    return joined.mapInArrow(run, ", ".join([schema, *(f"`{c}` {kind}" for c, kind in joined.dtypes if c in carried)]))
+    return map_batches(joined, run, ", ".join([schema, *(f"`{c}` {kind}" for c, kind in joined.dtypes if c in carried)]))

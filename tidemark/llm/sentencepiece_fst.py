@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import text_steps
+from tidemark.llm.shared import map_batches, text_steps
 
 BLANK = "▁"
 #: Encodings of stretches and weights of pairs that a worker remembers before it starts anew.
@@ -240,4 +240,4 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "ids", "n_pieces", "decoded"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, decoded string")
+    return map_batches(rows, run, "doc_id long, ids array<int>, n_pieces long, decoded string")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
-from collections.abc import Iterable, Iterator
+import zipfile
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +43,35 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package's source to the executors, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-source-"), "tidemark.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, str(file.relative_to(root.parent)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
+def map_batches(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand on every executor."""
+    ship_package(frame.sparkSession)
+    return frame.mapInArrow(run, schema)
+
+
+def map_frames(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInPandas`` with this package at hand on every executor."""
+    ship_package(frame.sparkSession)
+    return frame.mapInPandas(run, schema)
+
+
 def document_key(doc_id: Column) -> Column:
     """Document order as a long without nulls: a null id comes before every other one."""
     return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))

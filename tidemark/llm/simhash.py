@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import component_roots
-from tidemark.llm.shared import checkpointed, text_steps
+from tidemark.llm.shared import checkpointed, map_batches, map_frames, text_steps
 from tidemark.llm.words import WordBatch
 
 SHINGLE_WORDS = 4
@@ -60,9 +60,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             values = text_fingerprints(step.column("text").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, run, "doc_id long, fp long")
 
 
 def signatures(distinct: DataFrame, segments: int = MAX_BITS - 1) -> DataFrame:
@@ -144,7 +143,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) ->
             pairs = pd.DataFrame({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)})
             yield pairs.drop_duplicates()
 
-    return blocks.mapInPandas(run, "a long, b long")
+    return map_frames(blocks, run, "a long, b long")
 
 
 def _with_end(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import document_key, text_steps
+from tidemark.llm.shared import document_key, map_batches, map_frames, text_steps
 from tidemark.llm.words import WordBatch
 
 WINDOW_WORDS = 20
@@ -137,7 +137,7 @@ def anchor_places(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = ANC
                 ["key", "version", "anchor", "place"],
             )
 
-    return docs.mapInArrow(run, "key long, version long, anchor long, place int")
+    return map_batches(docs, run, "key long, version long, anchor long, place int")
 
 
 def passages(docs: DataFrame, places: DataFrame, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
@@ -169,7 +169,7 @@ def passages(docs: DataFrame, places: DataFrame, window: int = WINDOW_WORDS, anc
             )
 
     joined = docs.join(places, ["key", "version"]).select("key", "version", "text", "places")
-    return joined.mapInArrow(run, "key long, version long, start int, windows int, shard long, passage binary")
+    return map_batches(joined, run, "key long, version long, start int, windows int, shard long, passage binary")
 
 
 def _content_shards(texts: list[bytes], chosen: np.ndarray) -> np.ndarray:
@@ -203,7 +203,7 @@ def earlier_spans(found: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
                 out = []
         yield pd.DataFrame(out, columns=["key", "version", "start", "stop"])
 
-    partly = ordered.mapInPandas(run, "key long, version long, start int, stop int")
+    partly = map_frames(ordered, run, "key long, version long, start int, stop int")
     # Every place of a passage but its first is covered as a whole.
     named = firsts.select(content.alias("content"), F.col("at.key").alias("k"), F.col("at.start").alias("s"))
     places = found.select(content.alias("content"), "key", "version", "start", "windows")
@@ -253,4 +253,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = A
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return map_batches(joined, run, "doc_id long, n_words long, n_removed long, kept string")

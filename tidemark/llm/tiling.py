@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import text_steps
+from tidemark.llm.shared import map_batches, text_steps
 from tidemark.llm.words import WordBatch
 
 SEED_TOKENS = 5
@@ -192,6 +192,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                     ["doc_id", "item_id", "item_tokens", "covered_tokens", "tiles", "coverage"],
                 )
 
-        part = rows.mapInArrow(run, schema)
+        part = map_batches(rows, run, schema)
         out = part if out is None else out.unionByName(part)
     return out

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import text_steps
+from tidemark.llm.shared import map_batches, text_steps
 
 #: Fixed value: how this family of vocabularies parts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -137,4 +137,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(rows, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

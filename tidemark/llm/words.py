@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 SPACES = np.zeros(256, bool)
@@ -13,16 +11,20 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, ``size`` of each."""
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def table(base: int) -> np.ndarray:
-        out = np.full(size, base, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
 
-    return table(_BASE), table(pow(_BASE, -1, 1 << 64))
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, ``size`` of each; the last size is kept."""
+    if size not in _tables:
+        _tables.clear()
+        pair = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            out = np.full(size, base, np.uint64)
+            out[0] = 1
+            pair.append(np.multiply.accumulate(out))
+        _tables[size] = (pair[0], pair[1])
+    return _tables[size]
 
 
 def mix(values: np.ndarray) -> np.ndarray:
