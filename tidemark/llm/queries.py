@@ -78,8 +78,8 @@ OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS rows FROM documents
 ), held AS (
-  SELECT doc_id, u.line, u.at, row_number() OVER (PARTITION BY doc_id ORDER BY u.at) AS place
-  FROM lines, LATERAL (SELECT unnest(rows) AS line, generate_subscripts(rows, 1) AS at) u
+  SELECT doc_id, u.line, u.pos, row_number() OVER (PARTITION BY doc_id ORDER BY u.pos) AS place
+  FROM lines, LATERAL (SELECT unnest(rows) AS line, generate_subscripts(rows, 1) AS pos) u
   WHERE regexp_matches(u.line, '[^\x20\x09-\x0D]')
 ), windows AS (
   SELECT doc_id, place, [line, lead(line) OVER w, lead(line, 2) OVER w] AS run, lead(place, 2) OVER w AS third
@@ -87,12 +87,12 @@ WITH lines AS (
 ), ranked AS (
   SELECT doc_id, place, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS nth FROM windows WHERE third IS NOT NULL
 ), gone AS (
-  SELECT DISTINCT h.doc_id, h.at FROM held h JOIN ranked r ON h.doc_id = r.doc_id AND h.place BETWEEN r.place AND r.place + 2 WHERE r.nth > 1
+  SELECT DISTINCT h.doc_id, h.pos FROM held h JOIN ranked r ON h.doc_id = r.doc_id AND h.place BETWEEN r.place AND r.place + 2 WHERE r.nth > 1
 ), numbered AS (
-  SELECT doc_id, u.line, u.at FROM lines, LATERAL (SELECT unnest(rows) AS line, generate_subscripts(rows, 1) AS at) u
+  SELECT doc_id, u.line, u.pos FROM lines, LATERAL (SELECT unnest(rows) AS line, generate_subscripts(rows, 1) AS pos) u
 ), kept AS (
-  SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.at) AS text
-  FROM numbered n ANTI JOIN gone g ON n.doc_id = g.doc_id AND n.at = g.at GROUP BY n.doc_id
+  SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.pos) AS text
+  FROM numbered n ANTI JOIN gone g ON n.doc_id = g.doc_id AND n.pos = g.pos GROUP BY n.doc_id
 ), lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT l.doc_id, CAST(coalesce(len(l.rows), 0) AS BIGINT) AS n_lines, CAST(coalesce(x.n, 0) AS BIGINT) AS n_removed,
        CASE WHEN x.n IS NULL THEN l.text ELSE coalesce(k.text, '') END AS text
@@ -104,18 +104,18 @@ OP8_SQL = r"""
 WITH texts AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), windows AS (
-  SELECT doc_id, u.at, words[u.at : u.at + 19] AS run
-  FROM texts, LATERAL (SELECT unnest(generate_series(1, len(words) - 19)) AS at) u WHERE len(words) >= 20
+  SELECT doc_id, u.pos, words[u.pos : u.pos + 19] AS run
+  FROM texts, LATERAL (SELECT unnest(generate_series(1, len(words) - 19)) AS pos) u WHERE len(words) >= 20
 ), ranked AS (
-  SELECT doc_id, at, row_number() OVER (PARTITION BY run ORDER BY doc_id, at) AS nth FROM windows
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS nth FROM windows
 ), gone AS (
-  SELECT DISTINCT doc_id, u.at FROM (SELECT doc_id, at FROM ranked WHERE nth > 1) r,
-    LATERAL (SELECT unnest(generate_series(r.at, r.at + 19)) AS at) u
+  SELECT DISTINCT doc_id, u.pos FROM (SELECT doc_id, pos FROM ranked WHERE nth > 1) r,
+    LATERAL (SELECT unnest(generate_series(r.pos, r.pos + 19)) AS pos) u
 ), words AS (
-  SELECT doc_id, u.word, u.at FROM texts, LATERAL (SELECT unnest(words) AS word, generate_subscripts(words, 1) AS at) u
+  SELECT doc_id, u.word, u.pos FROM texts, LATERAL (SELECT unnest(words) AS word, generate_subscripts(words, 1) AS pos) u
 ), kept AS (
-  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.at) AS text, count(*) AS n
-  FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.at = g.at GROUP BY w.doc_id
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.pos) AS text, count(*) AS n
+  FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.pos = g.pos GROUP BY w.doc_id
 )
 SELECT t.doc_id, CAST(len(t.words) AS BIGINT) AS n_words, CAST(len(t.words) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(k.text, '')) AS kept_sha256

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,12 +78,17 @@ def document_key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
 
 
+def document_id(key: Column) -> Column:
+    """The id that ``document_key`` was made of."""
+    return F.when(key != F.lit(-(2**63)), key)
+
+
 def text_steps(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``STEP_BYTES`` of text each, at least one row."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for row, size in enumerate(sizes):
             if row > start and total + size > STEP_BYTES:

@@ -19,14 +19,16 @@ from operator import itemgetter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import document_key, map_batches, map_frames, text_steps
+from tidemark.llm.shared import document_id, document_key, map_batches, map_frames, text_steps
 from tidemark.llm.words import WordBatch
 
 WINDOW_WORDS = 20
-ANCHOR_WORDS = 8
+ANCHOR_WORDS = 6
 #: Places of an anchor up to which its passages go to one shard; beyond it, each window goes
 #: to a shard by its own content, which spreads passages that many documents share.
 SHARED_PLACES = 256
@@ -140,15 +142,24 @@ def anchor_places(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = ANC
     return map_batches(docs, run, "key long, version long, anchor long, place int")
 
 
-def passages(docs: DataFrame, places: DataFrame, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
-    """``key, version, start, windows, shard, passage``: words of the windows of the given anchors.
+#: Passages that a task remembers as already sent before it starts anew.
+SENT_PASSAGES = 100_000
 
-    ``places`` has ``key, version, places`` with ``places`` an array of ``place, shared``.
+
+def passages(joined: DataFrame, with_text: bool, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
+    """Words of the windows of repeated anchors: ``key, version, start, windows, c1, c2`` for every
+    place (``c1, c2`` name the content), or ``shard, passage, key, version, start`` with the text.
+
+    ``joined`` has ``key, version, packed, places`` with ``places`` an array of ``place, shared``.
+    With text, a task sends a passage again only if an earlier place of it turns up.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step in text_steps(batches):
-            batch = WordBatch(step.column("text").cast(pa.binary()).to_pylist())
+        sent: dict[bytes, tuple[int, int]] = {}
+        unpack = zstandard.ZstdDecompressor()
+        for rows in text_steps(batches, "packed"):
+            step = rows.filter(pc.is_valid(rows.column("places")))
+            batch = WordBatch([unpack.decompress(t) if t else t for t in step.column("packed").to_pylist()])
             inside, at, hashes = _anchors(batch, window, anchor)
             mark = np.zeros(len(batch.starts) + 1, np.int8)
             for i, found in enumerate(step.column("places").to_pylist()):
@@ -159,59 +170,82 @@ def passages(docs: DataFrame, places: DataFrame, window: int = WINDOW_WORDS, anc
             ends = np.flatnonzero((kind > 0) & ((kind == 2) | (np.diff(at, append=-1) != 0)))
             first, last = inside[begins], inside[ends] + window
             texts = [batch.text(a, b) for a, b in zip(first.tolist(), last.tolist())]
+            content = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+            names = np.frombuffer(b"".join(content), np.int64).reshape(-1, 2)
             row = batch.document[first]
-            shard = np.where(kind[begins] == 2, _content_shards(texts, kind[begins] == 2), hashes[at[begins]].view(np.int64))
+            start = (first - batch.first[row]).astype(np.int32)
+            keys, versions = (step.column(c).to_numpy()[row] for c in ("key", "version"))
+            if not with_text:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), pa.array(versions), pa.array(start), pa.array((ends - begins + 1).astype(np.int32)),
+                     pa.array(names[:, 0]), pa.array(names[:, 1])], ["key", "version", "start", "windows", "c1", "c2"],
+                )
+                continue
+            new = []
+            for i, (c, place) in enumerate(zip(content, zip(keys.tolist(), start.tolist()))):
+                if c not in sent or place < sent[c]:
+                    sent[c] = place
+                    new.append(i)
+            if len(sent) > SENT_PASSAGES:
+                sent.clear()
+            shard = np.where(kind[begins] == 2, names[:, 0], hashes[at[begins]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [step.column("key").take(pa.array(row)), step.column("version").take(pa.array(row)),
-                 pa.array((first - batch.first[row]).astype(np.int32)), pa.array((ends - begins + 1).astype(np.int32)),
-                 pa.array(shard), pa.array(texts, pa.binary())],
-                ["key", "version", "start", "windows", "shard", "passage"],
+                [pa.array(shard[new]), pa.array([texts[i] for i in new], pa.binary()), pa.array(keys[new]), pa.array(versions[new]),
+                 pa.array(start[new])], ["shard", "passage", "key", "version", "start"],
             )
 
-    joined = docs.join(places, ["key", "version"]).select("key", "version", "text", "places")
-    return map_batches(joined, run, "key long, version long, start int, windows int, shard long, passage binary")
-
-
-def _content_shards(texts: list[bytes], chosen: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(texts), np.int64)
-    for i in np.flatnonzero(chosen).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(texts[i], digest_size=8).digest(), "little", signed=True)
-    return out
+    schema = "key long, version long, start int, windows int, c1 long, c2 long"
+    return map_batches(joined, run, "shard long, passage binary, key long, version long, start int" if with_text else schema)
 
 
-def earlier_spans(found: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
+def earlier_spans(joined: DataFrame, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
     """``key, version, start, stop``: word spans covered by windows that occur earlier."""
-    content = F.sha2("passage", 256)
-    firsts = found.groupBy("shard", "passage").agg(F.min(F.struct("key", "start", "version")).alias("at"))
-    ordered = firsts.select("shard", "passage", "at.key", "at.start", "at.version").repartition("shard")
-    ordered = ordered.sortWithinPartitions("shard", "key", "start")
+    sent = passages(joined, True, window, anchor).repartition("shard").sortWithinPartitions("shard", "key", "start")
+    none = np.iinfo(np.int64).min
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (r for f in frames for r in zip(f["shard"], f["key"], f["version"], f["start"], f["passage"]))
-        out: list[tuple[int, int, int, int]] = []
+        columns = ["key", "version", "start", "stop", "c1", "c2"]
+        out: list[tuple[int, int, int, int, int, int]] = []
         for _, shard in groupby(rows, key=itemgetter(0)):
-            automaton, waiting = SuffixAutomaton(), None
+            automaton, waiting, known = SuffixAutomaton(), None, set()
             for _, key, version, start, passage in shard:
+                if passage in known:
+                    continue
+                known.add(passage)
                 words = bytes(passage).split()
                 if waiting is not None:
                     automaton.add(waiting)
-                    spans = matched_spans(automaton.matching(words), window)
-                    out += [(key, version, start + a, start + b) for a, b in spans]
+                    out += [(key, version, start + a, start + b, none, none) for a, b in matched_spans(automaton.matching(words), window)]
                 waiting = words
+                c1, c2 = np.frombuffer(hashlib.blake2b(passage, digest_size=16).digest(), np.int64).tolist()
+                out.append((key, version, start, -1, c1, c2))
             if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=["key", "version", "start", "stop"])
+                yield pd.DataFrame(out, columns=columns)
                 out = []
-        yield pd.DataFrame(out, columns=["key", "version", "start", "stop"])
+        yield pd.DataFrame(out, columns=columns)
 
-    partly = map_frames(ordered, run, "key long, version long, start int, stop int")
+    found = map_frames(sent, run, "key long, version long, start int, stop int, c1 long, c2 long")
+    partly = found.where("stop >= 0").select("key", "version", "start", "stop")
     # Every place of a passage but its first is covered as a whole.
-    named = firsts.select(content.alias("content"), F.col("at.key").alias("k"), F.col("at.start").alias("s"))
-    places = found.select(content.alias("content"), "key", "version", "start", "windows")
-    again = places.join(named, "content").where("key <> k or start <> s")
+    firsts = found.where("stop < 0").select("c1", "c2", F.col("key").alias("k"), F.col("start").alias("s"))
+    again = passages(joined, False, window, anchor).join(firsts, ["c1", "c2"]).where("key <> k or start <> s")
     whole = again.select("key", "version", "start", (F.col("start") + F.col("windows") + (window - 1)).alias("stop"))
     return partly.unionByName(whole)
 
 
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """``key, version, packed``: texts compressed before they are shuffled."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for step in text_steps(batches):
+            packed = [t if t is None else pack.compress(t) for t in step.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([step.column("key"), step.column("version"), pa.array(packed, pa.binary())], ["key", "version", "packed"])
+
+    return map_batches(texts, run, "key long, version long, packed binary")
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: each text's words without those covered by an
     earlier window.
@@ -224,23 +258,25 @@ def without_repeats(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = A
     Other columns are not read. An empty table gives an empty result.
     """
     texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), document_key(F.col("doc_id")).alias("key"),
-        F.xxhash64(F.col("text")).alias("version"), F.col("text").cast("string").alias("text"),
+        document_key(F.col("doc_id")).alias("key"), F.xxhash64(F.col("text")).alias("version"), F.col("text").cast("string").alias("text")
     )
-    places = anchor_places(texts.select("key", "version", "text"), window, anchor)
+    places = anchor_places(texts, window, anchor)
     counts = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = (F.col("n") > SHARED_PLACES).alias("shared")
     repeated = places.join(counts, "anchor").select("key", "version", "place", shared)
     by_text = repeated.groupBy("key", "version").agg(F.collect_list(F.struct("place", "shared")).alias("places"))
-    found = passages(texts, by_text, window, anchor)
-    spans = earlier_spans(found, window).groupBy("key", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = texts.join(spans, ["key", "version"], "left").select("doc_id", "text", "spans")
+    # Both joins keep all texts, so that they share one shuffle of them.
+    packed = packed_texts(texts)
+    found = earlier_spans(packed.join(by_text, ["key", "version"], "left"), window, anchor)
+    spans = found.groupBy("key", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    joined = packed.join(spans, ["key", "version"], "left").select("key", "packed", "spans")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step in text_steps(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for step in text_steps(batches, "packed"):
             total, removed, kept = [], [], []
-            for text, found in zip(step.column("text").cast(pa.binary()).to_pylist(), step.column("spans").to_pylist()):
-                words = (text or b"").split()
+            for text, found in zip(step.column("packed").to_pylist(), step.column("spans").to_pylist()):
+                words = unpack.decompress(text).split() if text else []
                 stay = np.ones(len(words), bool)
                 for span in found or ():
                     stay[span["start"] : span["stop"]] = False
@@ -248,9 +284,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = A
                 removed.append(int(len(words) - stay.sum()))
                 kept.append(b" ".join(words if removed[-1] == 0 else [words[i] for i in np.flatnonzero(stay).tolist()]))
             yield pa.RecordBatch.from_arrays(
-                [step.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
+                [step.column("key"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(kept, pa.binary()).cast(pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept"],
+                ["key", "n_words", "n_removed", "kept"],
             )
 
-    return map_batches(joined, run, "doc_id long, n_words long, n_removed long, kept string")
+    out = map_batches(joined, run, "key long, n_words long, n_removed long, kept string")
+    return out.select(document_id(F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept")

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,7 +132,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
         for step in text_steps(batches):
             texts = step.column("text")
             counts = np.array(merger.value.text_counts(texts.to_pylist()), np.int64)
-            sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
+            sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [step.column("doc_id"), sizes, pa.array(counts), pa.array(counts > limit)],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
