@@ -148,7 +148,7 @@ SENT_PASSAGES = 100_000
 
 def passages(joined: DataFrame, with_text: bool, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
     """Words of the windows of repeated anchors: ``key, version, start, windows, c1, c2`` for every
-    place (``c1, c2`` name the content), or ``shard, passage, key, version, start`` with the text.
+    place (``c1, c2``, 96 bits, name the content), or ``shard, passage, key, version, start`` with the text.
 
     ``joined`` has ``key, version, packed, places`` with ``places`` an array of ``place, shared``.
     With text, a task sends a passage again only if an earlier place of it turns up.
@@ -178,7 +178,7 @@ def passages(joined: DataFrame, with_text: bool, window: int = WINDOW_WORDS, anc
             if not with_text:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys), pa.array(versions), pa.array(start), pa.array((ends - begins + 1).astype(np.int32)),
-                     pa.array(names[:, 0]), pa.array(names[:, 1])], ["key", "version", "start", "windows", "c1", "c2"],
+                     pa.array(names[:, 0]), pa.array(names[:, 1].astype(np.int32))], ["key", "version", "start", "windows", "c1", "c2"],
                 )
                 continue
             new = []
@@ -194,14 +194,13 @@ def passages(joined: DataFrame, with_text: bool, window: int = WINDOW_WORDS, anc
                  pa.array(start[new])], ["shard", "passage", "key", "version", "start"],
             )
 
-    schema = "key long, version long, start int, windows int, c1 long, c2 long"
+    schema = "key long, version long, start int, windows int, c1 long, c2 int"
     return map_batches(joined, run, "shard long, passage binary, key long, version long, start int" if with_text else schema)
 
 
 def earlier_spans(joined: DataFrame, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
     """``key, version, start, stop``: word spans covered by windows that occur earlier."""
     sent = passages(joined, True, window, anchor).repartition("shard").sortWithinPartitions("shard", "key", "start")
-    none = np.iinfo(np.int64).min
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (r for f in frames for r in zip(f["shard"], f["key"], f["version"], f["start"], f["passage"]))
@@ -216,16 +215,16 @@ def earlier_spans(joined: DataFrame, window: int = WINDOW_WORDS, anchor: int = A
                 words = bytes(passage).split()
                 if waiting is not None:
                     automaton.add(waiting)
-                    out += [(key, version, start + a, start + b, none, none) for a, b in matched_spans(automaton.matching(words), window)]
+                    out += [(key, version, start + a, start + b, 0, 0) for a, b in matched_spans(automaton.matching(words), window)]
                 waiting = words
-                c1, c2 = np.frombuffer(hashlib.blake2b(passage, digest_size=16).digest(), np.int64).tolist()
-                out.append((key, version, start, -1, c1, c2))
+                names = np.frombuffer(hashlib.blake2b(passage, digest_size=16).digest(), np.int64)
+                out.append((key, version, start, -1, int(names[0]), int(names[1].astype(np.int32))))
             if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=columns)
                 out = []
         yield pd.DataFrame(out, columns=columns)
 
-    found = map_frames(sent, run, "key long, version long, start int, stop int, c1 long, c2 long")
+    found = map_frames(sent, run, "key long, version long, start int, stop int, c1 long, c2 int")
     partly = found.where("stop >= 0").select("key", "version", "start", "stop")
     # Every place of a passage but its first is covered as a whole.
     firsts = found.where("stop < 0").select("c1", "c2", F.col("key").alias("k"), F.col("start").alias("s"))
@@ -238,7 +237,7 @@ def packed_texts(texts: DataFrame) -> DataFrame:
     """``key, version, packed``: texts compressed before they are shuffled."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=7)
         for step in text_steps(batches):
             packed = [t if t is None else pack.compress(t) for t in step.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([step.column("key"), step.column("version"), pa.array(packed, pa.binary())], ["key", "version", "packed"])
