@@ -24,7 +24,7 @@ from tidemark.llm.shared import map_batches, text_steps
 
 BLANK = "▁"
 #: Encodings of stretches and weights of pairs that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 REMEMBERED_PAIRS = 500_000
 
 # Fixed values of the model file's format: field numbers and piece types.
@@ -99,19 +99,16 @@ class PieceTransducer:
         self._compile()
 
     def _compile(self) -> None:
-        # Piece machine: node of the trie -> character -> node; a node's piece, if it ends one.
-        self.trie: list[dict[str, int]] = [{}]
-        self.ends: list[str | None] = [None]
+        # Piece machine: a trie of dictionaries by character; "" holds the piece that ends there.
+        self.trie: dict = {}
+        self.letters = frozenset(p for p in self.number if len(p) == 1)
         for piece in self.number:
             if self.merged(piece) != [piece]:
                 continue  # merging never makes it
-            node = 0
+            node = self.trie
             for c in piece:
-                node = self.trie[node].setdefault(c, len(self.trie))
-                if node == len(self.trie):
-                    self.trie.append({})
-                    self.ends.append(None)
-            self.ends[node] = piece
+                node = node.setdefault(c, {})
+            node[""] = piece
         # A blank after another character is in no piece: no path crosses such a place, and
         # what lies between is composed on its own.
         inside = any(BLANK in p.lstrip(BLANK) for p in self.number)
@@ -124,13 +121,19 @@ class PieceTransducer:
 
     def merged(self, text: str) -> list[str]:
         """What merging gives for a short text: lowest cost first, then leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            costs = [self.cost.get(a + b, np.inf) for a, b in zip(parts, parts[1:])]
-            at = min(range(len(costs)), key=costs.__getitem__)
-            if costs[at] == np.inf:
+        parts, cost, none = list(text), self.cost.get, np.inf
+        costs = [cost(a + b, none) for a, b in zip(parts, parts[1:])]
+        while costs:
+            low = min(costs)
+            if low == none:
                 break
+            at = costs.index(low)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del costs[at]
+            if at:
+                costs[at - 1] = cost(parts[at - 1] + parts[at], none)
+            if at < len(costs):
+                costs[at] = cost(parts[at] + parts[at + 1], none)
         return parts
 
     def joins(self, left: str, right: str) -> bool:
@@ -144,49 +147,56 @@ class PieceTransducer:
         return known
 
     def arcs(self, text: str, start: int) -> list[str]:
-        """Pieces that the trie reads from a position, longest first."""
-        out, node, at = [], 0, start
-        while at < len(text):
-            node = self.trie[node].get(text[at], -1)
-            if node < 0:
+        """Pieces that the trie reads from a position, shortest first."""
+        out, node = [], self.trie
+        for at in range(start, len(text)):
+            node = node.get(text[at])
+            if node is None:
                 break
-            at += 1
-            if self.ends[node] is not None:
-                out.append(self.ends[node])
-        out.reverse()
+            if "" in node:
+                out.append(node[""])
         return out
 
     def shortest_path(self, text: str) -> list[str]:
         """Pieces of the lattice's shortest path over a text of characters that pieces hold.
 
-        All finite arcs weigh zero, so states are settled in any order; longest pieces first
-        reach the end soonest. The state is (position, last piece); a settled one is not
-        entered again, so that the work is bounded by the lattice's arcs.
+        Every finite arc weighs zero, so the first path to the end is a shortest one, and
+        states may be settled in any order: longest pieces first, arcs composed as they are
+        needed. A state (position, last piece) that leads nowhere is not entered again, so
+        that the work is bounded by the lattice's arcs.
         """
         path: list[str] = []
-        waiting: list[tuple[int, int, str]] = [(0, 0, p) for p in reversed(self.arcs(text, 0))]
-        settled: set[tuple[int, str]] = set()
-        while waiting:
-            depth, at, piece = waiting.pop()
-            if (at, piece) in settled:
+        open_arcs: list[tuple[int, list[str]]] = []
+        closed: set[tuple[int, str]] = set()
+        at, last, arcs = 0, None, self.arcs(text, 0)
+        while True:
+            while arcs:
+                piece = arcs.pop()
+                if (last is None or self.joins(last, piece)) and (at + len(piece), piece) not in closed:
+                    break
+            else:
+                if last is None:
+                    raise ValueError("the lattice has no finite path")
+                closed.add((at, last))
+                path.pop()
+                at, arcs = open_arcs.pop()
+                last = path[-1] if path else None
                 continue
-            settled.add((at, piece))
-            del path[depth:]
             path.append(piece)
-            at += len(piece)
+            open_arcs.append((at, arcs))
+            at, last = at + len(piece), piece
             if at == len(text):
                 return path
-            for following in reversed(self.arcs(text, at)):
-                if (at, following) not in settled and self.joins(piece, following):
-                    waiting.append((depth + 1, at, following))
-        raise ValueError("the lattice has no finite path")
+            arcs = self.arcs(text, at)
 
     def encode_stretch(self, stretch: str) -> list[int]:
         """Ids of a stretch; characters of no piece part it and become byte pieces."""
+        if self.letters.issuperset(stretch):
+            return [self.number[p] for p in self.shortest_path(stretch)]
         out: list[int] = []
         start = 0
         for at, c in enumerate([*stretch, None]):
-            if c is not None and c in self.number:
+            if c is not None and c in self.letters:
                 continue
             if at > start:
                 out += [self.number[p] for p in self.shortest_path(stretch[start:at])]
