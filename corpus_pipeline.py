@@ -18,7 +18,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     ratio = quality.fit_ratio(docs, table(spark, sf_dir, "labels"))
-    return quality.judged(docs.select(*COLUMNS), ratio).where("kept").select(*COLUMNS)
+    judged = quality.judged(docs.select(*COLUMNS), ratio).withColumn("_row", F.monotonically_increasing_id())
+    # A filter on the verdict alone would be moved below the columns it is made of, and they
+    # would be put into it over and over; it stays above a column of row numbers.
+    return judged.where("kept and _row >= 0").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
