@@ -39,13 +39,13 @@ def date_text(text: Column) -> Column:
     return first_group(text, ANY_DATE)
 
 
-def date_from_head(text: Column, mode: str = "ordered", head_chars: int = 1000) -> Column:
-    """Date near the start of a body.
+def date_from_head(text: Column, mode: str = "ordered", head_chars: int | None = None) -> Column:
+    """Date of a body, or of its first ``head_chars`` characters.
 
     ``mixed`` takes the first date-like stretch and reads it; ``ordered`` tries the
-    notations one after another over the whole head.
+    notations one after another over the whole text.
     """
-    head = F.substring(text, 1, head_chars)
+    head = text if head_chars is None else F.substring(text, 1, head_chars)
     if mode == "mixed":
         return date_from_text(date_text(head))
     if mode == "ordered":

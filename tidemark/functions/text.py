@@ -30,8 +30,9 @@ def collapse(text: Column) -> Column:
     return strip(F.regexp_replace(text, SPACE_CLASS + "+", " "))
 
 
-def cut(text: Column, length: int) -> Column:
-    return F.substring(text, 1, length)
+def cut(text: Column, length: int | None) -> Column:
+    """First ``length`` characters; the whole text without a length."""
+    return text if length is None else F.substring(text, 1, length)
 
 
 def shorten(text: Column, length: int, tail: str = "...") -> Column:

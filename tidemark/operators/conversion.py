@@ -110,7 +110,10 @@ def cta_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
     return found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def _numbered(rows: DataFrame, key: str, limit: int = fixed.CV_LIMIT) -> DataFrame:
+def _numbered(rows: DataFrame, key: str, limit: int | None = fixed.CV_LIMIT) -> DataFrame:
+    """The first ``limit`` rows of a page; all of them without a limit."""
+    if limit is None:
+        return rows
     order = Window.partitionBy(key).orderBy("turn", "idx")
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
 
@@ -127,14 +130,9 @@ def social_proof_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
         lambda x: x.isNotNull(),
     )
     rows = nodes.filter((F.col("text") != "") & (by_class | by_text)).select("*", F.explode(both).alias("_p"))
-    short = cut(F.col("text"), 100)
-    # A longer text found by its words is never taken for a repeat.
-    repeat = F.when(
-        (F.col("_p.turn") == 2) & (F.length("text") > 100), F.concat(F.lit("\u0000"), F.col("idx").cast("string"))
-    ).otherwise(short)
     rows = rows.select(
-        key, "idx", F.lit("social_proof").alias("type"), F.col("tag").alias("element"), short.alias("text"), "position",
-        F.col("_p.stuck").alias("is_sticky"), F.col("_p.turn").alias("turn"), repeat.alias("_same"),
+        key, "idx", F.lit("social_proof").alias("type"), F.col("tag").alias("element"), "text", "position",
+        F.col("_p.stuck").alias("is_sticky"), F.col("_p.turn").alias("turn"), F.col("text").alias("_same"),
     )
     first = Window.partitionBy(key, "_same").orderBy("turn", "idx")
     rows = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_same")
@@ -142,12 +140,12 @@ def social_proof_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
 
 
 def micro_copy_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
-    """Reassuring texts; repeats by their first 80 characters dropped, at most ten per page."""
+    """Reassuring texts; repeats of a whole text dropped."""
     rows = nodes.filter(
         F.col("tag").isin("p", "span", "small", "div", "em", "strong") & F.col("text").rlike(fixed.MICRO_COPY_TEXT)
     ).select(
-        key, "idx", F.lit("micro_copy").alias("type"), F.col("tag").alias("element"), cut(F.col("text"), 100).alias("text"),
-        "position", F.lit(False).alias("is_sticky"), F.lit(1).alias("turn"), cut(F.col("text"), 80).alias("_same"),
+        key, "idx", F.lit("micro_copy").alias("type"), F.col("tag").alias("element"), "text",
+        "position", F.lit(False).alias("is_sticky"), F.lit(1).alias("turn"), F.col("text").alias("_same"),
     )
     first = Window.partitionBy(key, "_same").orderBy("idx")
     rows = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_same")
@@ -164,8 +162,8 @@ def urgency_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
         F.col("tag").isin("span", "p", "div", "strong", "em", "small", "li") & F.col("text").rlike(fixed.URGENCY_TEXT)
     )
     item = F.struct(
-        "idx", F.col("tag").alias("element"), cut(F.col("text"), 100).alias("text"), "position", "is_sticky",
-        cut(F.col("text"), 80).alias("own"), cut(F.coalesce("up_text", F.lit("\u0000")), 80).alias("up"),
+        "idx", F.col("tag").alias("element"), "text", "position", "is_sticky",
+        F.col("text").alias("own"), F.coalesce("up_text", F.lit("\u0000")).alias("up"),
     )
     pages = found.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_all"))
     start = F.slice("_all", 1, 0)
@@ -175,7 +173,7 @@ def urgency_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
             F.exists(done, lambda d: (d["own"] == x["own"]) | (d["own"] == x["up"])), done
         ).otherwise(F.array_append(done, x)),
     )
-    rows = pages.select(key, F.explode(F.slice(kept, 1, fixed.CV_LIMIT)).alias("_x"))
+    rows = pages.select(key, F.explode(kept if fixed.CV_LIMIT is None else F.slice(kept, 1, fixed.CV_LIMIT)).alias("_x"))
     return rows.select(
         key, "_x.idx", F.lit("urgency").alias("type"), "_x.element", "_x.text", "_x.position", "_x.is_sticky",
         F.lit(1).alias("turn"),

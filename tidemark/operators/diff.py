@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SMALL_SHARE = 0.03
-DIFF_LINES = 500
-STORED_CHARS = 10_000
 
 
 def line_changes(pairs: DataFrame, lines: DataFrame, array: str = "norm_lines") -> DataFrame:
@@ -76,11 +74,13 @@ def is_partial_render(additions, deletions, old_lines, share: float = SMALL_SHAR
     return only_gone | only_new
 
 
-def diff_texts(signed: DataFrame, first: int = DIFF_LINES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per pair: the first signed lines in page order, as arrays and as text."""
+def diff_texts(signed: DataFrame, first: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per pair: the signed lines in page order (the ``first`` ones, if given), as arrays and as text."""
     each = signed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     order = Window.partitionBy("pair_id").orderBy("at", F.col("sign").desc(), "line", "_copy")
-    each = each.withColumn("_no", F.row_number().over(order)).filter(F.col("_no") <= first)
+    each = each.withColumn("_no", F.row_number().over(order))
+    if first is not None:
+        each = each.filter(F.col("_no") <= first)
     listed = F.array_sort(F.collect_list(F.struct("_no", "sign", "line")))
     out = each.groupBy("pair_id").agg(*[F.first(c).alias(c) for c in keep], listed.alias("_all"))
     of = lambda sign: F.transform(F.filter("_all", lambda x: x["sign"] == sign), lambda x: x["line"])

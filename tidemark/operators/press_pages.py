@@ -320,7 +320,7 @@ def article_dates(pages: DataFrame, key: str = "capture_id", html: str = "html")
     )
     rows = nodes.withColumn("_slot", F.explode(slots)).withColumn("_n", F.row_number().over(first_of))
     slot = F.col("_slot")
-    limit = F.when(slot < 200, 1).when(slot < 300, 2_000_000_000).when(slot < 400, 3).otherwise(1)
+    limit = F.when(slot < 200, 1).when(slot < 300, 2_000_000_000).when(slot < 400, 2_000_000_000).otherwise(1)
     raw = F.col("raw_text")
     day = (
         F.when(slot < 200, date_from_text(_attr("content")))
@@ -345,12 +345,12 @@ def new_articles(found: DataFrame, stored: DataFrame) -> DataFrame:
     return first.join(known, ["source_id", "article_url"], "left_anti")
 
 
-def backfill_dates(articles: DataFrame, mode: str = "ordered", head_chars: int = 1000) -> DataFrame:
-    """Undated live articles with the date found near the start of their body (NULL if none)."""
+def backfill_dates(articles: DataFrame, mode: str = "ordered", head_chars: int | None = None) -> DataFrame:
+    """Undated live articles with the date found in their body (its first ``head_chars``, if given); NULL if none."""
     from tidemark.functions.dates import date_from_head
 
     live = articles.filter(F.col("published_at").isNull() & F.col("deleted_at").isNull())
-    return live.select("id", cut(F.col("title"), 60).alias("title"), date_from_head(F.col("body_text"), mode, head_chars).alias("found_on"))
+    return live.select("id", "title", date_from_head(F.col("body_text"), mode, head_chars).alias("found_on"))
 
 
 def backfill_counts(backfilled: DataFrame) -> DataFrame:

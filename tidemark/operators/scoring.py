@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import urls
 from tidemark.functions.html import attribute, has_class
 from tidemark.functions.press_text import add_press_summary
-from tidemark.functions.text import any_of, chain, cut, first_group, lookup, strip
+from tidemark.functions.text import any_of, chain, first_group, lookup, strip
 from tidemark.operators.tokens import STRUCTURE_OPAQUE, node_table, spanned_tokens, token_table
 from tidemark.rules import press as press_rules
 from tidemark.rules import scan as scan_rules
@@ -143,7 +143,7 @@ def classify_changes(
         for i, (_, weight) in enumerate(each):
             score = score + F.col(f"_hits_{name}")[i] * weight
         named = F.array(*[F.when(F.col(f"_hits_{name}")[i] > 0, F.lit(p)) for i, (p, _) in enumerate(each)])
-        found = F.array_join(F.slice(F.array_compact(named), 1, 3), ", ")
+        found = F.array_join(F.array_compact(named), ", ")
         scored.append(
             F.struct(score.alias("score"), F.lit(-order).alias("rank"), F.lit(name).alias("name"), found.alias("found"))
         )
@@ -171,7 +171,7 @@ def priority_of(category: Column) -> Column:
 def advice_stub(changes: DataFrame) -> DataFrame:
     """Placeholder advice per change (change_id, category, summary)."""
     text = F.when(F.coalesce(F.col("summary"), F.lit("")) == "", scan_rules.NO_SUMMARY).otherwise(
-        cut(F.col("summary"), 200)
+        F.col("summary")
     )
     return changes.select(
         "change_id", text.alias("summary"),
@@ -234,6 +234,6 @@ def written_back(articles: DataFrame, body: str = "body_text", **summary_options
     data = add_press_summary(
         articles.withColumn("classification", status), body, "relevance_category", "_said", **summary_options
     )
-    data = data.withColumn("summary", F.when((F.col("classification") == "relevant") & (F.col("_said") != ""), cut(F.col("_said"), 5000)))
+    data = data.withColumn("summary", F.when((F.col("classification") == "relevant") & (F.col("_said") != ""), F.col("_said")))
     unsummarised = (F.col("classification") == "relevant") & F.col("summary").isNull()
     return data.withColumn("needs_manual_review", F.col("needs_manual_review") | unsummarised).drop("_said")

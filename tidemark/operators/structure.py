@@ -172,7 +172,9 @@ def page_sections(nodes: DataFrame, key: str = "capture_id", attributes: bool =
         F.collect_list(F.when(F.col("component").isNotNull(), component)).alias("_c"),
     )
     kept = grouped.filter((F.size("_c") > 0) | (F.col("_s.type") != "div") | F.col("_holds"))
-    in_order = F.slice(F.array_sort("_c", lambda a, b: a["idx"] - b["idx"]), 1, fixed.COMPONENT_LIMIT)
+    in_order = F.array_sort("_c", lambda a, b: a["idx"] - b["idx"])
+    if fixed.COMPONENT_LIMIT is not None:
+        in_order = F.slice(in_order, 1, fixed.COMPONENT_LIMIT)
     placed = F.transform(
         in_order,
         lambda c, i: F.struct(

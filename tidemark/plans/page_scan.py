@@ -45,6 +45,6 @@ def page_changes(captures: DataFrame, order: tuple[str, ...] = ("captured_at", "
 def change_rows(diffs: DataFrame) -> DataFrame:
     """Summary, category and priority of diffs; only changed lines are scored."""
     rows = change_summary.summarise_changes(diffs)
-    rows = rows.withColumn("_scored", F.substring(F.concat_ws("\n", F.array_join("added", "\n"), F.array_join("removed", "\n")), 1, 8000))
+    rows = rows.withColumn("_scored", F.concat_ws("\n", F.array_join("added", "\n"), F.array_join("removed", "\n")))
     rows = scoring.classify_changes(rows, "_scored").drop("_scored")
     return rows.withColumn("priority", scoring.priority_of(F.col("category")))

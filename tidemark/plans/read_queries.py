@@ -708,7 +708,7 @@ def date_backfill(spark, sf):
 SELECT count(*) AS total_without_date, count_if(doc_id % 5 < 4) AS updated, count_if(doc_id % 5 = 4) AS still_no_date
 FROM documents WHERE doc_id % 3 = 0 AND n_chars % 13 <> 0""")
 def date_backfill_counts(spark, sf):
-    rows = press_pages.backfill_dates(sample.articles(spark, sf), mode="mixed", head_chars=500)
+    rows = press_pages.backfill_dates(sample.articles(spark, sf), mode="mixed")
     return press_pages.backfill_counts(rows)
 
 
@@ -723,7 +723,7 @@ def list_page_pick(spark, sf):
 
 @query("stored_changes", with_roles("changes") + """
 , t AS (SELECT id, repeat(summary || chr(10), CAST(200 + id % 300 AS INTEGER)) AS d FROM changes)
-SELECT id, length(substr(d, 1, 10000)) AS stored_length, md5(substr(d, 1, 10000)) AS digest FROM t""")
+SELECT id, length(d) AS stored_length, md5(d) AS digest FROM t""")
 def stored_changes(spark, sf):
     c = sample.changes(spark, sf).withColumn(
         "diff_text", F.expr("repeat(concat(summary, '\n'), cast(200 + id % 300 as int))")

@@ -25,7 +25,7 @@ SUMMARY_KEYWORDS = {
 SENTENCE_ENDS = "。！？"
 SUMMARY_MIN, SUMMARY_MAX = 50, 200
 
-TITLE_LIMIT, URL_LIMIT, BODY_LIMIT = 512, 2048, 100_000
+TITLE_LIMIT = URL_LIMIT = BODY_LIMIT = None  # no limit
 
 # Paths and titles that are not articles.
 NOT_ARTICLE_PATH = (

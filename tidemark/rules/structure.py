@@ -14,7 +14,7 @@ LINK_TEXT = r"問い合わせ|お問合せ|資料請求|見学|内見|申し込|
 STICKY_COMPONENT_CLASS = r"(?i)sticky|fixed|float|pin"
 PROOF_COMPONENT_CLASS = r"(?i)review.count|view.count|favorite.count|popular|rating|star|score"
 URGENCY_COMPONENT_TEXT = r"残り[0-9]|あと[0-9]|期間限定|本日限り|急いで|お早めに|人気|即入居|すぐ"
-COMPONENT_LIMIT = 200
+COMPONENT_LIMIT = None  # no limit
 
 INPUT_TYPES = {
     "text": "input_text", "email": "input_text", "tel": "input_tel", "number": "input_number",
@@ -69,4 +69,4 @@ MICRO_COPY_TEXT = (
 )
 STICKY_STYLE = r"(?i)position\s*:\s*(fixed|sticky)"
 STICKY_CLASS = r"(?i)fixed|sticky|float|pin|dock"
-CV_LIMIT = 10
+CV_LIMIT = None  # no limit

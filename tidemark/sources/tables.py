@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import cut
-from tidemark.operators.diff import STORED_CHARS
 from tidemark.operators.snapshots import by_day, save_on_change
 from tidemark.schemas import TABLES
 
@@ -82,9 +81,9 @@ def append_snapshots(snapshots: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
-def change_rows(changes: DataFrame) -> DataFrame:
-    """Changes as stored: diff text cut to its limit, not yet reviewed."""
-    return changes.withColumn("diff_text", cut(F.col("diff_text"), STORED_CHARS)).withColumn("is_reviewed", F.lit(False))
+def change_rows(changes: DataFrame, diff_chars: int | None = None) -> DataFrame:
+    """Changes as stored: whole diff text (or its first ``diff_chars``), not yet reviewed."""
+    return changes.withColumn("diff_text", cut(F.col("diff_text"), diff_chars)).withColumn("is_reviewed", F.lit(False))
 
 
 def append_changes(changes: DataFrame, path: str) -> None:
