@@ -72,3 +72,25 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
         scan_batch(late, 1, root, *args)
         after = {r.capture_id: (r.status, r.differs) for r in latest_statuses(spark, root).collect()}
         assert after == {1: ("first_scan", False), 2: ("ok", True), 3: ("ok", True), 4: ("ok", True)}
+
+
+def test_redelivered_capture_replaces_its_lines_and_its_change(spark, tmp_path):
+    from tidemark.streaming.scan_stream import latest_changes, scan_batch
+
+    page = lambda *words: "".join(f"<h2>{w}</h2>" for w in words)
+    rows = spark.createDataFrame(
+        [(1, "p", page("a", "b")), (2, "p", page("a", "c", "d"))], "capture_id int, page_id string, html string"
+    )
+    root, args = str(tmp_path), (("capture_id",), F.col("capture_id") % 1)
+    show = lambda: [(r.pair_id, r.additions, r.deletions, r.old_lines, r.new_lines) for r in latest_changes(spark, root).collect()]
+    scan_batch(rows, 0, root, *args)
+    first = show()
+    assert [r[0] for r in first] == [2] and first[0][1:3] == (2, 1)
+    scan_batch(rows.filter("capture_id = 2"), 1, root, *args)
+    assert show() == first
+    # Twice in one batch, then with the body of the capture before.
+    again = rows.filter("capture_id = 2")
+    scan_batch(again.unionByName(again), 2, root, *args)
+    assert show() == first
+    scan_batch(spark.createDataFrame([(2, "p", page("a", "b"))], rows.schema), 3, root, *args)
+    assert show() == []

@@ -20,19 +20,18 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared}/tidemark-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidemark-stream-")
 
 
-def in_drops(rows: DataFrame, root: str, drop) -> DataFrame:
-    """Writes rows in several drops and reads them back as a stream, one drop per batch."""
+def in_drops(rows: DataFrame, root: str) -> DataFrame:
+    """Writes rows in many files, mixed, and reads them back as a stream in about ``DROPS`` batches."""
     spark = rows.sparkSession
-    parts = rows.withColumn("_drop", drop)
-    for number in range(DROPS):
-        parts.filter(F.col("_drop") == number).drop("_drop").coalesce(1).write.mode("append").parquet(f"{root}/drops")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/drops")
+    files = max(DROPS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(files).write.parquet(f"{root}/drops")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // DROPS)).parquet(f"{root}/drops")
 
 
 def incremental_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_folder(spark)
     captures = sample.captures(spark, sf_dir)
-    stream = in_drops(captures, root, F.col("capture_id") % DROPS)
+    stream = in_drops(captures, root)
     scan_stream.start_scan(stream, root, markup_queries.PAGE_ORDER, F.floor(F.col("capture_id") / 4096)).awaitTermination()
     rows = scan_stream.latest_statuses(spark, root)
     return rows.select("capture_id", "page_id", "status", "dom_hash", F.col("norm_length").cast("bigint"))
@@ -41,10 +40,10 @@ def incremental_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_folder(spark)
     found = sample.articles(spark, sf_dir).select(
-        "id", "source_id", "title", "article_url", F.col("title").alias("body_text"), F.col("created_at").alias("found_at"),
+        "id", "source_id", "title", "article_url", "body_text", F.col("created_at").alias("found_at"),
         F.col("id").alias("idx"),
     )
-    stream = in_drops(found, root, F.col("id") % DROPS)
+    stream = in_drops(found, root)
     options = {"relevant": markup_queries.SAMPLE_RELEVANT, "irrelevant": markup_queries.SAMPLE_IRRELEVANT}
     scan_stream.start_press(stream, root, options, {"ends": ".!?", "keywords": markup_queries.SAMPLE_RELEVANT}).awaitTermination()
     rows = scan_stream.stored_articles(spark, root)

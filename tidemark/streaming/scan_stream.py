@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.operators import diff, press_pages, scoring
 from tidemark.plans import page_scan
 
+
 def _folder(root: str, table: str, batch_id: int) -> str:
     return f"{root}/{table}/batch_id={batch_id}"
 
@@ -29,25 +30,34 @@ def _stored_before(spark: SparkSession, root: str, table: str, batch_id: int, sh
     return _read(spark, root, table).filter(F.col("batch_id") < batch_id)
 
 
+def _current(rows: DataFrame) -> DataFrame:
+    """One row per capture: the one delivered by the latest batch."""
+    return _first(rows, F.col("batch_id").desc())
+
+
+def _first(rows: DataFrame, order: Column) -> DataFrame:
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("capture_id").orderBy(order)))
+    return ranked.filter("_n = 1").drop("_n")
+
+
 def scan_batch(captures: DataFrame, batch_id: int, root: str, order: tuple[str, ...], segment: Column) -> None:
     """One micro-batch of the scan.
 
     The pages touched by the batch are paired anew from their stored narrow rows, so a
     capture that arrives out of order corrects the status of the one after it. Line
-    diffs are worked out for the pairs that the batch takes part in.
+    diffs are worked out for the pairs that the batch takes part in. Several deliveries of
+    one capture in one batch have no order; the one whose markup sorts last counts.
     """
     spark = captures.sparkSession
     keep = tuple(dict.fromkeys(["page_id", *[c for c in order if c != "capture_id"]]))
-    page_scan.snapshot_table(captures, keep).write.mode("overwrite").parquet(_folder(root, "snapshots", batch_id))
-    own = spark.read.parquet(_folder(root, "snapshots", batch_id))
-    narrow = list(dict.fromkeys(["capture_id", "page_id", *order, "dom_hash", "norm_length", "norm_version"]))
+    page_scan.snapshot_table(_first(captures, F.col("html").desc()), keep).write.mode("overwrite").parquet(_folder(root, "snapshots", batch_id))
+    own = spark.read.parquet(_folder(root, "snapshots", batch_id)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    narrow = list(dict.fromkeys(["capture_id", "page_id", *order, "dom_hash", "norm_length", "norm_version", "batch_id"]))
     touched = own.select("page_id").distinct()
     earlier = _stored_before(spark, root, "snapshots", batch_id, own)
-    history = earlier.join(touched, "page_id", "left_semi").select(*narrow, F.lit(False).alias("arrived"))
-    rows = history.unionByName(own.select(*narrow, F.lit(True).alias("arrived")))
+    history = earlier.join(touched, "page_id", "left_semi").select(*narrow)
     # A capture that is delivered again counts once, as the later delivery.
-    again = Window.partitionBy("capture_id").orderBy(F.col("arrived").desc())
-    rows = rows.withColumn("_n", F.row_number().over(again)).filter("_n = 1").drop("_n")
+    rows = _current(history.unionByName(own.select(*narrow)))
     statuses = page_scan.capture_status(rows, order, segment)
     arrived = own.select("capture_id").distinct()
     concerned = statuses.join(arrived, "capture_id", "left_semi").unionByName(
@@ -60,7 +70,9 @@ def scan_batch(captures: DataFrame, batch_id: int, root: str, order: tuple[str,
     pairs = written.filter("differs").select(
         F.col("capture_id").alias("pair_id"), F.col("prev_id").alias("old_id"), F.col("capture_id").alias("new_id")
     )
-    lines = earlier.select("capture_id", "norm_lines").unionByName(own.select("capture_id", "norm_lines"))
+    asked = pairs.select(F.explode(F.array("old_id", "new_id")).alias("capture_id")).distinct()
+    texts = ["capture_id", "batch_id", "norm_lines"]
+    lines = _current(earlier.select(*texts).unionByName(own.select(*texts)).join(asked, "capture_id", "left_semi"))
     page_scan.change_rows(diff.compute_diffs(pairs, lines)).write.mode("overwrite").parquet(_folder(root, "changes", batch_id))
 
 
@@ -71,6 +83,16 @@ def latest_statuses(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy("capture_id").agg(F.max_by(F.struct(*columns), "batch_id").alias("_r")).select("capture_id", "_r.*")
 
 
+def latest_changes(spark: SparkSession, root: str) -> DataFrame:
+    """Current changes: those of the latest batch that worked out the status of their capture.
+
+    A pair that no longer differs has a later status and no change beside it, so its older
+    change does not show.
+    """
+    decided = _read(spark, root, "statuses").groupBy(F.col("capture_id").alias("pair_id")).agg(F.max("batch_id").alias("batch_id"))
+    return _read(spark, root, "changes").join(decided, ["pair_id", "batch_id"]).drop("batch_id")
+
+
 def start_scan(captures: DataFrame, root: str, order: tuple[str, ...], segment: Column) -> StreamingQuery:
     """Work through all arrived captures of a streaming table and stop."""
     return (
