@@ -138,3 +138,16 @@ def test_summaries_against_brute_force(spark):
     for r in press_text.add_press_summary(rows).collect():
         assert r.summary == brute_summary(r.body_text, SUMMARY_KEYWORDS[r.relevance_category]), r.body_text
         assert len(r.summary) <= 200
+
+
+def test_full_width_digits_and_wide_spaces(spark):
+    from tidemark.functions import dates
+    from tidemark.rules import normalise, structure
+
+    rows = spark.createDataFrame([("２０２５年１月５日",), ("x 2025/1/5",), ("２０２５.０１.０５",), ("none",)], "t string")
+    got = [(r.a, r.b) for r in rows.select(dates.date_from_text(F.col("t")).alias("a"), dates.date_from_head(F.col("t"), "mixed").alias("b")).collect()]
+    assert got == [("2025-01-05", "2025-01-05")] * 3 + [(None, None)]
+    texts = spark.createDataFrame([("残り３室",), ("残り　3室",), ("残り三室",)], "t string")
+    assert [r[0] for r in texts.select(F.col("t").rlike(structure.URGENCY_TEXT)).collect()] == [True, True, False]
+    noise = spark.createDataFrame([("５円",), ("5円",), ("五円",)], "t string")
+    assert [r[0] for r in noise.select(F.col("t").rlike("|".join(normalise.LISTING_NOISE))).collect()] == [True, True, False]

@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import first_group
+from tidemark.functions.text import ascii_digits, first_group, wide
 
 # The notations, in the order they are tried.
 DATE_NOTATIONS = [
-    r"([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日",
-    r"([0-9]{4})\.([0-9]{1,2})\.([0-9]{1,2})",
-    r"([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})",
-    r"([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})",
+    r"(\d{4})年(\d{1,2})月(\d{1,2})日",
+    r"(\d{4})\.(\d{1,2})\.(\d{1,2})",
+    r"(\d{4})/(\d{1,2})/(\d{1,2})",
+    r"(\d{4})-(\d{1,2})-(\d{1,2})",
 ]
-ANY_DATE = r"[0-9]{4}[年./\-][0-9]{1,2}[月./\-][0-9]{1,2}日?"
+ANY_DATE = wide(r"\d{4}[年./\-]\d{1,2}[月./\-]\d{1,2}日?")
 
 
 def date_from_text(text: Column) -> Column:
     """yyyy-mm-dd of the first notation found, without a calendar check; NULL if none."""
+    text = ascii_digits(text)
     found = [
         F.when(
             F.regexp_extract(text, notation, 0) != "",

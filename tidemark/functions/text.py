@@ -30,6 +30,20 @@ def collapse(text: Column) -> Column:
     return strip(F.regexp_replace(text, SPACE_CLASS + "+", " "))
 
 
+def wide(pattern: str) -> str:
+    """The pattern with the digits and white space of all scripts.
+
+    Pages in Japanese write full-width digits and the ideographic space, which the JVM's own
+    classes leave out.
+    """
+    return pattern.replace(r"\d", r"\p{Nd}").replace(r"\s", SPACE_CLASS)
+
+
+def ascii_digits(text: Column) -> Column:
+    """Full-width digits as plain ones."""
+    return F.translate(text, "０１２３４５６７８９", "0123456789")
+
+
 def cut(text: Column, length: int | None) -> Column:
     """First ``length`` characters; the whole text without a length."""
     return text if length is None else F.substring(text, 1, length)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import urls
 from tidemark.functions.dates import date_from_text, date_text
 from tidemark.functions.html import attribute, has_class
-from tidemark.functions.text import any_of, chain, collapse, cut, none_if_empty
+from tidemark.functions.text import any_of, ascii_digits, chain, collapse, cut, none_if_empty
 from tidemark.lineage import cut_lineage
 from tidemark.operators.tokens import carried, element_nodes
 from tidemark.rules import press as fixed
@@ -204,10 +204,10 @@ def _candidate(kind: str, near: Column) -> tuple[Column, Column, Column, Column]
     title = F.when(own, said).otherwise(_inside("_href")["title"])
     rest = collapse(F.regexp_replace(said, fixed.DATED_PREFIX, ""))
     title = F.when((F.length(title) < 10) & (F.length(rest) > 10), cut(rest, fixed.TITLE_LIMIT)).otherwise(title)
-    stamp = r"([0-9]{4})[./]([0-9]{1,2})[./]([0-9]{1,2})"
-    pad = lambda i: F.lpad(F.regexp_extract("raw_text", stamp, i), 2, "0")
-    day = F.concat_ws("-", F.regexp_extract("raw_text", stamp, 1), pad(2), pad(3))
-    ok = F.col("raw_text").rlike(stamp) & (F.length(title) >= 10) & ~href.startswith("#") & (href != "/")
+    stamp, written = r"(\d{4})[./](\d{1,2})[./](\d{1,2})", ascii_digits(F.col("raw_text"))
+    pad = lambda i: F.lpad(F.regexp_extract(written, stamp, i), 2, "0")
+    day = F.concat_ws("-", F.regexp_extract(written, stamp, 1), pad(2), pad(3))
+    ok = written.rlike(stamp) & (F.length(title) >= 10) & ~href.startswith("#") & (href != "/")
     return title, href, day, ok
 
 

@@ -1,5 +1,7 @@
 """Fixed values of the page normaliser."""
 
+from tidemark.functions.text import wide
+
 # Elements removed before comparison, as (tag, class, id, attribute); None = any.
 EXCLUDED = [
     (None, None, None, "data-property-price"),
@@ -27,7 +29,7 @@ BUILD_ID = r"/_next/data/[a-zA-Z0-9_-]+/"
 CACHE_BUSTER = r"""[?&](?:v|ver|version|hash|t|ts|cb|_)=[^&"']+"""
 
 # Numbers with a counter in meta contents.
-COUNTED_NUMBER = r"[0-9,]+(?:\.[0-9]+)?\s*(?:件|棟|戸|台|室|区画|物件|軒|人|万|円|m²|㎡)"
+COUNTED_NUMBER = wide(r"[\d,]+(?:\.\d+)?\s*(?:件|棟|戸|台|室|区画|物件|軒|人|万|円|m²|㎡)")
 
 RECOMMEND_SECTION = r"(?i)recommend|おすすめ|関連|人気|ランキング|新着|pickup|similar|related|suggest"
 
@@ -44,18 +46,18 @@ KEPT_TEXT_CLASS = [
 ]
 
 # Kept text that names one listing is masked all the same.
-LISTING_NOISE = [
-    r"[0-9]{1,4}万円",
-    r"[0-9]+\.[0-9]+万円",
-    r"[0-9]+円",
-    r"築[0-9]+年",
-    r"[0-9]+階建",
-    r"[0-9]+[LDK]+",
-    r"[0-9]+\.[0-9]+m²",
-    r"[0-9]+㎡",
-    r"20[0-9]{2}/[0-9]{1,2}/[0-9]{1,2}",
-    r"20[0-9]{2}年[0-9]{1,2}月",
-]
+LISTING_NOISE = [wide(p) for p in (
+    r"\d{1,4}万円",
+    r"\d+\.\d+万円",
+    r"\d+円",
+    r"築\d+年",
+    r"\d+階建",
+    r"\d+[LDK]+",
+    r"\d+\.\d+m²",
+    r"\d+㎡",
+    r"20\d{2}/\d{1,2}/\d{1,2}",
+    r"20\d{2}年\d{1,2}月",
+)]
 
 # Attributes dropped by prefix; inline handlers (on...) are dropped too.
 DYNAMIC_ATTRIBUTES = [

@@ -1,5 +1,7 @@
 """Fixed values of the press pipeline."""
 
+from tidemark.functions.text import wide
+
 IRRELEVANT = [
     "人事|取締役|執行役|役員|代表|社長就任",
     "決算|IR|投資家|株主|配当|有価証券",
@@ -104,7 +106,7 @@ LISTING_PROFILES = {
     },
 }
 PROFILE_NAMES = [("suumo", "suumo"), ("athome", "athome"), ("canary", "canary"), ("bluage", "canary"), ("itandi", "itandi")]
-DATED_PREFIX = r"^[0-9]{4}[./][0-9]{1,2}[./][0-9]{1,2}\s*(?:プレスリリース|お知らせ|PRESS RELEASE|NEWS)?\s*"
+DATED_PREFIX = wide(r"^\d{4}[./]\d{1,2}[./]\d{1,2}\s*(プレスリリース|お知らせ|PRESS RELEASE|NEWS)?\s*")
 DATED_SKIP = r"(?i)/(download|seminar|whitepaper|contact|about)/?$"
 
 # Body selectors (tag, class, id, enclosing tag) in order, characters needed, tags removed first.

@@ -69,18 +69,18 @@ SERVICE_HOSTS = [
 
 # Patterns of a detail-page URL.
 DETAIL_URL = {
-    "suumo": [r"/chintai/jnc_[0-9]+", r"/ms/jnc_[0-9]+", r"/chukoikkodate/.+/nc_", r"/library/.+/sc_"],
-    "athome": [r"/chintai/[0-9]+", r"/mansion/[0-9]+", r"/detail/[0-9]+"],
+    "suumo": [r"/chintai/jnc_\d+", r"/ms/jnc_\d+", r"/chukoikkodate/.+/nc_", r"/library/.+/sc_"],
+    "athome": [r"/chintai/\d+", r"/mansion/\d+", r"/detail/\d+"],
     "canary": [r"/rooms/[a-zA-Z0-9\-]+", r"/room/[a-zA-Z0-9\-]+", r"/property/[a-zA-Z0-9\-]+"],
     "carsensor": [
-        r"/usedcar/detail/[A-Z0-9]+/", r"/usedcar/detail/VU[0-9]+", r"/usedcar/detail/[A-Z]{2}[0-9]+/index\.html",
+        r"/usedcar/detail/[A-Z0-9]+/", r"/usedcar/detail/VU\d+", r"/usedcar/detail/[A-Z]{2}\d+/index\.html",
     ],
-    "goo-net": [r"/usedcar/detail/[0-9]+/", r"/usedcar/detail/7[0-9]+", r"/usedcar/spread/goo/[0-9]+/[0-9]+\.html"],
-    "eheya": [r"/line/detail/[0-9]+", r"/detail/[0-9]+"],
-    "sumaity": [r"_bldg/bldg_[0-9]+", r"/chintai/[a-z]+_bldg/bldg_[0-9]+"],
+    "goo-net": [r"/usedcar/detail/\d+/", r"/usedcar/detail/7\d+", r"/usedcar/spread/goo/\d+/\d+\.html"],
+    "eheya": [r"/line/detail/\d+", r"/detail/\d+"],
+    "sumaity": [r"_bldg/bldg_\d+", r"/chintai/[a-z]+_bldg/bldg_\d+"],
     "smocca": [r"/bukken/detail/[a-z0-9_]+"],
-    "door": [r"/[a-z]+/city-[0-9]+/detail/[0-9]+", r"/detail/[0-9]+"],
-    "airdoor": [r"/detail/[0-9]+/[0-9]+"],
+    "door": [r"/[a-z]+/city-\d+/detail/\d+", r"/detail/\d+"],
+    "airdoor": [r"/detail/\d+/\d+"],
 }
 
 # Link selectors of a listing page in order: (class of an enclosing element or None,

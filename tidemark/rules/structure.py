@@ -1,5 +1,7 @@
 """Fixed values of section, component, form and conversion extraction."""
 
+from tidemark.functions.text import wide
+
 SECTION_TAGS = ["header", "footer", "nav", "main", "aside", "section", "article", "form"]
 SECTION_CLASS = (
     r"(?i)hero|banner|sidebar|content|wrapper|container|panel|block|module|widget|modal|drawer|overlay"
@@ -13,7 +15,7 @@ LINK_CLASS = r"(?i)btn|button|cta|action|submit|inquiry|contact|apply|register|s
 LINK_TEXT = r"問い合わせ|お問合せ|資料請求|見学|内見|申し込|申込|予約|相談"
 STICKY_COMPONENT_CLASS = r"(?i)sticky|fixed|float|pin"
 PROOF_COMPONENT_CLASS = r"(?i)review.count|view.count|favorite.count|popular|rating|star|score"
-URGENCY_COMPONENT_TEXT = r"残り[0-9]|あと[0-9]|期間限定|本日限り|急いで|お早めに|人気|即入居|すぐ"
+URGENCY_COMPONENT_TEXT = wide(r"残り\d|あと\d|期間限定|本日限り|急いで|お早めに|人気|即入居|すぐ")
 COMPONENT_LIMIT = None  # no limit
 
 INPUT_TYPES = {
@@ -34,11 +36,11 @@ REQUIRED_WORDS = ["必須", "※"]
 REQUIRED_MARKS = ["*", "※", "必須"]
 SUBMIT_LABEL = "送信"
 SUBMIT_LINK_CLASS = r"(?i)btn|button|cta|submit"
-FORM_MICRO_COPY = (
-    r"無料|しつこい.*ません|営業.*ません|安心|簡単|かんたん|[0-9]+分で完了|[0-9]+秒で|すぐに届|今すぐ|無理な勧誘"
+FORM_MICRO_COPY = wide(
+    r"無料|しつこい.*ません|営業.*ません|安心|簡単|かんたん|\d+分で完了|\d+秒で|すぐに届|今すぐ|無理な勧誘"
     r"|個人情報.*保護|SSL|暗号化|セキュア"
 )
-FORM_PROOF = r"本日[0-9]+人|今日[0-9]+人|[0-9]+人が(?:問い合わせ|申し込|利用|閲覧)|満足度[0-9]+|★[0-9]|評価[0-9]|[0-9]+件のレビュー"
+FORM_PROOF = wide(r"本日\d+人|今日\d+人|\d+人が(問い合わせ|申し込|利用|閲覧)|満足度\d+|★\d|評価\d|\d+件のレビュー")
 FIELD_SECONDS = {
     "input_text": 8, "input_tel": 6, "input_number": 5, "input_password": 6, "input_date": 5, "textarea": 20,
     "select": 4, "checkbox": 2, "radio": 3,
@@ -55,16 +57,16 @@ CTA_TEXT = (
     r"|今すぐ|LINEで|電話で|メールで|お気に入り|保存する|比較する"
 )
 PROOF_CLASS = r"(?i)review|rating|star|score|count|popular|favorite|bookmark"
-PROOF_TEXT = (
-    r"[0-9]+人が(?:閲覧|問い合わせ|お気に入り|検討|保存)|閲覧数\s*[0-9]+|お気に入り\s*[0-9]+|レビュー\s*[0-9]+|★\s*[0-9.]+"
-    r"|満足度\s*[0-9.]+|評価\s*[0-9.]+|本日[0-9]+人|今日[0-9]+人"
+PROOF_TEXT = wide(
+    r"(\d+)人が(閲覧|問い合わせ|お気に入り|検討|保存)|閲覧数\s*(\d+)|お気に入り\s*(\d+)|レビュー\s*(\d+)|★\s*[\d.]+"
+    r"|満足度\s*[\d.]+|評価\s*[\d.]+|本日(\d+)人|今日(\d+)人"
 )
-URGENCY_TEXT = (
-    r"残り\s*[0-9]+|あと\s*[0-9]+|期間限定|本日限り|今だけ|お早めに|急募|即入居|すぐ入居|即日|人気物件|注目|おすすめ"
-    r"|[0-9]+日以内|本日中"
+URGENCY_TEXT = wide(
+    r"残り\s*(\d+)|あと\s*(\d+)|期間限定|本日限り|今だけ|お早めに|急募|即入居|すぐ入居|即日|人気物件|注目|おすすめ"
+    r"|(\d+)日以内|本日中"
 )
-MICRO_COPY_TEXT = (
-    r"無料で|しつこい.*ません|営業.*ません|安心.*ください|ご安心|簡単|かんたん|[0-9]+分で完了|[0-9]+秒で完了|すぐ終わ"
+MICRO_COPY_TEXT = wide(
+    r"無料で|しつこい.*ません|営業.*ません|安心.*ください|ご安心|簡単|かんたん|\d+分で完了|\d+秒で完了|すぐ終わ"
     r"|個人情報.*保護|プライバシー|SSL|無理な勧誘.*ません|迷惑.*ません|いつでもキャンセル|気軽に"
 )
 STICKY_STYLE = r"(?i)position\s*:\s*(fixed|sticky)"
