@@ -126,13 +126,13 @@ def dated_body() -> Column:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
-        F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.substring("text", 1, 90).alias("title"),
+        F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.col("text").alias("title"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/a/"), F.col("n_chars"), F.lit("-"), F.md5("text")).alias("article_url"),
         F.when(F.col("doc_id") % 3 > 0, article_day().cast("timestamp")).alias("published_at"),
         dated_body().alias("body_text"),
         F.when(F.col("doc_id") % 4 == 0, "pending").when(F.col("doc_id") % 4 == 1, "relevant").otherwise("irrelevant").alias("classification"),
         F.when(F.col("lang") == "en", "market_data").when(F.col("lang") == "fr", "pricing").otherwise("other").alias("relevance_category"),
-        F.when(F.col("doc_id") % 6 != 0, F.substring("text", 1, 40)).alias("summary"),
+        F.when(F.col("doc_id") % 6 != 0, F.col("text")).alias("summary"),
         F.timestamp_seconds(F.col("doc_id") * 60).alias("created_at"),
         F.when(F.col("n_chars") % 13 == 0, F.timestamp_seconds(F.lit(0))).alias("deleted_at"),
     )
@@ -175,12 +175,12 @@ ROLE_SQL = {
       CASE WHEN s_nationkey % 2 = 0 THEN 'pc' ELSE 'sp' END AS device, s_acctbal > 0 AS is_active FROM supplier)""",
     "sources": """sources AS (SELECT source AS id, source || '-press' AS name, 'https://' || source || '.example.com/news/' AS url,
       min(doc_id) % 5 <> 0 AS is_active, min(doc_id) % 7 = 3 AS is_deleted, min(doc_id) AS created_no FROM documents GROUP BY source)""",
-    "articles": """articles AS (SELECT doc_id AS id, source AS source_id, substr(text, 1, 90) AS title,
+    "articles": """articles AS (SELECT doc_id AS id, source AS source_id, text AS title,
       'https://' || source || '.example.com/a/' || n_chars || '-' || md5(text) AS article_url,
       CASE WHEN doc_id % 3 > 0 THEN CAST(DATE '2020-01-01' + CAST(doc_id % 1500 AS INTEGER) AS TIMESTAMP) END AS published_at,
       CASE doc_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'relevant' ELSE 'irrelevant' END AS classification,
       CASE lang WHEN 'en' THEN 'market_data' WHEN 'fr' THEN 'pricing' ELSE 'other' END AS relevance_category,
-      CASE WHEN doc_id % 6 <> 0 THEN substr(text, 1, 40) END AS summary, doc_id AS created_no, text,
+      CASE WHEN doc_id % 6 <> 0 THEN text END AS summary, doc_id AS created_no, text,
       n_chars % 13 = 0 AS is_deleted FROM documents)""",
     "insights": """insights AS (SELECT event_id AS id, user_id AS article_id, event_type AS insight_type,
       CASE WHEN value < 5 THEN 'low' WHEN value < 15 THEN 'medium' ELSE 'high' END AS priority,
