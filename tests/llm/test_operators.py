@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -98,6 +99,15 @@ def test_near_duplicates_odd(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_segments_cover_all_patterns():
+    """Every pattern of four differing bits leaves at most one of them in some segment."""
+    bits = np.array(list(combinations(range(64), simhash.MAX_BITS)), np.uint64)
+    patterns = (np.uint64(1) << bits).sum(axis=1, dtype=np.uint64)
+    masks = [sum((1 << high) - (1 << low) for low, high in pieces) for pieces in simhash.SEGMENTS]
+    fewest = np.min([np.bitwise_count(patterns & np.uint64(m)) for m in masks], axis=0)
+    assert len(patterns) == 635_376 and fewest.max() == 1
+
+
 def test_links_in_blocks(spark):
     """A large group split into small blocks connects as pairs would."""
     rng = np.random.default_rng(3)

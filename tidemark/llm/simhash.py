@@ -1,9 +1,12 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-Two 64-bit fingerprints that differ in at most four bits, cut into three segments, differ in
-at most one bit in one of the segments. So each segment is indexed once per bit with that
-bit wiped out: two segments with at most one differing bit share such a variant. An equality
-join on variants finds all candidates; every candidate is verified on the whole fingerprint.
+Two 64-bit fingerprints that differ in at most four bits differ in at most one bit in one of
+four segments. The first segment is 26 bits. If two or more of the differing bits lie in it,
+the other 38 bits hold at most two; these are cut into thirds, and without the third that
+holds most of them at most one is left. Each two of the thirds make a segment. Every segment
+is indexed once per bit with that bit wiped out: two segments with at most one differing bit
+share such a variant. An equality join on variants finds all candidates; every candidate is
+verified on the whole fingerprint.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from tidemark.llm.words import WordBatch
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
+#: Bit ranges of each segment; one of them differs by at most one bit if all differ by ``MAX_BITS``.
+SEGMENTS = [[(0, 26)], [(26, 39), (39, 52)], [(26, 39), (52, 64)], [(39, 52), (52, 64)]]
 #: Fingerprints of one bucket that one block compares with each other or with another chunk.
 CHUNK = 512
 
@@ -64,20 +69,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_batches(rows, run, "doc_id long, fp long")
 
 
-def signatures(distinct: DataFrame, segments: int = MAX_BITS - 1) -> DataFrame:
-    """``sig, fp``: one row per fingerprint and bit, the segment of the bit without that bit.
-
-    ``segments`` must leave one segment with at most one differing bit: ``MAX_BITS // segments <= 1``.
-    """
-    if MAX_BITS // segments > 1:
-        raise ValueError("too few segments for one to differ by at most one bit")
-    bounds = [64 * i // segments for i in range(segments + 1)]
+def signatures(distinct: DataFrame) -> DataFrame:
+    """``sig, fp``: one row per fingerprint, segment and bit of it, the segment without that bit."""
     variants = []
-    for low, high in zip(bounds, bounds[1:]):
-        part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-        for bit in range(high - low):
-            number = (low + bit) << 40
-            variants.append(part.bitwiseAND(F.lit(~(1 << bit))).bitwiseOR(F.lit(number)))
+    for number, pieces in enumerate(SEGMENTS):
+        part, size = F.lit(0).cast("long"), 0
+        for low, high in pieces:
+            piece = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+            part, size = part.bitwiseOR(F.shiftleft(piece, size)), size + high - low
+        for bit in range(size):
+            variants.append(part.bitwiseAND(F.lit(~(1 << bit))).bitwiseOR(F.lit((number * 64 + bit) << 40)))
     return distinct.select("fp", F.explode(F.array(*variants)).alias("sig"))
 
 
@@ -114,7 +115,12 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) ->
     of about ``chunk`` by hash, and a block holds two chunks, so that no task meets a whole
     large bucket. A block yields a spanning forest of its links, not all of its pairs.
     """
-    variants = signatures(distinct)
+    if max_bits > MAX_BITS:
+        raise ValueError("the segments find links of at most four differing bits")
+    # A fixed number of tasks: fingerprints are small beside their hundred variants, and the
+    # adaptive planner would put them into a few tasks.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = signatures(distinct.repartition(tasks, "fp"))
     sizes = variants.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     chunks = F.ceil(F.col("members") / chunk).cast("int")
     members = variants.join(sizes, "sig").select("sig", "fp", chunks.alias("chunks"))
