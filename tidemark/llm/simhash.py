@@ -118,9 +118,10 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) ->
     if max_bits > MAX_BITS:
         raise ValueError("the segments find links of at most four differing bits")
     # A fixed number of tasks: fingerprints are small beside their hundred variants, and the
-    # adaptive planner would put them into a few tasks.
+    # adaptive planner would put them into a few tasks. A hash of another form than that of the
+    # grouping before, as an equal one would be taken out.
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    variants = signatures(distinct.repartition(tasks, "fp"))
+    variants = signatures(distinct.repartition(tasks, F.xxhash64("fp")))
     sizes = variants.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     chunks = F.ceil(F.col("members") / chunk).cast("int")
     members = variants.join(sizes, "sig").select("sig", "fp", chunks.alias("chunks"))
