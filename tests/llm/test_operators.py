@@ -242,6 +242,36 @@ def test_page():
         assert isinstance(html_text.main_text(page, field), str)
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<!DOCTYPE html><title>T</title><head><meta charset=utf-8><title>T</title><body><p>One<p>Two", ["One", "Two"]),
+    ("<head><title>T</title><article><p>One</article>", ["One"]),
+    ("<head><title>T</title>One<p>Two", ["One", "Two"]),
+    ("<head><noscript><link href=x><body><p>One", ["One"]),
+    ("<head><template><p>no</template><script>'</head>'</script><style>p</style></head><p>One", ["One"]),
+    ("<p hidden>no<p>One<p>Two", ["One", "Two"]),
+    ("<div><p hidden>no</div>One", ["One"]),
+    ("<ul><li hidden>no<ul><li>no<li>no</ul>no<li>One<li>Two</ul>Three", ["One", "Two", "Three"]),
+    ("<dl><dt hidden>no<dd>One<dd hidden>no</dl>Two", ["One", "Two"]),
+    ("<table><tr hidden><td>no<td>no<tr><td>One<td hidden>no<td>Two<tbody hidden><tr><td>no<tbody><tr><td>Three</table>", ["One", "Two", "Three"]),
+    ("<table><caption hidden>no<tr><td>One</table>", ["One"]),
+    ("<p>One <button>no<div>no</div></button> goes <span hidden>no <b>no</b></span> on<div hidden>no</div>", ["One goes on"]),
+    ("<p>One <select><option>no<option>no</select> goes", ["One", "goes"]),
+    ("<div><select><option>no</div><p>One", ["One"]),
+    ("<svg><title/><style/><a/><p/></svg><p>One", ["One"]),
+    ("<div>One <noscript>no</div></noscript> goes <iframe><p>no</iframe> on<iframe src=x></div><p>Two", ["One", "goes", "on", "Two"]),
+    ('<article data-hidden="false"><p>One <a href="/hidden/x">link</a></article>', ["One link"]),
+    ('<p title="the hidden costs">One</p><p data-topic="hidden figures">Two</p><p data-x=hidden class=hidden>Three', ["One", "Two", "Three"]),
+    ("<p alt='a hidden b' aria-hidden=true>One</p><p class=\"a\" HIDDEN>no</p><p hidden=''>no</p><p hidden=until-found>no</p>", ["One"]),
+])
+def test_hidden(page, texts):
+    assert [b.text for b in html_text.leaf_blocks(page)] == texts
+
+
+def test_names():
+    page = '<div data-class="nav" title="id=menu" class=post id="main-text"><p>One'
+    assert [b.names for b in html_text.leaf_blocks(page)] == [("post", "main", "text")]
+
+
 def test_field_on_other_pages():
     field = html_text.train(html_text.labelled_pages())
     right = total = 0

@@ -29,9 +29,17 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var".split()
 )
 CLOSES = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"},
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th", "caption"}, "td": {"td", "th"}, "th": {"td", "th"},
+    "option": {"option"}, "rt": {"rt", "rp"}, "rp": {"rt", "rp"},
+    **dict.fromkeys(("thead", "tbody", "tfoot"), {"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}),
+    **dict.fromkeys(("col", "colgroup"), {"caption"}),
 }
+# What a start tag ends wherever it is open; what may stand in a head; elements whose content
+# is text up to their end tag; hidden ones out of which a start tag closes nothing.
+ENDS = {"button": "button", "select": "select", "input": "select", "textarea": "select", "body": "head"}
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+RAW = frozenset("script style title textarea noscript iframe".split())
+BARRIERS = HIDDEN - {"head"}
 SCOPES = frozenset("ul ol dl table tr body html article section div main aside nav header footer form blockquote figure details".split())
 NOT_IN_P = frozenset(
     "p div ul ol dl table section article aside nav header footer main form h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption "
@@ -39,7 +47,7 @@ NOT_IN_P = frozenset(
 )
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -61,26 +69,36 @@ def leaf_blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     links = linked = 0
     at = 0
+    dark: int | None = None  # place of the outermost hidden element in the stack
+    unended: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            outer = [s for s in stack if s[0] not in INLINE]
+            outer = [s for s in stack[:dark] if s[0] not in INLINE]
             blocks.append(Block(text, tuple(t for t, _ in outer), tuple(n for _, ns in outer for n in ns), linked / len(text)))
         linked = 0
 
     def close(index: int) -> None:
-        nonlocal links
-        if any(t not in INLINE for t, _ in stack[index:]):
+        nonlocal links, dark
+        seen = stack[index:dark]
+        if any(t not in INLINE for t, _ in seen):
             flush()
-        links -= sum(t == "a" for t, _ in stack[index:])
+        links -= sum(t == "a" for t, _ in seen)
         del stack[index:]
+        if dark is not None and index <= dark:
+            dark = None
+
+    def innermost(tag: str, floor: int = 0) -> int | None:
+        return next((i for i in range(len(stack) - 1, floor - 1, -1) if stack[i][0] == tag), None)
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if stack and stack[-1][0] == "head" and raw.strip(" \t\n\f\r"):
+            close(len(stack) - 1)
+        if raw and dark is None:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if links:
@@ -98,70 +116,68 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         if found[1]:
-            index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            index = innermost(tag)
             if index is not None:
                 close(index)
-            elif tag not in INLINE:
+            elif tag not in INLINE and dark is None:
                 flush()
             continue
+        floor = 0
+        if dark is not None:
+            floor = next((i + 1 for i in range(len(stack) - 1, dark - 1, -1) if stack[i][0] in BARRIERS), 0)
+            if found[3].endswith("/") and any(t == "svg" for t, _ in stack[dark:]):
+                continue
+        ended = "head" if tag not in IN_HEAD and stack and stack[-1][0] in ("head", "noscript") else ENDS.get(tag)
+        index = innermost(ended) if ended else None
+        if index is not None:
+            close(index)
+        if tag in NOT_IN_P:
+            index = innermost("p", floor)
+            if index is not None:
+                close(index)
+        closes = CLOSES.get(tag, ())
+        for i in range(len(stack) - 1, floor - 1, -1) if closes else ():
+            if stack[i][0] in closes:
+                close(i)
+            elif stack[i][0] in SCOPES:
+                break
         names: tuple[str, ...] = ()
         hidden = tag in HIDDEN
         if found[3]:
             words = []
             for name, value in _ATTRIBUTE.findall(found[3]):
-                name, value = name.lower(), value.strip("\"'")
-                if name == "hidden" or name == "aria-hidden" and value == "true":
-                    hidden = name == "hidden" or hidden
-                else:
+                name = name.lower()
+                if name == "hidden":
+                    hidden = True
+                elif name in ("class", "id", "role", "itemprop"):
                     words += [w.lower() for w in _NAME_PARTS.findall(value)]
             names = tuple(words)
-        if hidden:
-            if tag in VOID or found[3].endswith("/") and tag in ("svg", "canvas"):
-                continue
-            end = _hidden_end(page, at, tag)
-            if tag not in INLINE and tag != "button":
-                flush()
-            at = end
-            continue
         if tag in VOID:
-            if tag == "hr":
-                flush()
-            elif tag == "br":
-                parts.append(" ")
+            if dark is None and not hidden:
+                if tag == "hr":
+                    flush()
+                elif tag == "br":
+                    parts.append(" ")
             continue
-        if tag in NOT_IN_P:
-            index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if index is not None:
-                close(index)
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in CLOSES.get(tag, ()):
-                close(i)
-                break
-            if stack[i][0] in SCOPES:
-                break
-        if tag not in INLINE:
+        if hidden and found[3].endswith("/") and tag in ("svg", "canvas"):
+            continue
+        if dark is None and tag not in INLINE and not (hidden and tag == "button"):
             flush()
-        elif tag == "a":
+        if tag in RAW and tag not in unended:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if end or tag not in ("noscript", "iframe"):
+                at = end.end() if end else len(page)
+                continue
+            unended.add(tag)
+        if hidden and dark is None:
+            dark = len(stack)
+        if tag == "a" and dark is None:
             links += 1
         stack.append((tag, names))
     flush()
     return blocks
 
 
-def _hidden_end(page: str, at: int, tag: str) -> int:
-    """Where a hidden element ends, its own kind nested in it counted."""
-    depth = 1
-    nested = tag not in ("script", "style", "title", "textarea")
-    for found in re.finditer(rf"<(/?){re.escape(tag)}\b[^>]*>", page[at:], re.I) if nested else ():
-        depth += -1 if found[1] else 1
-        if depth == 0:
-            return at + found.end()
-    if not nested:
-        found = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-        return found.end() if found else len(page)
-    return len(page)
-
-
 def features(blocks: list[Block]) -> list[list[str]]:
     """Feature names of each block."""
     out = []
