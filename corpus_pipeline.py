@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import line_windows, quality, sentencepiece_fst, simhash, tiling
 from tidemark.llm.queries import tokenizer_path
-from tidemark.llm.shared import checkpoint_folder, document_key, table
+from tidemark.llm.shared import checkpoint_folder, checkpointed, document_key, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,13 +33,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class, once.
+    """One row of each near-duplicate class: that with the smallest id, then hash of the row.
 
-    Rows without an id cannot be told apart by a decision and stay.
+    Different rows of one id are decided apart. Rows without an id cannot be told apart by a
+    decision and stay.
     """
-    chosen = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    rows = docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("_key"))
-    first = rows.where("_key is not null").join(chosen, "_key", "left_semi").dropDuplicates(["_key"])
+    absent = [F.col(c).isNull() for c in COLUMNS]
+    keys = [F.xxhash64(F.lit(seed), *COLUMNS, *absent).alias(name) for seed, name in ((0, "_h0"), (1, "_h1"))]
+    rows = docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("_key"), *keys)
+    prints = checkpointed(simhash.fingerprints(rows, ("_h0", "_h1")))
+    # Only equal rows share all three; no struct for rows without an id, as it would name a class.
+    order = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("_key"), "_h0", "_h1"))
+    chosen = simhash.near_classes(prints, order).where("first is not null").select("first.*").distinct()
+    first = rows.where("_key is not null").join(chosen, ["_key", "_h0", "_h1"], "left_semi").dropDuplicates(["_key", "_h0", "_h1"])
     return first.unionByName(rows.where("_key is null")).select(*COLUMNS)
 
 

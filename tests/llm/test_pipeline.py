@@ -53,6 +53,23 @@ def test_stages(spark):
     assert sorted(map(str, rows_of(entry.queries()["pipeline"](spark, FOLDER)).values())) == sorted(map(str, pieces.values()))
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    a, b = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"beta{i}" for i in range(60))
+    texts = [(3, b, "en"), *[(7, f"{a} {n}" * 3, "en") for n in range(3)], (7, b, "en"), (7, b, "en"), (7, b, "de"), (9, b, "en"), (None, b, "en")]
+    rows = [(i, text, lang, "s", len(text)) for i, text, lang in texts]
+    near_stage = corpus_pipeline.STAGES[2][1]
+    prints = {t: brute_fingerprint(t) for _, t, *_ in rows}
+    roots = brute_components(set(prints.values()))
+    heads = len({roots[f] for f in prints.values()})
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        out = near_stage(spark, docs, FOLDER).collect()
+        assert sorted((r["doc_id"] or 0, r["text"] == b) for r in out if r["text"] == b) == [(0, True), (3, True)]
+        kept = [r for r in out if r["text"] != b]
+        assert all(r["doc_id"] == 7 for r in kept) and len(kept) == heads - 1
+        assert len({roots[prints[r["text"]]] for r in kept}) == heads - 1
+
+
 def test_odd_rows(spark):
     for frame in (odd(spark), odd(spark, [])):
         for _, stage in corpus_pipeline.STAGES:

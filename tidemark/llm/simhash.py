@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import component_roots
@@ -57,16 +57,19 @@ def text_fingerprints(texts: list[bytes | None], words: int = SHINGLE_WORDS) ->
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (fingerprint as a signed long) for every row of ``docs``."""
+def fingerprints(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (fingerprint as a signed long) and the ``carried`` columns for every row of ``docs``."""
+    names = ["doc_id", "fp", *carried]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in text_steps(batches):
             values = text_fingerprints(step.column("text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            others = [step.column(c) for c in carried]
+            yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(values.view(np.int64)), *others], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return map_batches(rows, run, "doc_id long, fp long" + kept)
 
 
 def signatures(distinct: DataFrame) -> DataFrame:
@@ -168,11 +171,16 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     repeated. Other columns are not read. An empty table gives an empty result.
     """
     prints = checkpointed(fingerprints(docs))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = component_roots(links(distinct.select("fp"), max_bits))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(smallest, "root").select("fp", "component_id")
+    classes = near_classes(prints, F.col("doc_id"), max_bits).withColumnRenamed("first", "component_id")
     return prints.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def near_classes(prints: DataFrame, order: Column, max_bits: int = MAX_BITS) -> DataFrame:
+    """``fp, first``: each fingerprint with the smallest ``order`` of the rows in its class."""
+    distinct = prints.groupBy("fp").agg(F.min(order).alias("first_id"))
+    roots = component_roots(links(distinct.select("fp"), max_bits))
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = named.groupBy("root").agg(F.min("first_id").alias("first"))
+    return named.join(smallest, "root").select("fp", "first")
