@@ -167,3 +167,21 @@ def test_conversion_elements(spark):
     assert next(r.micro_copy for r in rows if r.label == "LINE") == "ご安心ください"
     assert [r.text for r in sorted(rows, key=lambda r: r.idx) if r.type == "urgency"] == ["残り3残り3", "あと5日"]
     assert {r.text for r in rows if r.type == "social_proof"} == {"4.5", "3人が検討"}
+
+
+def test_texts_behind_display_lengths(spark):
+    long = "x" * 60
+    html = (
+        f'<body><main><a class="btn-sub" href="/a">{long}1</a><a class="btn-sub" href="/b">{long}2</a><a href="/c">{long}見学予約</a>'
+        f'<a class="btn-sub" href="/{"p" * 250}">Far</a><p class="star">{long}{long}1</p><details open><summary>{long}1</summary></details></main></body>'
+    )
+    other = [html.replace(f"{long}1</{tag}", f"{long}9</{tag}") for tag in ("a", "p", "summary")] + [html.replace("p" * 250, "p" * 249 + "q")]
+    source = pages(spark, html, *other)
+    docs = structure.page_structures(structure.page_sections(structure.structure_nodes(source))).collect()
+    assert len({d.hash for d in docs}) == len(docs) == 5
+    points = conversion.cv_points(conversion.conversion_nodes(pages(spark, html.replace("見学予約", "今すぐ予約"))))
+    ctas = {r.label: r.display_label for r in points.collect() if r.label}
+    assert ctas == {f"{long}1": "x" * 50, f"{long}2": "x" * 50, f"{long}今すぐ予約": "x" * 50, "Far": "Far"}
+    assert conversion.cv_summary(points).first().total_cta_count == 4
+    components = docs[0].sections[0].components
+    assert [c.attributes["href"] for c in components if c.type == "cta_link"] == ["/a", "/b", "/c", "/" + "p" * 250]

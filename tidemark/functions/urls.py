@@ -72,11 +72,11 @@ def valid_http(url: Column) -> Column:
 
 
 def without_query(href: Column) -> Column:
-    """Link as kept in a component: cut at '?', else its first 200 characters."""
+    """Link as kept in a component: cut at '?', else whole."""
     return (
         F.when(href.isNull(), F.lit(""))
         .when(F.contains(href, F.lit("?")), F.substring_index(href, "?", 1))
-        .otherwise(cut(href, 200))
+        .otherwise(href)
     )
 
 

@@ -79,12 +79,15 @@ def position_label() -> Column:
 
 
 def cta_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
-    """Calls to action; a label counts once per page, submits first, then buttons, then links."""
-    tag, text50 = F.col("tag"), cut(F.col("text"), 50)
+    """Calls to action; a whole label counts once per page, submits first, then buttons, then links.
+
+    ``display_label`` is the label's short form.
+    """
+    tag, text = F.col("tag"), F.col("text")
     submit = tag.isin("button", "input") & (_attr("type") == "submit")
     label = F.when(
-        tag == "input", cut(F.coalesce(attribute(F.col("attrs"), "value"), F.lit(fixed.SUBMIT_LABEL)), 50)
-    ).otherwise(text50)
+        tag == "input", F.coalesce(attribute(F.col("attrs"), "value"), F.lit(fixed.SUBMIT_LABEL))
+    ).otherwise(text)
     href, cls = _attr("href"), F.col("cls")
     link = (
         F.when(F.contains(href, F.lit("line.me")), "line_cta")
@@ -93,18 +96,18 @@ def cta_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
             cls.rlike(fixed.CTA_CLASS),
             F.when(F.contains(F.lower(cls), F.lit("primary")), "primary_cta").otherwise("secondary_cta"),
         )
-        .when(text50.rlike(fixed.CTA_TEXT), "secondary_cta")
+        .when(text.rlike(fixed.CTA_TEXT), "secondary_cta")
     )
     kind = (
         F.when(submit, "primary_cta")
-        .when((tag == "button") & text50.rlike(fixed.CTA_TEXT), "secondary_cta")
+        .when((tag == "button") & text.rlike(fixed.CTA_TEXT), "secondary_cta")
         .when(tag == "a", link)
     )
     turn = F.when(submit, 1).when(tag == "button", 2).otherwise(3)
     found = nodes.filter(tag.isin("button", "input", "a")).select(
         key, "idx", kind.alias("type"), tag.alias("element"), label.alias("label"), "position", "is_sticky",
-        cut(cls, 100).alias("class_name"), cut(F.col("near_copy"), 100).alias("micro_copy"),
-        cut(F.col("near_proof"), 100).alias("social_proof"), turn.alias("turn"),
+        cls.alias("class_name"), F.col("near_copy").alias("micro_copy"),
+        F.col("near_proof").alias("social_proof"), cut(label, 50).alias("display_label"), turn.alias("turn"),
     ).filter(F.col("type").isNotNull() & (F.col("label") != ""))
     first = Window.partitionBy(key, "label").orderBy("turn", "idx")
     return found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")

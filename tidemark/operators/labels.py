@@ -74,7 +74,7 @@ def with_label_candidates(nodes: DataFrame, key: str = "capture_id") -> DataFram
 
 def component_label():
     """Label kept with a component: earlier ``for`` label, wrapping label, aria, sibling before."""
-    return cut(F.coalesce("earlier_label", "wrap_label", "aria_label", "sibling_label", F.lit("")), 50)
+    return F.coalesce("earlier_label", "wrap_label", "aria_label", "sibling_label", F.lit(""))
 
 
 def field_label():

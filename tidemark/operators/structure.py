@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.html import attribute
-from tidemark.functions.text import any_of, cut, lookup
+from tidemark.functions.text import any_of, lookup
 from tidemark.functions.urls import without_query
 from tidemark.operators.labels import component_label, with_label_candidates
 from tidemark.operators.tokens import STRUCTURE_OPAQUE, carried, element_nodes, inside
@@ -63,7 +63,7 @@ def component_type() -> Column:
         F.when(F.contains(href, F.lit("line.me")), "cta_line")
         .when(href.startswith("tel:"), "cta_tel")
         .when(cls.rlike(fixed.LINK_CLASS), "cta_link")
-        .when(cut(text, 50).rlike(fixed.LINK_TEXT), "cta_link")
+        .when(text.rlike(fixed.LINK_TEXT), "cta_link")
     )
     urgent = text.rlike(fixed.URGENCY_COMPONENT_TEXT)
     parent_urgent = ~F.coalesce(F.col("up_1.tag"), F.lit("body")).isin(
@@ -90,7 +90,7 @@ def _component_attributes() -> Column:
     has = lambda name: F.map_contains_key("attrs", name)
     flag = lambda c: F.when(c, "true").otherwise("false")
     entry = lambda *pairs: F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)])
-    kind, text50 = F.col("component"), cut(F.col("text"), 50)
+    kind, text = F.col("component"), F.col("text")
     columns = F.when(inside("th") > 0, inside("th")).otherwise(F.least(inside("td"), F.lit(1)))
     summary = F.when(F.col("_summary.idx") < F.col("end_idx"), F.col("_summary.text"))
     return (
@@ -101,12 +101,12 @@ def _component_attributes() -> Column:
                 ("placeholder", _attr("placeholder")),
             ),
         )
-        .when(F.col("tag") == "button", entry(("label", text50), ("className", F.col("cls"))))
-        .when(kind.isin("cta_line", "cta_tel"), entry(("label", text50), ("href", _attr("href"))))
+        .when(F.col("tag") == "button", entry(("label", text), ("className", F.col("cls"))))
+        .when(kind.isin("cta_line", "cta_tel"), entry(("label", text), ("href", _attr("href"))))
         .when(
             kind == "cta_link",
             entry(
-                ("label", text50), ("className", F.col("cls")),
+                ("label", text), ("className", F.col("cls")),
                 ("href", without_query(attribute(F.col("attrs"), "href"))),
             ),
         )
@@ -121,10 +121,10 @@ def _component_attributes() -> Column:
         )
         .when(
             kind == "accordion",
-            entry(("summary", F.coalesce(cut(summary, 50), F.lit(""))), ("open", flag(has("open")))),
+            entry(("summary", F.coalesce(summary, F.lit(""))), ("open", flag(has("open")))),
         )
-        .when(kind == "social_proof", entry(("text", cut(F.col("text"), 100)), ("className", F.col("cls"))))
-        .when(kind == "urgency", entry(("text", cut(F.col("text"), 100))))
+        .when(kind == "social_proof", entry(("text", text), ("className", F.col("cls"))))
+        .when(kind == "urgency", entry(("text", text)))
         .otherwise(F.create_map().cast("map<string,string>"))
     )
 
