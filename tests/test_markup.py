@@ -185,3 +185,17 @@ def test_texts_behind_display_lengths(spark):
     assert conversion.cv_summary(points).first().total_cta_count == 4
     components = docs[0].sections[0].components
     assert [c.attributes["href"] for c in components if c.type == "cta_link"] == ["/a", "/b", "/c", "/" + "p" * 250]
+
+
+def test_form_texts_without_limits(spark):
+    said = [f"無料で簡単 {i} " + "x" * 30 * i for i in range(8)]
+    proofs = [f"{i}人が閲覧 " + "y" * 30 * i for i in range(1, 7)]
+    html = (
+        "<body><section><form><input name=a>" + "".join(f"<p>{t.strip()}</p>" for t in said) + "</form><p>安心です " + "z" * 150 + "</p>"
+        + "".join(f"<span>{t}</span>" for t in proofs) + "</section></body>"
+    )
+    nodes = forms.form_nodes(pages(spark, html))
+    row = forms.form_table(nodes).first()
+    assert row.micro_copy == [*[t.strip() for t in said], "安心です " + "z" * 150] and row.social_proof == proofs
+    row = forms.form_table(nodes, max_copies=2, max_proofs=1, max_length=100).first()
+    assert row.micro_copy == [t.strip() for t in said[:2]] and row.social_proof == proofs[:1]

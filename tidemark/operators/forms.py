@@ -114,18 +114,21 @@ def button_size(cls: Column) -> Column:
     )
 
 
-def _first_distinct(texts: Column, count: int) -> Column:
-    """First ``count`` distinct texts of an array of (idx, text), by idx."""
+def _first_distinct(texts: Column, count: int | None) -> Column:
+    """First ``count`` distinct texts of an array of (idx, text), by idx; all without a count."""
     ordered = F.array_sort(F.filter(texts, lambda x: x["idx"].isNotNull()))
-    return F.slice(F.array_distinct(F.transform(ordered, lambda x: x["text"])), 1, count)
+    texts = F.array_distinct(F.transform(ordered, lambda x: x["text"]))
+    return texts if count is None else F.slice(texts, 1, count)
 
 
-def form_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
+def form_table(
+    nodes: DataFrame, key: str = "capture_id", max_copies: int | None = None, max_proofs: int | None = None, max_length: int | None = None
+) -> DataFrame:
     """One row per form with at least one field.
 
     Columns: key, form_no, action, method, total_fields, required_fields, field_types,
     steps, has_progress_bar, validation_type, submit (struct), micro_copy, social_proof,
-    estimated_minutes.
+    estimated_minutes. Texts beside a form are kept in any number and length without limits.
     """
     rows = _field_columns(nodes, key)
     parent = F.col("up_1.idx")
@@ -150,7 +153,8 @@ def form_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
         .filter(F.col("_items") >= 2)
         .groupBy(key, F.col("form.idx").alias("form_idx")).agg(F.min_by("_items", "idx").alias("_step_items"))
     )
-    text_ok = (F.length("text") <= 100) & (F.col("text") != "")
+    short = lambda c: F.lit(True) if max_length is None else F.length(c) <= max_length
+    text_ok = short("text") & (F.col("text") != "")
     copy = F.col("tag").isin("p", "span", "small", "div", "em") & text_ok & F.col("text").rlike(fixed.FORM_MICRO_COPY)
     link_button = (F.col("tag") == "a") & F.col("cls").rlike(fixed.SUBMIT_LINK_CLASS)
     preference = (
@@ -224,7 +228,7 @@ def form_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
     )
     joined = joined.join(inside_area, [key, "form_idx"], "left")
     none = F.array().cast("array<struct<idx:int,text:string>>")
-    after_ok = (F.length("after") <= 100) & F.col("after").rlike(fixed.FORM_MICRO_COPY)
+    after_ok = short("after") & F.col("after").rlike(fixed.FORM_MICRO_COPY)
     copies = F.concat(
         F.coalesce("_copies", none),
         F.when(after_ok, F.array(F.struct(F.col("end_idx").alias("idx"), F.col("after").alias("text")))).otherwise(none),
@@ -240,8 +244,8 @@ def form_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
         (F.col("_bar") | F.col("bar_before")).alias("has_progress_bar"),
         F.when(F.col("novalidate") | F.col("_realtime"), "realtime")
         .when(F.col("_html5"), "onsubmit").otherwise("none").alias("validation_type"),
-        "submit", _first_distinct(copies, 5).alias("micro_copy"),
-        _first_distinct(F.coalesce("_proofs", none), 3).alias("social_proof"),
+        "submit", _first_distinct(copies, max_copies).alias("micro_copy"),
+        _first_distinct(F.coalesce("_proofs", none), max_proofs).alias("social_proof"),
         estimated_minutes(F.col("_seconds")).alias("estimated_minutes"),
         F.lit(False).alias("is_implicit"),
     )
