@@ -113,3 +113,14 @@ def test_advice_stub(spark):
     data = spark.createDataFrame([(1, "CRO", "s" * 300), (2, "OTHER", None)], "change_id int, category string, summary string")
     got = {r.change_id: r for r in scoring.advice_stub(data).collect()}
     assert got[1].priority == "high" and len(got[1].summary) == 200 and got[2].priority == "low" and got[2].summary == "変更を検知しました"
+
+
+def test_all_changes(spark):
+    heads = [f"<h2>Heading {i} {'x' * 40}</h2>" for i in range(40)]
+    mixed = [f"<h3>L{i}x</h3><h4>M{i}x</h4><label>N{i}x</label>" for i in range(4)]
+    cases = [(1, heads, []), (2, mixed, []), (3, ["<a>New1</a>", "<a>Same</a>"], ["<a>Old1</a>", "<a>Same</a>", "<a>Old2</a>"])]
+    data = spark.createDataFrame(cases, "id int, added array<string>, removed array<string>")
+    got = {r.id: r for r in change_summary.summarise_changes(data).collect()}
+    assert len(got[1].summary_items) == 40 and all("x" * 40 in x for x in got[1].summary_items)
+    assert len(got[2].summary_items) == 12 and got[2].summary.endswith("・他4件の変更")
+    assert got[3].summary_items == ["リンクテキスト変更:「Old1」→「New1」", "リンク削除:「Old2」"]

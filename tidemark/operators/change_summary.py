@@ -63,6 +63,25 @@ def text_changes(added: Column, removed: Column) -> Column:
     return F.flatten(F.transform(tags, of_tag))
 
 
+def all_text_changes(added: Column, removed: Column) -> Column:
+    """Messages of every text a tag gained or lost, whole; the n-th lost and gained ones are a swap."""
+    tags = F.array_distinct(F.concat(F.transform(added, lambda p: p["tag"]), F.transform(removed, lambda p: p["tag"])))
+
+    def of_tag(tag: Column) -> Column:
+        texts = lambda xs: F.transform(F.filter(xs, lambda p: p["tag"] == tag), lambda p: p["text"])
+        new, old = texts(added), texts(removed)
+        label = lookup(tag, fixed.TEXT_TAG_LABELS, tag)
+        quoted = lambda x: F.concat(F.lit("「"), x, F.lit("」"))
+        return F.zip_with(
+            F.array_except(old, new), F.array_except(new, old),
+            lambda o, n: F.when(o.isNull(), F.concat(label, F.lit("追加:"), quoted(n)))
+            .when(n.isNull(), F.concat(label, F.lit("削除:"), quoted(o)))
+            .otherwise(F.concat(label, F.lit("テキスト変更:"), quoted(o), F.lit("→"), quoted(n))),
+        )
+
+    return F.flatten(F.transform(tags, of_tag))
+
+
 def snippet(lines: Column, pattern: Column) -> Column:
     """What the first matching block says: texts, else input hints, else id, else class; '' if nothing."""
     hit = F.array_position(F.transform(lines, lambda x: F.rlike(x, F.concat(F.lit("(?i)"), pattern))), True)
@@ -161,25 +180,29 @@ def keyword_counts(text: Column, keywords: list[str] | None = None) -> Column:
 
 
 def summarise_changes(diffs: DataFrame, name: str = "summary") -> DataFrame:
-    """Adds the summary text of rows with ``added`` and ``removed`` line arrays."""
+    """Adds the summary text of rows with ``added`` and ``removed`` line arrays.
+
+    ``<name>_items`` holds every change; the summary shows the first few, shortened, and where
+    it stops at ``SHOWN_ITEMS`` says how many more there are.
+    """
     data = diffs.withColumn("_at", F.array_join("added", "\n")).withColumn("_rt", F.array_join("removed", "\n"))
     data = data.withColumn("_ap", _tag_texts(F.col("_at"))).withColumn("_rp", _tag_texts(F.col("_rt")))
+    others = F.concat(
+        structure_changes(F.col("added"), F.col("removed"), F.col("_at"), F.col("_rt")),
+        form_changes(F.col("added"), F.col("removed"), F.col("_at"), F.col("_rt")),
+        accessibility_growth(F.col("added"), F.col("removed")),
+    )
+    data = data.withColumn("_others", others)
+    data = data.withColumn("_items", F.array_distinct(F.concat(text_changes(F.col("_ap"), F.col("_rp")), "_others")))
     data = data.withColumn(
-        "_items",
-        F.array_distinct(
-            F.concat(
-                text_changes(F.col("_ap"), F.col("_rp")),
-                structure_changes(F.col("added"), F.col("removed"), F.col("_at"), F.col("_rt")),
-                form_changes(F.col("added"), F.col("removed"), F.col("_at"), F.col("_rt")),
-                accessibility_growth(F.col("added"), F.col("removed")),
-            )
-        ),
+        f"{name}_items", F.array_distinct(F.concat(all_text_changes(F.col("_ap"), F.col("_rp")), "_others"))
     )
     n_items = F.size("_items")
+    n_all = F.greatest(n_items, F.size(f"{name}_items"))
     dotted = F.array_join(F.transform(F.slice("_items", 1, fixed.SHOWN_ITEMS), lambda x: F.concat(F.lit("・"), x)), "\n")
     rest = F.when(
         n_items > fixed.SHOWN_ITEMS,
-        F.concat(F.lit("\n・他"), (n_items - fixed.SHOWN_ITEMS).cast("string"), F.lit("件の変更")),
+        F.concat(F.lit("\n・他"), (n_all - fixed.SHOWN_ITEMS).cast("string"), F.lit("件の変更")),
     ).otherwise("")
     total = F.size("added") + F.size("removed")
     found = keyword_counts(F.concat_ws("\n", F.col("_at"), F.col("_rt")))
@@ -191,4 +214,4 @@ def summarise_changes(diffs: DataFrame, name: str = "summary") -> DataFrame:
         .when(total > 0, F.concat(F.lit("DOM構造の変更"), tail))
         .otherwise("DOM構造に変更を検知")
     )
-    return data.withColumn(name, summary).drop("_at", "_rt", "_ap", "_rp", "_items")
+    return data.withColumn(name, summary).drop("_at", "_rt", "_ap", "_rp", "_items", "_others")

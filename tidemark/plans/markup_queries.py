@@ -114,7 +114,7 @@ def line_diff_counts(spark, sf):
 @query("page_changes")
 def page_changes(spark, sf):
     rows = page_scan.page_changes(sample.captures(spark, sf), PAGE_ORDER, _page_segment())
-    return rows.select("pair_id", "additions", "deletions", "category", "confidence", "priority", "summary", "diff_text")
+    return rows.select("pair_id", "additions", "deletions", "category", "confidence", "priority", "summary", "summary_items", "diff_text")
 
 
 @query("moved_lines")
