@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, language, line_windows, quality, secrets, sentencepiece_fst, simhash, substrings, tiling, token_counts
+from tidemark.llm import html_text, language, line_windows, periodic_runs, quality, secrets, sentencepiece_fst, simhash, substrings, tiling, token_counts
 from tidemark.llm.shared import table
 
 
@@ -65,11 +65,22 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("_best", periodic_runs.strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        sha256(F.array_join(lines, "")).alias("runs_sha256"), sha256(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_sentencepiece, op3_quality, op4_html, op5_line_windows, op6_secrets, op7_language, op8_substrings,
-        op9_token_counts, op10_tiling,
+        op9_token_counts, op10_tiling, op13_periodic,
     )
 }
 
