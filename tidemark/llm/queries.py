@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, language, line_windows, periodic_runs, quality, secrets, sentencepiece_fst, simhash, substrings, tiling, token_counts
+from tidemark.llm import grid_join, html_text, language, line_windows, periodic_runs, quality, secrets, sentencepiece_fst, simhash, substrings, tiling, token_counts
 from tidemark.llm.shared import table
 
 
@@ -65,6 +65,10 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")))
     lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
@@ -80,7 +84,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_sentencepiece, op3_quality, op4_html, op5_line_windows, op6_secrets, op7_language, op8_substrings,
-        op9_token_counts, op10_tiling, op13_periodic,
+        op9_token_counts, op10_tiling, op12_embeddings, op13_periodic,
     )
 }
 
