@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import grid_join, html_text, language, line_windows, periodic_runs, quality, secrets, sentencepiece_fst, simhash, substrings, tiling, token_counts
+from tidemark.llm import (
+    grid_join, html_text, language, line_windows, periodic_runs, quality, secrets, sentencepiece_fst, simhash, substrings, tiling, token_counts,
+    turn_repair,
+)
 from tidemark.llm.shared import table
 
 
@@ -65,6 +68,11 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.repair_report(turn_repair.damaged(conversations), conversations)
+
+
 def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -84,7 +92,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_sentencepiece, op3_quality, op4_html, op5_line_windows, op6_secrets, op7_language, op8_substrings,
-        op9_token_counts, op10_tiling, op12_embeddings, op13_periodic,
+        op9_token_counts, op10_tiling, op11_conversations, op12_embeddings, op13_periodic,
     )
 }
 
