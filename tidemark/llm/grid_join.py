@@ -47,9 +47,14 @@ def _usable(vector: Column) -> Column:
     return F.coalesce(~F.exists(vector, odd) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that no square leaves the range of doubles."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    """Rows of length one; scaled first, so that no square leaves the range of doubles."""
-    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    """Rows of length one."""
+    scaled = _scaled(vectors)
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
@@ -246,7 +251,7 @@ def grid_links(classes: DataFrame, width: int, min_cosine: float = MIN_COSINE, c
         vectors = np.frombuffer(batch.column("vectors")[k].as_py(), np.float64).reshape(size, width)
         units = _unit(vectors)
         copies = np.frombuffer(batch.column("copies")[k].as_py(), np.int64)
-        data = {"vector": vectors, "unit": units, "box": _boxed(units, axes, boxed), "copies": copies, "place": np.arange(size) + batch.column("first")[k].as_py()}
+        data = {"vector": _scaled(vectors), "unit": units, "box": _boxed(units, axes, boxed), "copies": copies, "place": np.arange(size) + batch.column("first")[k].as_py()}
         return Block(data, 0, size)
 
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
