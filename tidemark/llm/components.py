@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import checkpointed
+from tidemark.llm.shared import checkpoint_folder, checkpointed, removed, written
 
 
 def component_roots(edges: DataFrame) -> DataFrame:
@@ -18,7 +20,9 @@ def component_roots(edges: DataFrame) -> DataFrame:
     is gathered by node, so hubs do not matter. The root is some node of the component.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = checkpointed(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    spark = edges.sparkSession
+    path = f"{checkpoint_folder(spark)}/edges-{uuid.uuid4().hex}"
+    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{path}-0")
     roots, number = None, 0
     while not edges.isEmpty():
         number += 1
@@ -33,7 +37,8 @@ def component_roots(edges: DataFrame) -> DataFrame:
         of_a = parents.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         of_b = parents.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         moved = edges.join(of_a, "a").join(of_b, "b").where("pa <> pb")
-        edges = checkpointed(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        edges = written(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), f"{path}-{number}")
+        removed(spark, f"{path}-{number - 1}")
     if roots is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots

@@ -182,25 +182,27 @@ def _chunks(sequence: DataFrame, width: int, axes: np.ndarray, boxed: int) -> Da
     return map_batches(grouped, run, schema)
 
 
-def _near_intervals(chunks: DataFrame, boxed: int, epsilon: float, fan: int) -> DataFrame:
+def _near_intervals(chunks: DataFrame, epsilon: float, fan: int) -> DataFrame:
     """``a, b`` (``a <= b``): intervals whose boxes are at most epsilon apart, found from the top down."""
-    coordinates = [*range(boxed + 1)]
-    flat = chunks.select("chunk", *[F.col("low")[c].alias(f"l{c}") for c in coordinates], *[F.col("high")[c].alias(f"h{c}") for c in coordinates])
-    levels = [checkpointed(flat.withColumnRenamed("chunk", "node"))]
-    while levels[-1].agg(F.max("node")).head()[0]:
-        up = levels[-1].groupBy(F.expr(f"node div {fan}").alias("node"))
-        levels.append(checkpointed(up.agg(*[F.min(f"l{c}").alias(f"l{c}") for c in coordinates], *[F.max(f"h{c}").alias(f"h{c}") for c in coordinates])))
+    levels = [checkpointed(chunks.select(F.col("chunk").alias("node"), "low", "high"))]
+    top = levels[0].agg(F.max("node")).head()[0]
+    while top:
+        sides = levels[-1].select(F.expr(f"node div {fan}").alias("node"), F.posexplode(F.arrays_zip("low", "high")).alias("_k", "_side"))
+        edges = sides.groupBy("node", "_k").agg(F.min("_side.low").alias("low"), F.max("_side.high").alias("high"))
+        box = edges.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("_k", "low", "high"))).alias("_box"))
+        levels.append(checkpointed(box.select("node", F.col("_box.low").alias("low"), F.col("_box.high").alias("high"))))
+        top //= fan
     pairs = levels[-1].select(F.col("node").alias("a"), F.col("node").alias("b"))
     side = lambda level, name: level.select(
-        F.expr(f"node div {fan}").alias(f"{name}_above"), F.col("node").alias(name),
-        *[F.col(f"{e}{c}").alias(f"{name}_{e}{c}") for c in coordinates for e in "lh"],
+        F.expr(f"node div {fan}").alias(f"{name}_above"), F.col("node").alias(name), F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high")
     )
-    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"a_l{c}") - F.col(f"b_h{c}"), F.col(f"b_l{c}") - F.col(f"a_h{c}"))
-    distance = sum((gap(c) * gap(c) for c in coordinates), F.lit(0.0))
+    below = lambda high, low: F.zip_with(high, low, lambda h, l: F.greatest(F.lit(0.0), l - h))  # noqa: E731, E741
+    gaps = F.zip_with(below("a_high", "b_low"), below("b_high", "a_low"), lambda x, y: x * x + y * y)
+    distance = F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x)
     for level in levels[-2::-1]:
         above = pairs.select(F.col("a").alias("a_above"), F.col("b").alias("b_above"))
-        below = above.join(side(level, "a"), "a_above").join(side(level, "b"), "b_above")
-        pairs = checkpointed(below.where((F.col("a") <= F.col("b")) & (distance <= (epsilon + SLACK) ** 2)).select("a", "b"))
+        both = above.join(side(level, "a"), "a_above").join(side(level, "b"), "b_above")
+        pairs = checkpointed(both.where((F.col("a") <= F.col("b")) & (distance <= (epsilon + SLACK) ** 2)).select("a", "b"))
     return pairs
 
 
@@ -233,7 +235,7 @@ def grid_links(classes: DataFrame, width: int, min_cosine: float = MIN_COSINE, c
     offsets = ordered.sparkSession.createDataFrame(starts, "_part long, _start long")
     sequence = ordered.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_start") + F.col("_row")).drop("_part", "_start", "_row")
     chunks = checkpointed(_chunks(sequence.withColumn("chunk", F.expr(f"place div {chunk}")), width, axes, boxed))
-    pairs = _near_intervals(chunks, boxed, epsilon, FAN)
+    pairs = _near_intervals(chunks, epsilon, FAN)
 
     # One side of each pair owns it, in turn, so that all own about as many. The owner's own
     # vectors come first into each of its groups, then those of its partners, one at a time.

@@ -44,6 +44,22 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def written(frame: DataFrame, path: str) -> DataFrame:
+    """The frame as a table at ``path`` below the checkpoint folder, with the sizes of its files.
+
+    A checkpoint hands on estimated sizes, and those of joins multiply: after a dozen rounds
+    of a loop the planner would work on numbers of a million digits.
+    """
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that is not read any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 _shipped: set[str] = set()
 
 
