@@ -2,10 +2,12 @@
 
 import collections
 import random
+import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import alignment
 from tidemark.functions.ordered import with_last_known, with_previous
 from tidemark.operators import change_summary, diff, scoring, snapshots
 
@@ -63,6 +65,80 @@ def test_line_diff_against_brute_force(spark):
         assert got[pair][0] - got[pair][1] == len(texts[new]) - len(texts[old])
 
 
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b):
+            now.append(row[j] + 1 if x == y else max(now[-1], row[j + 1]))
+        row = now
+    return row[-1]
+
+
+def carried_out(old, text):
+    """The old lines with a unified diff carried out; fails where a header or line does not fit."""
+    out, at = [], 0
+    for line in text.split("\n")[2:] if text else []:
+        if line.startswith("@@"):
+            start, size, there, length = re.match(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@$", line).groups()
+            base = int(start) - (size != "0")
+            out, at = out + old[at:base], base
+            assert len(out) == int(there) - (length != "0")
+        elif line[0] == "+":
+            out.append(line[1:])
+        else:
+            assert old[at] == line[1:]
+            out += [old[at]] * (line[0] == " ")
+            at += 1
+    return out + old[at:]
+
+
+def test_alignment():
+    dice = random.Random(4)
+    for k in range(1500):
+        old = [dice.choice("abcdefghij"[: dice.randint(1, 10)]) for _ in range(dice.randint(0, 40))]
+        new = list(old) if k % 3 else [dice.choice("abc") for _ in range(dice.randint(0, 30))]
+        for _ in range(dice.randint(0, 8)):
+            if new and dice.random() < 0.5:
+                new.pop(dice.randrange(len(new)))
+            else:
+                new.insert(dice.randint(0, len(new)), dice.choice("abcxyz"))
+        added, gone, text = alignment.unified(old, new, dice.randint(0, 4))
+        assert carried_out(old, text) == new and len(old) + added - gone == len(new) and (text == "") == (old == new)
+        a, b = dice.sample(range(60), dice.randint(0, 50)), dice.sample(range(60), dice.randint(0, 50))
+        assert len(alignment.matches(a, b)) == common_length(a, b)
+    lines = [str(k) for k in range(20)]
+    assert alignment.unified(lines, lines[:9] + ["x"] + lines[10:])[2].split("\n")[2:4] == ["@@ -7,7 +7,7 @@", " 6"]
+    assert alignment.unified([], ["a"])[2] == "--- before\n+++ after\n@@ -0,0 +1 @@\n+a"
+    assert alignment.unified(["a", "b"], [])[2] == "--- before\n+++ after\n@@ -1,2 +0,0 @@\n-a\n-b"
+
+
+def test_unified_diffs(spark):
+    dice = random.Random(6)
+    texts = [[dice.choice(["", "a", "b", "++c", "--d", "@@ e", "wide 後"]) + str(dice.randint(0, 2)) for _ in range(dice.randint(0, 60))] for _ in range(30)]
+    texts[7] = texts[6]
+    lines = spark.createDataFrame([*enumerate(texts), (30, None)], "capture_id int, norm_lines array<string>")
+    pairs = spark.createDataFrame([(i, i - 1, i) for i in range(1, 31)] + [(99, 1, 98)], "pair_id int, old_id int, new_id int")
+    diffs = diff.unified_diffs(pairs, lines)
+    got = {r.pair_id: r for r in diffs.collect()}
+    sides = {i: (texts[i - 1], texts[i] if i < 30 else []) for i in range(1, 31)}
+    assert set(got) == {i for i, (old, new) in sides.items() if old != new} and 7 not in got
+    for i, r in got.items():
+        assert carried_out(sides[i][0], r.unified_text) == sides[i][1]
+    olds = pairs.filter("pair_id < 90").join(lines.withColumnRenamed("capture_id", "old_id"), "old_id")
+    assert {r.pair_id: r.lines for r in diff.apply_unified(olds, diffs).collect()} == {i: new for i, (_, new) in sides.items()}
+    assert diff.unified_diffs(pairs.filter("false"), lines).count() == 0
+
+
+def test_read_back(spark):
+    old, new = [f"l{i}" for i in range(30)], [f"l{i}" for i in range(30) if i != 4] + ["end"]
+    lines = spark.createDataFrame([(0, old), (1, new)], "capture_id int, norm_lines array<string>")
+    pairs = spark.createDataFrame([(5, 0, 1)], "pair_id int, old_id int, new_id int")
+    rows = diff.fold_context(diff.read_unified(diff.unified_diffs(pairs, lines), "pair_id", "unified_text"), "pair_id").orderBy("line_no").collect()
+    assert [r.type for r in rows].count("header") == 2 and [r.content for r in rows if r.type == "remove"] == ["l4"]
+    assert all(new[r.new_line - 1] == r.content for r in rows if r.new_line)
+
+
 def test_partial_render_gate(spark):
     base = [f"l{i}" for i in range(100)]
     texts = [base, base[:98], base[:97], base + ["n1", "n2"], ["x"] + base[1:99], base]
@@ -112,7 +188,7 @@ def test_change_category(spark):
 def test_advice_stub(spark):
     data = spark.createDataFrame([(1, "CRO", "s" * 300), (2, "OTHER", None)], "change_id int, category string, summary string")
     got = {r.change_id: r for r in scoring.advice_stub(data).collect()}
-    assert got[1].priority == "high" and len(got[1].summary) == 200 and got[2].priority == "low" and got[2].summary == "変更を検知しました"
+    assert got[1].priority == "high" and len(got[1].summary) == 300 and got[2].priority == "low" and got[2].summary == "変更を検知しました"
 
 
 def test_all_changes(spark):

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import alignment
+
+# Workers get the alignment with the task; they need no copy of this package.
+register_pickle_by_value(alignment)
+
 SMALL_SHARE = 0.03
 
 
@@ -105,6 +114,59 @@ def compute_diffs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return diff_texts(signed_lines(real, totals), keep=totals)
 
 
+def unified_diffs(pairs: DataFrame, lines: DataFrame, array: str = "norm_lines", context: int = alignment.CONTEXT) -> DataFrame:
+    """Per pair with a difference: line_additions, line_deletions, and unified_text with hunk headers.
+
+    ``pairs``: pair_id, old_id, new_id. The two sides of a pair are aligned line by line, so a
+    moved line counts as deleted and added, as a reader of the text sees it; ``line_changes``
+    leaves such lines out. One pair is in memory at a time. A capture without lines (null)
+    has none; pairs of an unknown capture are left out.
+    """
+    side = lambda name: lines.select(F.col("capture_id").alias(f"{name}_id"), F.coalesce(array, F.array().cast("array<string>")).alias(name))
+    both = pairs.select("pair_id", "old_id", "new_id").join(side("old"), "old_id").join(side("new"), "new_id").select("pair_id", "old", "new")
+    unified = alignment.unified
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                added, gone, text = unified(batch.column("old")[k].as_py(), batch.column("new")[k].as_py(), context)
+                if text:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("pair_id").slice(k, 1), pa.array([added], pa.int64()), pa.array([gone], pa.int64()), pa.array([text])],
+                        ["pair_id", "line_additions", "line_deletions", "unified_text"],
+                    )
+
+    kind = both.schema["pair_id"].dataType.simpleString()
+    return both.mapInArrow(run, f"pair_id {kind}, line_additions long, line_deletions long, unified_text string")
+
+
+def apply_unified(olds: DataFrame, diffs: DataFrame, key: str = "pair_id", array: str = "norm_lines", text: str = "unified_text") -> DataFrame:
+    """``key`` and ``lines``: the old lines of each key with its unified diff carried out.
+
+    ``olds`` has the key and the array of old lines; a key without a diff keeps its lines. The
+    lines of old and diff stay rows until a key's new lines are put in order.
+    """
+    base = diffs.select(key, text).repartition(F.col(key))
+    rows = base.select(key, F.posexplode(F.split(text, "\n")).alias("_no", "_l"))
+    line = F.col("_l")
+    rows = rows.withColumn("_hunk", F.count_if(line.startswith("@@")).over(Window.partitionBy(key).orderBy("_no")))
+    inside = Window.partitionBy(key, "_hunk").orderBy("_no")
+    header = F.first("_l").over(inside)
+    start = F.regexp_extract(header, r"@@ -([0-9]+)", 1).cast("int")
+    empty = F.regexp_extract(header, r"@@ -[0-9]+,([0-9]+)", 1) == "0"
+    body = rows.withColumn("_before", F.when(empty, start).otherwise(start - 1)).withColumn(
+        "_at", F.col("_before") + F.count_if(line.startswith("-") | line.startswith(" ")).over(inside)
+    ).filter((F.col("_hunk") > 0) & ~line.startswith("@@"))
+    content = F.substring(line, 2, 2_000_000_000)
+    added = body.filter(line.startswith("+")).select(key, F.col("_at"), F.col("_no"), content.alias("line"))
+    gone = body.filter(line.startswith("-")).select(key, (F.col("_at") - 1).alias("_row"))
+    old = olds.select(key, F.posexplode(array).alias("_row", "line")).join(gone, [key, "_row"], "left_anti")
+    kept = old.select(key, (F.col("_row") + 1).alias("_at"), F.lit(-1).alias("_no"), "line")
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "_no", "line")))
+    done = kept.unionByName(added).groupBy(key).agg(F.transform(ordered, lambda x: x["line"]).alias("lines"))
+    return olds.select(key).join(done, key, "left").select(key, F.coalesce("lines", F.array().cast("array<string>")).alias("lines"))
+
+
 def read_unified(diffs: DataFrame, key: str = "change_id", text: str = "diff_text") -> DataFrame:
     """Typed lines of a unified diff: key, line_no (in the diff), type, content, new_line."""
     base = diffs.select(key, text).repartition(F.col(key))

@@ -114,7 +114,40 @@ def line_diff_counts(spark, sf):
 @query("page_changes")
 def page_changes(spark, sf):
     rows = page_scan.page_changes(sample.captures(spark, sf), PAGE_ORDER, _page_segment())
-    return rows.select("pair_id", "additions", "deletions", "category", "confidence", "priority", "summary", "summary_items", "diff_text")
+    return rows.select("pair_id", "additions", "deletions", "category", "confidence", "priority", "summary", "summary_items", "diff_text", "unified_text")
+
+
+@query("diff_round_trip", NORM_SQL + """
+SELECT page_id AS pair_id, h AS new_hash, len(string_split(txt, chr(10)))::BIGINT AS new_lines,
+ (len(string_split(txt, chr(10))) - len(string_split(old, chr(10))))::BIGINT AS net_lines
+FROM (SELECT st.*, norm.txt, o.txt AS old FROM st JOIN norm USING (page_id) JOIN norm o ON o.page_id = st.pid)
+WHERE ph <> h AND status = 'ok'""")
+def diff_round_trip(spark, sf):
+    """Unified diffs carried out on the old side give the new side of every differing pair."""
+    stored = cut_lineage(page_scan.snapshot_table(sample.captures(spark, sf)))
+    pairs = page_scan.differing_pairs(page_scan.capture_status(stored, PAGE_ORDER, _page_segment()))
+    texts = cut_lineage(diff.unified_diffs(pairs, stored))
+    olds = pairs.select("pair_id", F.col("old_id").alias("capture_id")).join(stored.select("capture_id", "norm_lines"), "capture_id")
+    net = texts.select("pair_id", (F.col("line_additions") - F.col("line_deletions")).alias("net_lines"))
+    return diff.apply_unified(olds, texts).join(net, "pair_id").select(
+        "pair_id", F.sha2(F.array_join("lines", "\n"), 256).alias("new_hash"), F.size("lines").cast("long").alias("new_lines"), "net_lines"
+    )
+
+
+@query("diff_lines", NORM_SQL + """
+, pr AS (SELECT page_id AS pair_id, pid AS old_id FROM st WHERE pid IS NOT NULL AND ph <> h AND status = 'ok'),
+ln AS (SELECT page_id, unnest(string_split(txt, chr(10))) AS x FROM norm)
+SELECT pair_id, sha256(x) AS line_hash, sum(n)::BIGINT AS gain FROM (
+ SELECT pair_id, x, 1 AS n FROM pr JOIN ln ON pair_id = page_id UNION ALL
+ SELECT pair_id, x, -1 FROM pr JOIN ln ON old_id = page_id) GROUP BY 1, 2 HAVING sum(n) <> 0""")
+def diff_lines(spark, sf):
+    """Copies gained and lost of every line, counted from the typed lines of the unified diffs."""
+    stored = cut_lineage(page_scan.snapshot_table(sample.captures(spark, sf)))
+    pairs = page_scan.differing_pairs(page_scan.capture_status(stored, PAGE_ORDER, _page_segment()))
+    typed = diff.read_unified(diff.unified_diffs(pairs, stored), "pair_id", "unified_text")
+    sign = F.when(F.col("type") == "add", 1).when(F.col("type") == "remove", -1)
+    gains = typed.groupBy("pair_id", F.sha2("content", 256).alias("line_hash")).agg(F.sum(sign).alias("gain"))
+    return gains.filter("gain <> 0")
 
 
 @query("moved_lines")

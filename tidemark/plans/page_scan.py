@@ -29,7 +29,7 @@ def differing_pairs(statuses: DataFrame) -> DataFrame:
 
 
 def page_changes(captures: DataFrame, order: tuple[str, ...] = ("captured_at", "capture_id"), segment: Column | None = None) -> DataFrame:
-    """Changes of all captures: totals, diff text, summary, category, priority.
+    """Changes of all captures: totals, changed lines, unified diff, summary, category, priority.
 
     The snapshots are read three times (pairing, and both sides of a pair), so they are
     written once.
@@ -39,7 +39,8 @@ def page_changes(captures: DataFrame, order: tuple[str, ...] = ("captured_at", "
     statuses = capture_status(stored, order, snapshots.by_day(order[0]) if segment is None else segment)
     pairs = differing_pairs(statuses)
     diffs = diff.compute_diffs(pairs.select("pair_id", "old_id", "new_id"), stored)
-    return change_rows(diffs)
+    texts = diff.unified_diffs(pairs, stored).select("pair_id", "unified_text")
+    return change_rows(diffs).join(texts, "pair_id", "left")
 
 
 def change_rows(diffs: DataFrame) -> DataFrame:
