@@ -159,7 +159,7 @@ def test_read_and_fold(spark):
 def test_summaries(spark):
     cases = [
         (['<a href="x">New</a>', "<h1>T2</h1>"], ["<a>Old</a>", "<h1>T1</h1>"], "・リンクテキスト変更:「Old」→「New」\n・大見出し(H1)テキスト変更:「T1」→「T2」"),
-        (["<label>A1</label>", "<label>B1</label>", "<label>C1</label>", "<label>D1</label>"], [], "・ラベル追加:「A1」\n・ラベル追加:「B1」\n・ラベル追加:「C1」"),
+        (["<label>A1</label>", "<label>B1</label>", "<label>C1</label>", "<label>D1</label>"], [], "・ラベル追加:「A1」\n・ラベル追加:「B1」\n・ラベル追加:「C1」\n・他1件の変更"),
         ([], ['<nav id="main-nav">'], "・ナビゲーションが削除 [main-nav]"),
         (['<div class="carousel wide-one">'] * 3, ['<div class="carousel">'], "・カルーセル/スライダーが追加 (+2) [carousel]"),
         (['<p aria-a="1">', '<p role="b">', '<p aria-c="1">'], [], "・アクセシビリティ属性（aria/role）が追加"),
@@ -200,3 +200,19 @@ def test_all_changes(spark):
     assert len(got[1].summary_items) == 40 and all("x" * 40 in x for x in got[1].summary_items)
     assert len(got[2].summary_items) == 12 and got[2].summary.endswith("・他4件の変更")
     assert got[3].summary_items == ["リンクテキスト変更:「Old1」→「New1」", "リンク削除:「Old2」"]
+    assert got[1].summary.endswith("・他37件の変更")
+
+
+def test_every_copy_and_name_is_an_item(spark):
+    fields = [f'<input name="field-number-{i}">' for i in range(9)]
+    cases = [
+        (1, ["<button>Buy</button>"] * 2, ["<button>Buy</button>"]), (2, ["<button>Buy</button>"] * 3, []), (3, ["<a>X1</a>", "<a>X1</a>"], ["<a>X1</a>", "<a>Y1</a>"]),
+        (4, fields, []), (5, ["<form>"] + [f"<button>Press button {i} {'y' * 30}</button>" for i in range(6)], []),
+    ]
+    data = spark.createDataFrame(cases, "id int, added array<string>, removed array<string>")
+    got = {r.id: r for r in change_summary.summarise_changes(data).collect()}
+    items = lambda i, word: [x for x in got[i].summary_items if word in x]
+    assert items(1, "ボタン追加") == ["ボタン追加:「Buy」"] and items(2, "ボタン追加") == ["ボタン追加:「Buy」"] * 3
+    assert items(3, "リンク") == ["リンクテキスト変更:「Y1」→「X1」"]
+    assert all(f"「field-number-{i}」" in items(4, "フィールド")[0] for i in range(9)) and "など9項目" in got[4].summary
+    assert len(items(5, "ボタン追加")) == 6 and any(x.startswith("フォームが新規追加 [") and x.count("y" * 30) == 6 for x in got[5].summary_items)

@@ -1,7 +1,8 @@
 """Readable summary of a change from its added and removed lines.
 
-Input rows hold two arrays, ``added`` and ``removed``, bounded by the diff cap. All steps
-are array expressions on that row, so a summary costs no shuffle.
+Input rows hold two arrays, ``added`` and ``removed``, of whole lines. All steps are array
+expressions on that row, so a summary costs no shuffle. Messages are short; what they leave out
+is in the list of items, and their last line counts it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from tidemark.functions.text import collapse, lookup, none_if_empty, shorten, st
 from tidemark.rules import summary as fixed
 
 NO_STRINGS = "array<string>"
+MESSAGES = "array<struct<short:string,whole:string>>"
 
 
 def split_signs(diffs: DataFrame, text: str = "diff_text") -> DataFrame:
@@ -63,8 +65,19 @@ def text_changes(added: Column, removed: Column) -> Column:
     return F.flatten(F.transform(tags, of_tag))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, inside other array functions as well."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _without(xs: Column, ys: Column) -> Column:
+    """Multiset difference: the copies of each text in ``xs`` beyond those in ``ys``."""
+    copies = lambda array, x: F.size(F.filter(array, lambda y: y == x))
+    return F.flatten(F.transform(F.array_distinct(xs), lambda x: F.array_repeat(x, F.greatest(copies(xs, x) - copies(ys, x), F.lit(0)))))
+
+
 def all_text_changes(added: Column, removed: Column) -> Column:
-    """Messages of every text a tag gained or lost, whole; the n-th lost and gained ones are a swap."""
+    """Messages of every text a tag gained or lost, whole, one for each copy; the n-th lost and gained ones are a swap."""
     tags = F.array_distinct(F.concat(F.transform(added, lambda p: p["tag"]), F.transform(removed, lambda p: p["tag"])))
 
     def of_tag(tag: Column) -> Column:
@@ -73,7 +86,7 @@ def all_text_changes(added: Column, removed: Column) -> Column:
         label = lookup(tag, fixed.TEXT_TAG_LABELS, tag)
         quoted = lambda x: F.concat(F.lit("「"), x, F.lit("」"))
         return F.zip_with(
-            F.array_except(old, new), F.array_except(new, old),
+            _without(old, new), _without(new, old),
             lambda o, n: F.when(o.isNull(), F.concat(label, F.lit("追加:"), quoted(n)))
             .when(n.isNull(), F.concat(label, F.lit("削除:"), quoted(o)))
             .otherwise(F.concat(label, F.lit("テキスト変更:"), quoted(o), F.lit("→"), quoted(n))),
@@ -82,30 +95,40 @@ def all_text_changes(added: Column, removed: Column) -> Column:
     return F.flatten(F.transform(tags, of_tag))
 
 
-def snippet(lines: Column, pattern: Column) -> Column:
-    """What the first matching block says: texts, else input hints, else id, else class; '' if nothing."""
+def snippet_parts(lines: Column, pattern: Column) -> Column:
+    """What the first matching block holds: texts, input hints, id, class; all empty if nothing matches."""
     hit = F.array_position(F.transform(lines, lambda x: F.rlike(x, F.concat(F.lit("(?i)"), pattern))), True)
-    block = F.array_join(F.slice(lines, hit.cast("int"), fixed.SNIPPET_LINES), "\n")
-    texts = F.transform(
-        F.regexp_extract_all(block, F.lit(fixed.SNIPPET_IN_TAG), F.lit(2)), lambda x: collapse(strip_tags(x))
-    )
-    texts = F.filter(texts, lambda x: ~x.isin(*fixed.MASKS) & (F.length(x) > 1))
-    texts = F.array_join(F.slice(F.transform(texts, lambda x: shorten(x, 20)), 1, 3), " / ")
-    hints = F.transform(F.regexp_extract_all(block, F.lit(fixed.INPUT_HINT), F.lit(1)), strip)
-    hints = F.filter(hints, lambda x: (x != "") & (x != "[TEXT]"))
-    hints = F.array_join(F.slice(F.transform(hints, lambda x: shorten(x, 15)), 1, 4), " / ")
-    identity = F.regexp_extract(F.regexp_extract(block, r'(?i)\bid="([^"]+)"', 1), r"^\s*(\S+)", 1)
-    identity = F.when(~F.lower(identity).isin(*fixed.GENERIC_NAMES), identity)
-    classes = F.split(strip(F.regexp_extract(block, r'(?i)\bclass="([^"]+)"', 1)), r"\s+")
-    named = F.get(
-        F.filter(classes, lambda c: ~F.lower(c).isin(*fixed.GENERIC_NAMES) & (F.length(c) > 3)), F.lit(0)
-    )
-    said = F.coalesce(none_if_empty(texts), none_if_empty(hints), none_if_empty(identity), named, F.lit(""))
-    return F.when(hit > 0, said).otherwise("")
+    block = F.when(hit > 0, F.array_join(F.slice(lines, hit.cast("int"), fixed.SNIPPET_LINES), "\n")).otherwise("")
+
+    def parts(block: Column) -> Column:
+        texts = F.transform(
+            F.regexp_extract_all(block, F.lit(fixed.SNIPPET_IN_TAG), F.lit(2)), lambda x: collapse(strip_tags(x))
+        )
+        texts = F.filter(texts, lambda x: ~x.isin(*fixed.MASKS) & (F.length(x) > 1))
+        hints = F.transform(F.regexp_extract_all(block, F.lit(fixed.INPUT_HINT), F.lit(1)), strip)
+        hints = F.filter(hints, lambda x: (x != "") & (x != "[TEXT]"))
+        identity = F.regexp_extract(F.regexp_extract(block, r'(?i)\bid="([^"]+)"', 1), r"^\s*(\S+)", 1)
+        identity = F.when(~F.lower(identity).isin(*fixed.GENERIC_NAMES), identity)
+        classes = F.split(strip(F.regexp_extract(block, r'(?i)\bclass="([^"]+)"', 1)), r"\s+")
+        named = F.get(
+            F.filter(classes, lambda c: ~F.lower(c).isin(*fixed.GENERIC_NAMES) & (F.length(c) > 3)), F.lit(0)
+        )
+        return F.struct(texts.alias("texts"), hints.alias("hints"), identity.alias("identity"), named.alias("named"))
+
+    return _once(block, parts)
+
+
+def said(parts: Column, whole: bool = False) -> Column:
+    """Texts, else input hints, else id, else class, in brackets: the first few, shortened, or all."""
+    few = lambda xs, count, length: F.transform(F.slice(xs, 1, count), lambda x: shorten(x, length))
+    texts = parts["texts"] if whole else few(parts["texts"], 3, 20)
+    hints = parts["hints"] if whole else few(parts["hints"], 4, 15)
+    words = [none_if_empty(F.array_join(texts, " / ")), none_if_empty(F.array_join(hints, " / ")), none_if_empty(parts["identity"]), parts["named"]]
+    return F.coalesce(F.concat(F.lit(" ["), none_if_empty(F.coalesce(*words)), F.lit("]")), F.lit(""))
 
 
 def structure_changes(added: Column, removed: Column, added_text: Column, removed_text: Column) -> Column:
-    """Messages on labelled structure patterns: newly there, gone, or grown by n."""
+    """(short, whole) messages on labelled structure patterns: newly there, gone, or grown by n."""
     rules = F.array(
         *[F.struct(F.lit(p).alias("pattern"), F.lit(name).alias("label")) for p, name in fixed.STRUCTURE_RULES]
     )
@@ -113,48 +136,51 @@ def structure_changes(added: Column, removed: Column, added_text: Column, remove
     def of_rule(rule: Column) -> Column:
         pattern = F.concat(F.lit("(?i)"), rule["pattern"])
         new, old = F.regexp_count(added_text, pattern), F.regexp_count(removed_text, pattern)
-        tail = lambda lines: F.coalesce(
-            F.concat(F.lit(" ["), none_if_empty(snippet(lines, rule["pattern"])), F.lit("]")), F.lit("")
-        )
+        head = lambda *words: F.concat(rule["label"], *words)
+
+        def message(head: Column, lines: Column) -> Column:
+            return _once(snippet_parts(lines, rule["pattern"]), lambda parts: F.struct(
+                F.concat(head, said(parts)).alias("short"), F.concat(head, said(parts, whole=True)).alias("whole")
+            ))
+
         return (
-            F.when((new > 0) & (old == 0), F.concat(rule["label"], F.lit("が新規追加"), tail(added)))
-            .when((old > 0) & (new == 0), F.concat(rule["label"], F.lit("が削除"), tail(removed)))
-            .when(
-                new > old,
-                F.concat(rule["label"], F.lit("が追加 (+"), (new - old).cast("string"), F.lit(")"), tail(added)),
-            )
+            F.when((new > 0) & (old == 0), message(head(F.lit("が新規追加")), added))
+            .when((old > 0) & (new == 0), message(head(F.lit("が削除")), removed))
+            .when(new > old, message(head(F.lit("が追加 (+"), (new - old).cast("string"), F.lit(")")), added))
         )
 
     return F.array_compact(F.transform(rules, of_rule))
 
 
 def field_names(lines: Column) -> Column:
-    """Per form-field line its first usable name, shortened."""
+    """Per form-field line its first usable name."""
     fields = F.filter(lines, lambda x: x.rlike(fixed.FIELD_TAG))
 
     def name_of(line: Column) -> Column:
         values = F.transform(F.regexp_extract_all(line, F.lit(fixed.FIELD_NAME), F.lit(1)), strip)
-        usable = F.filter(values, lambda v: (v != "") & ~v.startswith("["))
-        return shorten(F.get(usable, F.lit(0)), 15)
+        return F.get(F.filter(values, lambda v: (v != "") & ~v.startswith("[")), F.lit(0))
 
     return F.array_compact(F.transform(fields, name_of))
 
 
 def form_changes(added: Column, removed: Column, added_text: Column, removed_text: Column) -> Column:
-    """Field names gained and lost; nothing when a form element itself came or went."""
+    """(short, whole) messages of field names gained and lost; none when a form element itself came or went."""
     new, old = field_names(added), field_names(removed)
     minus = lambda xs, ys: F.filter(xs, lambda x: ~F.array_contains(ys, x))
 
     def message(names: Column, word: str) -> Column:
-        listed = F.concat(F.lit("「"), F.array_join(F.slice(names, 1, 5), "」「"), F.lit("」"))
+        said = lambda xs: F.concat(F.lit(f"フォームフィールド{word}: 「"), F.array_join(xs, "」「"), F.lit("」"))
         more = F.when(
             F.size(names) > 5, F.concat(F.lit("など"), F.size(names).cast("string"), F.lit("項目"))
         ).otherwise("")
-        return F.when(F.size(names) > 0, F.concat(F.lit(f"フォームフィールド{word}: "), listed, more))
+        first = F.transform(F.slice(names, 1, 5), lambda x: shorten(x, 15))
+        return F.when(F.size(names) > 0, F.struct(F.concat(said(first), more).alias("short"), said(names).alias("whole")))
 
     form = r"(?i)<form\b"
-    out = F.array_compact(F.array(message(minus(new, old), "追加"), message(minus(old, new), "削除")))
-    return F.when(added_text.rlike(form) | removed_text.rlike(form), F.array().cast(NO_STRINGS)).otherwise(out)
+    out = F.array_compact(F.array(
+        _once(minus(new, old), lambda names: message(names, "追加")), _once(minus(old, new), lambda names: message(names, "削除"))
+    ))
+    return F.when(added_text.rlike(form) | removed_text.rlike(form), F.array().cast(MESSAGES)).otherwise(out)
 
 
 def accessibility_growth(added: Column, removed: Column) -> Column:
@@ -182,28 +208,23 @@ def keyword_counts(text: Column, keywords: list[str] | None = None) -> Column:
 def summarise_changes(diffs: DataFrame, name: str = "summary") -> DataFrame:
     """Adds the summary text of rows with ``added`` and ``removed`` line arrays.
 
-    ``<name>_items`` holds every change; the summary shows the first few, shortened, and where
-    it stops at ``SHOWN_ITEMS`` says how many more there are.
+    ``<name>_items`` holds every change, each copy of a text, all of it whole; the summary shows
+    the first few, shortened, and says how many more there are.
     """
     data = diffs.withColumn("_at", F.array_join("added", "\n")).withColumn("_rt", F.array_join("removed", "\n"))
     data = data.withColumn("_ap", _tag_texts(F.col("_at"))).withColumn("_rp", _tag_texts(F.col("_rt")))
     others = F.concat(
         structure_changes(F.col("added"), F.col("removed"), F.col("_at"), F.col("_rt")),
         form_changes(F.col("added"), F.col("removed"), F.col("_at"), F.col("_rt")),
-        accessibility_growth(F.col("added"), F.col("removed")),
-    )
-    data = data.withColumn("_others", others)
-    data = data.withColumn("_items", F.array_distinct(F.concat(text_changes(F.col("_ap"), F.col("_rp")), "_others")))
-    data = data.withColumn(
-        f"{name}_items", F.array_distinct(F.concat(all_text_changes(F.col("_ap"), F.col("_rp")), "_others"))
     )
+    data = data.withColumn("_others", others).withColumn("_marks", accessibility_growth(F.col("added"), F.col("removed")))
+    texts = text_changes(F.col("_ap"), F.col("_rp"))
+    data = data.withColumn("_items", F.array_distinct(F.concat(texts, F.col("_others.short"), "_marks")))
+    data = data.withColumn(f"{name}_items", F.concat(all_text_changes(F.col("_ap"), F.col("_rp")), F.col("_others.whole"), "_marks"))
     n_items = F.size("_items")
-    n_all = F.greatest(n_items, F.size(f"{name}_items"))
     dotted = F.array_join(F.transform(F.slice("_items", 1, fixed.SHOWN_ITEMS), lambda x: F.concat(F.lit("・"), x)), "\n")
-    rest = F.when(
-        n_items > fixed.SHOWN_ITEMS,
-        F.concat(F.lit("\n・他"), (n_all - fixed.SHOWN_ITEMS).cast("string"), F.lit("件の変更")),
-    ).otherwise("")
+    left = F.greatest(n_items, F.size(f"{name}_items")) - F.least(n_items, F.lit(fixed.SHOWN_ITEMS))
+    rest = F.when(left > 0, F.concat(F.lit("\n・他"), left.cast("string"), F.lit("件の変更"))).otherwise("")
     total = F.size("added") + F.size("removed")
     found = keyword_counts(F.concat_ws("\n", F.col("_at"), F.col("_rt")))
     labels = F.transform(F.slice(found, 1, 3), lambda x: lookup(x["keyword"], fixed.UI_KEYWORDS, x["keyword"]))
@@ -214,4 +235,4 @@ def summarise_changes(diffs: DataFrame, name: str = "summary") -> DataFrame:
         .when(total > 0, F.concat(F.lit("DOM構造の変更"), tail))
         .otherwise("DOM構造に変更を検知")
     )
-    return data.withColumn(name, summary).drop("_at", "_rt", "_ap", "_rp", "_items", "_others")
+    return data.withColumn(name, summary).drop("_at", "_rt", "_ap", "_rp", "_items", "_others", "_marks")

@@ -454,6 +454,23 @@ def change_texts(spark, sf):
     return change_summary.summarise_changes(change_summary.split_signs(diffs)).select("id", "summary")
 
 
+@query("change_items", """
+WITH o AS (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
+SELECT o_custkey AS id, count(*) AS n_items, count(DISTINCT o_orderpriority) AS n_texts,
+ count(*) - count(DISTINCT CASE WHEN k <= 3 THEN o_orderpriority END) AS n_left FROM o GROUP BY 1""")
+def change_items(spark, sf):
+    """Every copy of a gained heading is an item; the summary names the first three and counts the rest."""
+    heading = F.struct("o_orderkey", F.concat(F.lit("<h2>"), F.col("o_orderpriority"), F.lit("</h2>")).alias("line"))
+    gained = F.transform(F.array_sort(F.collect_list(heading)), lambda x: x["line"])
+    diffs = sample.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(gained.alias("added"))
+    rows = change_summary.summarise_changes(diffs.withColumn("removed", F.array().cast("array<string>")))
+    left = F.regexp_extract("summary", "・他([0-9]+)件の変更$", 1)
+    return rows.select(
+        "id", F.size("summary_items").cast("long").alias("n_items"), F.size(F.array_distinct("summary_items")).cast("long").alias("n_texts"),
+        F.when(left == "", 0).otherwise(left.cast("long")).cast("long").alias("n_left"),
+    )
+
+
 @query("unified_diff_lines", """
 WITH l AS (SELECT doc_id, doc_id % 50 + 1 AS s, len(string_split(text, chr(10))) AS n FROM documents)
 SELECT doc_id AS change_id, (n + 6) // 7 AS n_add, (n + 5) // 7 AS n_remove, n - (n + 6) // 7 - (n + 5) // 7 AS n_context, 1::BIGINT AS n_header,
