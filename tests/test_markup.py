@@ -1,11 +1,13 @@
 """Tokens, elements, normaliser, structure, forms and conversion elements."""
 
+import html
 import random
 
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls
 from tidemark.functions.html import token_array
+from tidemark.functions.text import decode_entities
 from tidemark.operators import conversion, forms, structure
 from tidemark.operators.normalise import normalise
 from tidemark.operators.tokens import element_nodes, inside, spanned_tokens, token_table
@@ -199,3 +201,22 @@ def test_form_texts_without_limits(spark):
     assert row.micro_copy == [*[t.strip() for t in said], "安心です " + "z" * 150] and row.social_proof == proofs
     row = forms.form_table(nodes, max_copies=2, max_proofs=1, max_length=100).first()
     assert row.micro_copy == [t.strip() for t in said[:2]] and row.social_proof == proofs[:1]
+
+
+def test_character_references(spark):
+    texts = [
+        "a&#12354;b&#x1F600; &amp;#65; &#38;lt; &lt;x&gt; &unknown; & &#; &#xZZ; &#0; &#xD800; &#1114112; &#99999999999;",
+        "&#39;&quot;&nbsp;|", "plain", "&amp;lt;", "&#x000041;", "", "&#x000000000041;",
+    ]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.d for r in frame.select("t", decode_entities(F.col("t")).alias("d")).collect()}
+    assert got[texts[-1]] == "\ufffd" and all(got[t] == html.unescape(t) for t in texts[:-1])
+
+
+def test_long_labels_stay_whole(spark):
+    label, press = "Your name " * 30, "Send this now " * 20
+    page = f'<body><form><label for="n">{label}</label><input id="n" name="n"><button type="submit">{press}</button></form></body>'
+    frame = spark.createDataFrame([(1, page)], "capture_id long, html string")
+    nodes = forms.form_nodes(frame)
+    assert [r.label for r in forms.field_table(nodes).collect()] == [label.strip()]
+    assert [r.submit.label for r in forms.form_table(nodes).collect()] == [press.strip()]

@@ -54,11 +54,31 @@ def shorten(text: Column, length: int, tail: str = "...") -> Column:
     return F.when(F.length(text) <= length, text).otherwise(F.concat(cut(text, length), F.lit(tail)))
 
 
+def _code_point(code: Column) -> Column:
+    """The character of a code point; U+FFFD for zero, surrogates and numbers beyond the last one."""
+    real = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(code.isNull(), F.lit(None).cast("string")).when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
+def _decoded(token: Column) -> Column:
+    """A character reference as its character, any other piece of text as it is."""
+    digits = lambda start: F.substring(token, start, 2_000_000_000)
+    number = (
+        F.when(token.rlike("^&#[xX][0-9a-fA-F]{1,8};$"), F.conv(F.replace(digits(4), F.lit(";"), F.lit("")), 16, 10).cast("long"))
+        .when(token.rlike("^&#[0-9]{1,10};$"), F.replace(digits(3), F.lit(";"), F.lit("")).cast("long"))
+        .when(token.rlike("^&#[xX]?[0-9a-fA-F]+;$"), F.lit(0))
+    )
+    return F.when(token.startswith("&"), F.coalesce(lookup(token, dict(ENTITIES)), _code_point(number), token)).otherwise(token)
+
+
 def decode_entities(text: Column) -> Column:
+    """Named references of ``ENTITIES`` and all numeric ones as characters, each decoded once."""
     out = text
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+    pieces = F.regexp_extract_all(text, F.lit("&#?[0-9a-zA-Z]+;|[^&]+|&"), F.lit(0))
+    by_piece = F.array_join(F.transform(pieces, _decoded), "")
+    return F.when(F.contains(text, F.lit("&#")), by_piece).when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
 def blank(text: Column) -> Column:

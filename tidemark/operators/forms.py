@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.html import attribute
-from tidemark.functions.text import any_of, cut, lookup, strip
+from tidemark.functions.text import any_of, lookup, strip
 from tidemark.operators.labels import field_label, with_label_candidates
 from tidemark.operators.tokens import FORM_OPAQUE, element_nodes, inside
 from tidemark.rules import structure as fixed
@@ -165,7 +165,7 @@ def form_table(
     colour = strip(F.regexp_extract(_attr("style"), r"(?i)background(?:-color)?\s*:\s*([^;]+)", 1))
     button = F.struct(
         F.when(F.col("tag") == "input", F.coalesce(attribute(F.col("attrs"), "value"), F.lit(fixed.SUBMIT_LABEL)))
-        .otherwise(cut(F.col("text"), 50)).alias("label"),
+        .otherwise(F.col("text")).alias("label"),
         F.col("cls").alias("class_name"), button_size(F.col("cls")).alias("size"), colour.alias("color"),
         F.lit("form_bottom").alias("position"),
     )

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.html import attribute
-from tidemark.functions.text import cut
 from tidemark.operators.tokens import carried
 from tidemark.rules import structure as fixed
 
@@ -79,4 +78,4 @@ def component_label():
 
 def field_label():
     """Label of a form field: own form's ``for`` label, wrapping label, aria, sibling, parent text."""
-    return cut(F.coalesce("form_label", "wrap_label", "aria_label", "sibling_text", "child_text", F.lit("")), 80)
+    return F.coalesce("form_label", "wrap_label", "aria_label", "sibling_text", "child_text", F.lit(""))
