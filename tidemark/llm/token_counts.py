@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -96,26 +97,24 @@ class RankMerger:
                 size += len(token)
 
     def text_counts(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each text; pre-tokens that are new in any of the texts are merged together."""
         special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         parts = regex.compile(PATTERN)
-        out = []
+        split, out = [], []
         for text in texts:
-            n = 0
             pieces = [text or ""]
             if special is not None and text and any(s in text for s in self.specials):
                 pieces = special.split(text)
-                n = len(pieces) - 1
-            for piece in pieces:
-                tokens = parts.findall(piece)
-                new = set(tokens).difference(self.known)
-                if new:
-                    if len(self.known) + len(new) > REMEMBERED:
-                        self.known.clear()
-                        new = set(tokens)
-                    self._learn(new)
-                n += sum(map(self.known.__getitem__, tokens))
-            out.append(n)
-        return out
+            split.append([parts.findall(piece) for piece in pieces])
+            out.append(len(pieces) - 1)
+        found = set(chain.from_iterable(chain.from_iterable(split)))
+        new = found.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = found
+        self._learn(new)
+        count = self.known.__getitem__
+        return [n + sum(sum(map(count, tokens)) for tokens in pieces) for n, pieces in zip(out, split)]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
