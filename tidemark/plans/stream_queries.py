@@ -15,8 +15,10 @@ DROPS = 3
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder for stream state: in the cluster's shared folder where one is named."""
+    """A new folder for stream state in the cluster's shared folder; only one machine may do without."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{shared}/tidemark-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidemark-stream-")
 
 
