@@ -5,8 +5,8 @@ of words meet in the same shard: a window belongs to the run of words in it whos
 smallest (its anchor), and only anchors found at two places or more can belong to a repeated
 window. In each shard passages are streamed, in document order, through a suffix automaton of
 all earlier passages of the shard. Where the matching statistic reaches the window length,
-the maximal matched span is marked. Equal passages are put together before, so that a group
-of copies is one row of its shard.
+the maximal matched span is marked. A task that has sent a passage marks its own later copies at
+once, so that a group of copies is at most a row or two of each task in its shard.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import document_id, document_key, map_batches, map_frames, text_steps
@@ -123,39 +123,63 @@ def _anchors(batch: WordBatch, window: int, anchor: int) -> tuple[np.ndarray, np
     return inside, at[inside], hashes
 
 
+#: Least number of times that a step must show an anchor for its task to count it, and how many
+#: anchors a task counts before it starts anew.
+COUNTED_FROM = 4
+COUNTED_ANCHORS = 100_000
+
+
 def anchor_places(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
-    """``key, version, anchor, place``: every run of words that is the anchor of a window."""
+    """``key, version, anchor, salt, place``: every run of words that is the anchor of a window.
+
+    ``salt`` is zero for the first places of an anchor in a task. Once a task has sent more than
+    ``SHARED_PLACES`` of them the anchor is known to be shared, and its further places carry
+    salts that spread them.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         for step in text_steps(batches):
             batch = WordBatch(step.column("text").cast(pa.binary()).to_pylist())
             _, at, hashes = _anchors(batch, window, anchor)
             # Places do not decrease from window to window, so each anchor is one stretch.
             at = at[np.flatnonzero(np.diff(at, prepend=-1))]
             row = batch.document[at]
+            values, group, counts = np.unique(hashes[at], return_inverse=True, return_counts=True)
+            rank = np.empty(len(at), np.int64)
+            rank[np.argsort(group, kind="stable")] = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+            before = np.zeros(len(values), np.int64)
+            for i in np.flatnonzero(counts >= COUNTED_FROM).tolist():
+                before[i] = seen.get(value := int(values[i]), 0)
+                seen[value] = int(before[i] + counts[i])
+            if len(seen) > COUNTED_ANCHORS:
+                seen.clear()
+            rank += before[group]
+            salt = np.where(rank > SHARED_PLACES, rank, 0).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [step.column("key").take(pa.array(row)), step.column("version").take(pa.array(row)),
-                 pa.array(hashes[at].view(np.int64)), pa.array((at - batch.first[row]).astype(np.int32))],
-                ["key", "version", "anchor", "place"],
+                 pa.array(hashes[at].view(np.int64)), pa.array(salt), pa.array((at - batch.first[row]).astype(np.int32))],
+                ["key", "version", "anchor", "salt", "place"],
             )
 
-    return map_batches(docs, run, "key long, version long, anchor long, place int")
+    return map_batches(docs, run, "key long, version long, anchor long, salt int, place int")
 
 
 #: Passages that a task remembers as already sent before it starts anew.
 SENT_PASSAGES = 100_000
 
 
-def passages(joined: DataFrame, with_text: bool, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
-    """Words of the windows of repeated anchors: ``key, version, start, windows, c1, c2`` for every
-    place (``c1, c2``, 96 bits, name the content), or ``shard, passage, key, version, start`` with the text.
+def passages(joined: DataFrame, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
+    """``shard, key, version, start, passage, spans``: words of the windows of repeated anchors.
 
     ``joined`` has ``key, version, packed, places`` with ``places`` an array of ``place, shared``.
-    With text, a task sends a passage again only if an earlier place of it turns up.
+    A task sends a passage with its text at the first place it meets and at every earlier one, so
+    the first place of all is among those sent. Other places are known to be later ones: a text's
+    are put together as ``spans``, in a row without ``passage`` and with a shard of its own.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: dict[bytes, tuple[int, int]] = {}
+        sent: dict[bytes, tuple[int, int, int]] = {}
         unpack = zstandard.ZstdDecompressor()
         for rows in text_steps(batches, "packed"):
             step = rows.filter(pc.is_valid(rows.column("places")))
@@ -171,66 +195,78 @@ def passages(joined: DataFrame, with_text: bool, window: int = WINDOW_WORDS, anc
             first, last = inside[begins], inside[ends] + window
             texts = [batch.text(a, b) for a, b in zip(first.tolist(), last.tolist())]
             content = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
-            names = np.frombuffer(b"".join(content), np.int64).reshape(-1, 2)
             row = batch.document[first]
             start = (first - batch.first[row]).astype(np.int32)
-            keys, versions = (step.column(c).to_numpy()[row] for c in ("key", "version"))
-            if not with_text:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(versions), pa.array(start), pa.array((ends - begins + 1).astype(np.int32)),
-                     pa.array(names[:, 0]), pa.array(names[:, 1].astype(np.int32))], ["key", "version", "start", "windows", "c1", "c2"],
-                )
-                continue
-            new = []
-            for i, (c, place) in enumerate(zip(content, zip(keys.tolist(), start.tolist()))):
-                if c not in sent or place < sent[c]:
+            keys, versions = (step.column(c).to_numpy() for c in ("key", "version"))
+            new, later = [], []
+            for i, (c, place) in enumerate(zip(content, zip(keys[row].tolist(), start.tolist(), versions[row].tolist()))):
+                known = sent.get(c)
+                if known is None or place[:2] < known[:2] or (place[:2] == known[:2] and place != known):
                     sent[c] = place
                     new.append(i)
+                elif place != known:
+                    later.append(i)
             if len(sent) > SENT_PASSAGES:
                 sent.clear()
-            shard = np.where(kind[begins] == 2, names[:, 0], hashes[at[begins]].view(np.int64))
+            names = np.frombuffer(b"".join(content), np.int64)[::2]
+            shard = np.where(kind[begins] == 2, names, hashes[at[begins]].view(np.int64))[new]
+            # A text's later places follow each other by start: overlapping ones become one span.
+            covered: dict[int, list[list[int]]] = {}
+            length = last - first
+            for i, a, n in zip(row[later].tolist(), start[later].tolist(), length[later].tolist()):
+                spans = covered.setdefault(i, [])
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], a + n)
+                else:
+                    spans.append([a, a + n])
+            whole = np.fromiter(covered, np.int64, len(covered))
+            none = [None] * len(new)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[new]), pa.array([texts[i] for i in new], pa.binary()), pa.array(keys[new]), pa.array(versions[new]),
-                 pa.array(start[new])], ["shard", "passage", "key", "version", "start"],
+                [pa.array(np.concatenate((shard, versions[whole]))), pa.array(np.concatenate((keys[row[new]], keys[whole]))),
+                 pa.array(np.concatenate((versions[row[new]], versions[whole]))),
+                 pa.array(np.concatenate((start[new], np.zeros(len(whole), np.int32)))),
+                 pa.array([texts[i] for i in new] + [None] * len(whole), pa.binary()),
+                 pa.array(none + [[x for span in s for x in span] for s in covered.values()], pa.list_(pa.int32()))],
+                ["shard", "key", "version", "start", "passage", "spans"],
             )
 
-    schema = "key long, version long, start int, windows int, c1 long, c2 int"
-    return map_batches(joined, run, "shard long, passage binary, key long, version long, start int" if with_text else schema)
+    return map_batches(joined, run, "shard long, key long, version long, start int, passage binary, spans array<int>")
 
 
 def earlier_spans(joined: DataFrame, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
-    """``key, version, start, stop``: word spans covered by windows that occur earlier."""
-    sent = passages(joined, True, window, anchor).repartition("shard").sortWithinPartitions("shard", "key", "start")
+    """``key, version, spans``: word spans (starts and stops in turn) covered by windows that occur earlier."""
+    sent = passages(joined, window, anchor).repartition("shard").sortWithinPartitions("shard", "key", "start")
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (r for f in frames for r in zip(f["shard"], f["key"], f["version"], f["start"], f["passage"]))
-        columns = ["key", "version", "start", "stop", "c1", "c2"]
-        out: list[tuple[int, int, int, int, int, int]] = []
+        rows = (r for f in frames for r in zip(f["shard"], f["key"], f["version"], f["start"], f["passage"], f["spans"]))
+        columns = ["key", "version", "spans"]
+        out: list[tuple[int, int, list[int]]] = []
         for _, shard in groupby(rows, key=itemgetter(0)):
-            automaton, waiting, known = SuffixAutomaton(), None, set()
-            for _, key, version, start, passage in shard:
-                if passage in known:
+            automaton, waiting = SuffixAutomaton(), None
+            known: dict[bytes, tuple[int, int, list[int]]] = {}
+            for _, key, version, start, passage, later in shard:
+                if passage is None:
+                    out.append((key, version, list(later)))
                     continue
-                known.add(passage)
                 words = bytes(passage).split()
-                if waiting is not None:
-                    automaton.add(waiting)
-                    out += [(key, version, start + a, start + b, 0, 0) for a, b in matched_spans(automaton.matching(words), window)]
-                waiting = words
-                names = np.frombuffer(hashlib.blake2b(passage, digest_size=16).digest(), np.int64)
-                out.append((key, version, start, -1, int(names[0]), int(names[1].astype(np.int32))))
+                first = known.get(passage)
+                if first is None:
+                    matched: list[tuple[int, int]] = []
+                    if waiting is not None:
+                        automaton.add(waiting)
+                        matched = matched_spans(automaton.matching(words), window)
+                    waiting = words
+                    first = known[passage] = (key, start, [start + x for span in matched for x in span])
+                # Every place of a passage but its first is covered as a whole.
+                spans = first[2] if first[:2] == (key, start) else [start, start + len(words)]
+                if spans:
+                    out.append((key, version, spans))
             if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=columns)
                 out = []
         yield pd.DataFrame(out, columns=columns)
 
-    found = map_frames(sent, run, "key long, version long, start int, stop int, c1 long, c2 int")
-    partly = found.where("stop >= 0").select("key", "version", "start", "stop")
-    # Every place of a passage but its first is covered as a whole.
-    firsts = found.where("stop < 0").select("c1", "c2", F.col("key").alias("k"), F.col("start").alias("s"))
-    again = passages(joined, False, window, anchor).join(firsts, ["c1", "c2"]).where("key <> k or start <> s")
-    whole = again.select("key", "version", "start", (F.col("start") + F.col("windows") + (window - 1)).alias("stop"))
-    return partly.unionByName(whole)
+    return map_frames(sent, run, "key long, version long, spans array<int>")
 
 
 def packed_texts(texts: DataFrame) -> DataFrame:
@@ -259,15 +295,16 @@ def without_repeats(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = A
     texts = docs.select(
         document_key(F.col("doc_id")).alias("key"), F.xxhash64(F.col("text")).alias("version"), F.col("text").cast("string").alias("text")
     )
-    places = anchor_places(texts, window, anchor)
-    counts = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = (F.col("n") > SHARED_PLACES).alias("shared")
-    repeated = places.join(counts, "anchor").select("key", "version", "place", shared)
+    # One shuffle of the places: equal anchors meet, but for places already known as shared.
+    together = Window.partitionBy("anchor", "salt")
+    places = anchor_places(texts, window, anchor).withColumn("n", F.count(F.lit(1)).over(together))
+    shared = ((F.col("n") > SHARED_PLACES) | (F.col("salt") > 0)).alias("shared")
+    repeated = places.where("n > 1 or salt > 0").select("key", "version", "place", shared)
     by_text = repeated.groupBy("key", "version").agg(F.collect_list(F.struct("place", "shared")).alias("places"))
     # Both joins keep all texts, so that they share one shuffle of them.
     packed = packed_texts(texts)
     found = earlier_spans(packed.join(by_text, ["key", "version"], "left"), window, anchor)
-    spans = found.groupBy("key", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = found.groupBy("key", "version").agg(F.collect_list("spans").alias("spans"))
     joined = packed.join(spans, ["key", "version"], "left").select("key", "packed", "spans")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +314,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = A
             for text, found in zip(step.column("packed").to_pylist(), step.column("spans").to_pylist()):
                 words = unpack.decompress(text).split() if text else []
                 stay = np.ones(len(words), bool)
-                for span in found or ():
-                    stay[span["start"] : span["stop"]] = False
+                for spans in found or ():
+                    for a, b in zip(spans[::2], spans[1::2]):
+                        stay[a:b] = False
                 total.append(len(words))
                 removed.append(int(len(words) - stay.sum()))
                 kept.append(b" ".join(words if removed[-1] == 0 else [words[i] for i in np.flatnonzero(stay).tolist()]))
