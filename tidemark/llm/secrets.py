@@ -8,6 +8,7 @@ more likely under the first. All of it is DataFrame functions.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,34 @@ LEAST_RATIO = 14.0
 _CHARS = 128
 
 
+#: Elements of an array that are worked on together where each needs those before it.
+PART = 256
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _parts(values: Column) -> Column:
+    """The array in arrays of at most ``PART`` elements."""
+    last = F.greatest(F.floor((F.size(values) - 1) / PART), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * PART + 1, F.lit(PART)))
+
+
+def _running(values: Column) -> Column:
+    """Sums of an array's elements before each one, as array and total."""
+    start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("before"))
+    return F.aggregate(values, start, lambda s, x: F.struct((s["total"] + x).alias("total"), F.concat(s["before"], F.array(s["total"])).alias("before")))
+
+
+def _before(values: Column) -> Column:
+    """Sum of the elements before each one; each array that grows is short, so many elements cost little."""
+    sums = lambda parts: F.zip_with(parts, _running(F.transform(parts, lambda p: p["total"]))["before"],
+                                    lambda p, at: F.transform(p["before"], lambda x: x + at))
+    return _once(values, lambda v: F.flatten(_once(F.transform(_parts(v), _running), sums)))
+
+
 def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
     """Array of ``start, ord, stop, kind, value`` of all matches, positions in characters.
 
@@ -40,17 +69,16 @@ def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else values
-    sizes = F.zip_with(F.split(text, pattern), values, lambda gap, hit: F.struct(
-        F.char_length(gap).alias("gap"), F.char_length(hit).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(sizes, start, lambda s, x: F.struct(
-        (s["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0))).alias("at"),
-        F.when(x["size"].isNotNull(), F.concat(s["starts"], F.array(s["at"] + x["gap"]))).otherwise(s["starts"]).alias("starts")),
-    )["starts"]
-    texts = F.zip_with(values, measured, lambda v, m: F.struct(v.alias("value"), F.char_length(m).alias("measured")))
-    rows = F.zip_with(starts, texts, lambda at, t: F.struct(
-        at.alias("start"), F.lit(ORDER[kind]).alias("ord"), (at + F.char_length(t["value"])).alias("stop"),
-        F.lit(kind).alias("kind"), t["value"].alias("value"), t["measured"].alias("measured")))
+    # The gap before a match counts to the match; the last gap stands behind all of them.
+    sizes = lambda v: F.zip_with(
+        v, F.slice(F.split(text, pattern), F.lit(1), F.size(v)), lambda hit, gap: F.struct(
+            F.char_length(gap).alias("gap"), F.char_length(hit).alias("size"), hit.alias("value")))
+    placed = _once(values, sizes)
+    starts = lambda p: F.zip_with(p, _before(F.transform(p, lambda x: x["gap"] + x["size"])), lambda x, at: F.struct(
+        (at + x["gap"]).alias("start"), x["size"].alias("size"), x["value"].alias("value")))
+    rows = F.zip_with(_once(placed, starts), F.transform(measured, F.char_length), lambda x, m: F.struct(
+        x["start"].alias("start"), F.lit(ORDER[kind]).alias("ord"), (x["start"] + x["size"]).alias("stop"),
+        F.lit(kind).alias("kind"), x["value"].alias("value"), m.alias("measured")))
     rows = F.filter(rows, lambda r: r["measured"] >= least)
     none = F.array().cast("array<struct<start:int,ord:int,stop:int,kind:string,value:string,measured:int>>")
     return F.when(text.rlike(pattern), rows).otherwise(none)
@@ -58,8 +86,9 @@ def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0
 
 def _pairs(value: Column) -> Column:
     """Codes of neighbouring characters of an ASCII string."""
-    code = lambda i: F.ascii(F.substring(value, i, F.lit(1)))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(value) - 1, F.lit(1))), lambda i: code(i) * _CHARS + code(i + 1))
+    codes = F.transform(F.split(value, ""), F.ascii)
+    last = F.greatest(F.char_length(value) - 2, F.lit(0))
+    return _once(codes, lambda c: F.transform(F.sequence(F.lit(0), last), lambda i: F.get(c, i) * _CHARS + F.coalesce(F.get(c, i + 1), F.lit(0))))
 
 
 def random_samples(spark: SparkSession, count: int = RANDOM_SAMPLES) -> DataFrame:
@@ -123,8 +152,12 @@ def secret_scan(docs: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame:
     )
     rows = rows.withColumn("base", F.sort_array(F.concat("assign", "access", "hex")))
     score = lambda v: F.aggregate(_pairs(v), F.lit(0.0), lambda s, p: s + F.get(model, p))
-    likely = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"]))
-                      & (score(r["value"]) >= least_ratio))
+    apart = lambda r, spans: ~F.exists(spans, lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"]))
+    # Runs come in order, so a part of them meets only the base spans between its ends.
+    near = lambda part: F.filter("base", lambda b: (b["stop"] > part[0]["start"]) & (b["start"] < F.element_at(part, -1)["stop"]))
+    alone = lambda part: _once(near(part), lambda spans: F.filter(part, lambda r: apart(r, spans)))
+    free = F.when(F.size("runs") > 0, F.flatten(F.transform(_parts(F.col("runs")), alone))).otherwise(F.col("runs"))
+    likely = F.filter(free, lambda r: score(r["value"]) >= least_ratio)
     return rows.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
         "base", F.sort_array(F.concat("base", likely)).alias("findings"),
