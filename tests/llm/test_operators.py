@@ -284,6 +284,46 @@ def test_field_on_other_pages():
     assert right >= 0.97 * total
 
 
+ARTICLE = (
+    ["Harbour opens new quay", "The harbour opened its new quay on Monday after two years of work. Ships may moor there from June.",
+     "Local traders hope for more guests, and the town has planned a small market beside it.", "Fares stay as they are, the council said."],
+    ["新しい岸壁が開業", "港の新しい岸壁が二年の工事を経て月曜日に開業した。", "船は六月から利用できると市は説明している。"],
+)
+LAYOUTS = [
+    ("<article>", "</article>"), ("<article><section>", "</section></article>"), ("<article><div>", "</div></article>"),
+    ("<main><div>", "</div></main>"), ('<div class="entry-content">', "</div>"), ('<div class="post-content">', "</div>"),
+    ('<div class="article">', "</div>"), ('<div class="content">', "</div>"), ('<div id="content">', "</div>"), ("<section>", "</section>"),
+    ('<div role="main">', "</div>"), ("<div>", "</div>"), ("", ""), ('<div class="td-main"><div class="richtext">', "</div></div>"),
+    ('<div class="page"><div class="container"><div class="row"><div class="col-8">', "</div></div></div></div>"),
+    ('<main id="site-main"><article class="hentry"><div class="body-copy">', "</div></article></main>"),
+]
+BESIDE = {
+    "nothing": "",
+    "sidebar": '<div class="sidebar"><h3>Most read</h3><ul><li><a href="/1">Storm closes road</a></li><li><a href="/2">Team wins cup</a></li></ul></div>',
+    "cookies": '<div class="cookie-banner"><p>We use cookies to improve this site.</p></div>',
+    "comments": '<div id="comments"><h2>Comments</h2><div class="comment"><p>Great news for the town.</p></div></div>',
+}
+
+
+@pytest.mark.parametrize("beside", BESIDE)
+def test_written_layouts(beside):
+    """Layouts written by hand, with names that no made-up page has."""
+    field = html_text.train(html_text.labelled_pages())
+    header = '<header><div>Coast Herald</div><nav><ul><li><a href="/">Home</a></li><li><a href="/s">Sport</a></li></ul></nav></header>'
+    footer = "<footer><p>&copy; 2024 Coast Herald. All rights reserved.</p></footer>"
+    for before, after in LAYOUTS:
+        for title, *rest in ARTICLE:
+            body = f"<h1>{title}</h1>" + "".join(f"<p>{text}</p>" for text in rest)
+            page = f"<html><head><title>x</title></head><body>{header}{before}{body}{after}{BESIDE[beside]}{footer}</body></html>"
+            assert html_text.main_text(page, field) == " ".join([title, *rest]), before
+
+
+def test_footer_of_an_article():
+    field = html_text.train(html_text.labelled_pages())
+    page = "<article><h1>T</h1><p>Short text here.</p><footer>Tags: sea, town</footer></article>"
+    assert html_text.main_text(page, field) == "T Short text here."
+
+
 def test_viterbi_and_gradient():
     field = html_text.ChainField({"a": 0, "b": 1, "c": 2})
     rng = np.random.default_rng(0)
@@ -385,6 +425,25 @@ def test_secrets(spark, docs):
     assert secrets.secret_scan(empty(spark)).count() == 0
 
 
+def test_many_secrets_in_a_text(spark, docs):
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(3000)]
+    keys = [f"token={d[:20]} é AKIA{d[:16].upper()}" for d in digests[:700]]
+    blob = "".join(d.upper() + d for d in digests)
+    texts = ["\n".join(digests), " ".join(keys), "\n".join(k + " Zq9" + d[:30].upper() for k, d in zip(keys, digests)), blob, "x" * 200_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = queries_secrets(frame)
+    for i, text in enumerate(texts):
+        counts, joined = brute_secrets(text)
+        assert (found[i]["n_assign"], found[i]["n_access"], found[i]["n_hex"]) == counts
+        assert found[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        spans = [tuple(s.split(":")) for s in found[i]["spans"].split(",") if s]
+        base = [(int(a), int(b)) for k, a, b in spans if k != "random"]
+        # A run of key characters is a finding only if no base span touches it.
+        runs = {(str(m.start()), str(m.end())) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text, re.A)}
+        for _, a, b in (s for s in spans if s[0] == "random"):
+            assert (a, b) in runs and not any(x < int(b) and int(a) < y for x, y in base)
+
+
 def queries_secrets(frame):
     found = secrets.secret_scan(frame)
     spans = secrets.span_list

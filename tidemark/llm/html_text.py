@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,8 +46,14 @@ NOT_IN_P = frozenset(
     "address details fieldset hr".split()
 )
 
+# Elements that say nothing about their content, and those that name an area of the page.
+PLAIN = frozenset("html body div section".split())
+AREAS = frozenset("article main nav header footer aside form".split())
+
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+#: Characters of scripts that set no space between words, about two to a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -183,12 +189,19 @@ def features(blocks: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
+        if not b.text.isascii():
+            words += len(_UNSPACED.findall(b.text)) // 2
+        stop = b.text[-1] in ".!?:;”\"。…！？」"
+        prose = stop and b.linked < 0.5
+        area = next((t for t in reversed(b.tags) if t in AREAS), "")
         own = {f"tag={b.tags[-1]}" if b.tags else "tag="}
-        own.update(f"in={t}" for t in b.tags if t not in ("html", "body"))
+        own.update(f"in={t}" for t in b.tags if t not in PLAIN)
         own.update(f"name={n}" for n in b.names)
         own.add("words=" + ("1" if words < 2 else "2-4" if words < 5 else "5-9" if words < 10 else "10-24" if words < 25 else "25"))
         own.add("linked=" + ("no" if b.linked < 0.05 else "some" if b.linked < 0.5 else "most"))
-        own.add(f"stop={b.text[-1] in '.!?:;”\"。…'}")
+        own.add(f"stop={stop}")
+        own.add(f"area={area}")
+        own.add(f"area={area} prose={prose}")
         own.add(f"mark={b.text[0] in '©®'}")
         own.add(f"main={any(t in ('article', 'main') for t in b.tags)}")
         own.add(f"list={b.tags[-1] if b.tags else ''} linked={b.linked > 0.5}")
@@ -272,7 +285,11 @@ def train(pages: list[tuple[str, list[int]]], epochs: int = 12, rate: float = 0.
 # ---- Labelled pages -------------------------------------------------------------------
 
 
-def labelled_pages(count: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
+#: Names that made-up pages give to the element of their article; others there are made of syllables.
+ARTICLE_NAMES = ["content", "entry", "post", "story", "article-body", "main-content", "post entry", "text"]
+
+
+def labelled_pages(count: int = 300, seed: int = 11) -> list[tuple[str, list[int]]]:
     """Pages of many layouts with a label for each leaf block: 1 article, 0 the rest.
 
     Words are made of syllables, so that nothing but structure and form can be learnt. The
@@ -289,10 +306,27 @@ def _words(rng: random.Random, low: int, high: int) -> str:
 
 
 def _prose(rng: random.Random) -> str:
-    text = ". ".join(_words(rng, 3, 18) for _ in range(rng.choice([1, 1, 2, 3, 5]))) + "."
+    text = ". ".join(_words(rng, rng.choice([1, 3, 3]), 18) for _ in range(rng.choice([1, 1, 2, 3, 5]))) + "."
     return text if rng.random() < 0.8 else text.replace(" ", f' <a href="/x">{_words(rng, 1, 2)}</a> ', 1)
 
 
+def _wrappers(rng: random.Random, most: int = 2) -> tuple[str, str]:
+    """Start and end tags of up to ``most`` elements that say nothing about their content."""
+    tags = [rng.choice(["div", "div", "section"]) for _ in range(rng.randint(0, most))]
+    said = [rng.choice(["", f' class="{rng.choice(["wrapper", "container", "inner", "row", "col", "page", _words(rng, 1, 1)])}"']) for _ in tags]
+    return "".join(f"<{t}{n}>" for t, n in zip(tags, said)), "".join(f"</{t}>" for t in reversed(tags))
+
+
+def _unspaced(page: str) -> str:
+    """The page with its visible words in a script without spaces."""
+
+    def write(text: re.Match) -> str:
+        words = re.sub(r"(?<![&A-Za-z])[A-Za-z]+", lambda w: "".join(chr(0x3042 + sum(map(ord, w[0][i : i + 2])) % 78) for i in range(0, len(w[0]), 2)), text[0])
+        return words.replace(". ", "。").replace(".", "。").replace(" ", "")
+
+    return re.sub(r"(?<=>)[^<]+(?=<)", write, page)
+
+
 def _page(rng: random.Random) -> tuple[str, list[int]]:
     out: list[str] = []
     labels: list[int] = []
@@ -365,15 +399,16 @@ def _page(rng: random.Random) -> tuple[str, list[int]]:
         out.append(["</footer>", "</div>", "</footer>"][how])
 
     def article() -> None:
-        how = rng.randrange(6)
-        opening = [
-            "<article>", "<article>", "<main><article>", '<div class="article-body">', '<div id="content" class="post entry">', '<main class="story">',
-        ][how]
-        closing = ["</article>", "</article>", "</article></main>", "</div>", "</div>", "</main>"][how]
+        tag = rng.choice(["article", "article", "article", "main", "main article", "div", "div", "div", "section", ""]).split()
+        name = rng.choice(ARTICLE_NAMES) if rng.random() < 0.7 else _words(rng, 1, 1)
+        said = rng.choice(["", f' class="{name}"', f' id="{name}"', ' role="main"' if tag == ["div"] else ""])
+        before, after = _wrappers(rng) if tag else ("", "")
+        opening = "".join(f"<{t}>" for t in tag[:-1]) + "".join(f"<{t}{said}>" for t in tag[-1:]) + before
+        closing = after + "".join(f"</{t}>" for t in reversed(tag))
         out.append(opening)
-        if rng.random() < 0.85:
+        if rng.random() < 0.75:
             put(f"<h1>{_words(rng, 2, 12)}</h1>", 1)
-        for _ in range(rng.randint(1, 9)):
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 6, 7, 8, 9])):
             kind = rng.random()
             if kind < 0.62:
                 put(f"<p>{_prose(rng)}</p>", 1)
@@ -383,36 +418,49 @@ def _page(rng: random.Random) -> tuple[str, list[int]]:
             elif kind < 0.76:
                 put(f"<h{rng.choice('23')}>{_words(rng, 1, 6)}</h2>", 1)
             elif kind < 0.84:
-                tag = rng.choice(["ul", "ol"])
-                out.append(f"<{tag}>")
+                which = rng.choice(["ul", "ol"])
+                out.append(f"<{which}>")
                 for _ in range(rng.randint(2, 4)):
                     put(f"<li>{_words(rng, 1, 9)}</li>", 1)
-                out.append(f"</{tag}>")
-            elif kind < 0.90:
+                out.append(f"</{which}>")
+            elif kind < 0.87:
                 put(f"<blockquote><p>{_prose(rng)}</p></blockquote>", 1)
-            elif kind < 0.93:
+            elif kind < 0.89:
                 out.append("<table>")
                 put(f"<tr><td>{_words(rng, 1, 3)}</td>", 1)
                 put(f"<td>{_words(rng, 1, 3)}</td></tr>", 1)
                 out.append("</table>")
-            elif kind < 0.96:
+            elif kind < 0.91:
                 put(f"<pre>{_words(rng, 2, 9)}</pre>", 1)
             else:
                 rng.choice([advert, notice])()
         if rng.random() < 0.15:
             rng.choice([comments, form, sidebar])()
+        if tag and tag[-1] == "article" and rng.random() < 0.15:
+            put(f"<footer>{rng.choice(['', '<p>'])}{_words(rng, 1, 8)}</footer>", 0)
         out.append(closing)
 
     around = [header, menu, advert, notice, sidebar, form]
-    for part in rng.sample(around, rng.randint(1, 4)):
+    page = _wrappers(rng) if rng.random() < 0.5 else ("", "")
+    out.append(page[0])
+
+    def wrapped(part: Callable[[], None]) -> None:
+        before, after = _wrappers(rng, 1)
+        out.append(before)
         part()
-    article()
+        out.append(after)
+
+    for part in rng.sample(around, rng.randint(0, 4)):
+        wrapped(part)
+    wrapped(article)
     for part in rng.sample([comments, sidebar, advert, form, notice], rng.randint(0, 3)):
-        part()
+        wrapped(part)
     if rng.random() < 0.9:
-        footer()
+        wrapped(footer)
+    out.append(page[1])
     head = f"<head><title>{_words(rng, 2, 6)}</title><style>p{{margin:0}}</style></head>"
-    return f"<!DOCTYPE html><html>{head}<body>{''.join(out)}</body></html>", labels
+    text = f"<!DOCTYPE html><html>{head}<body>{''.join(out)}</body></html>"
+    return _unspaced(text) if rng.random() < 0.15 else text, labels
 
 
 def main_text(page: str | None, field: ChainField) -> str:
