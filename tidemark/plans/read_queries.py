@@ -539,15 +539,14 @@ WITH e AS (SELECT l_orderkey AS change_id, 'note ' || l_partkey AS summary,
   CASE WHEN l_linestatus = 'O' THEN 'risk ' || l_suppkey END AS risks, l_linestatus,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_partkey * 100000 + l_suppkey * 10 + l_linenumber DESC) AS r,
   row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_shipdate DESC, l_partkey * 100000 + l_suppkey * 10 + l_linenumber DESC) AS ro FROM lineitem),
-b AS (SELECT o_orderkey AS change_id, 'stored ' || o_custkey AS summary, 'low' AS priority, 'stored risk' AS risks FROM orders WHERE o_orderkey % 2 = 0),
+b AS (SELECT c_custkey AS change_id, 'stored ' || c_nationkey AS summary, 'low' AS priority, 'stored risk' AS risks FROM customer),
 n AS (SELECT * FROM e WHERE r = 1), x AS (SELECT change_id, risks FROM e WHERE ro = 1 AND l_linestatus = 'O')
 SELECT coalesce(b.change_id, n.change_id) AS change_id, coalesce(n.summary, b.summary) AS summary,
  coalesce(n.priority, b.priority) AS priority, coalesce(x.risks, b.risks) AS risks
 FROM b FULL JOIN n ON b.change_id = n.change_id LEFT JOIN x ON x.change_id = n.change_id""")
 def upsert_latest(spark, sf):
-    o = sample.table(spark, sf, "orders").filter("o_orderkey % 2 = 0")
-    base = o.select(
-        F.col("o_orderkey").alias("change_id"), F.concat(F.lit("stored "), F.col("o_custkey")).alias("summary"),
+    base = sample.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("change_id"), F.concat(F.lit("stored "), F.col("c_nationkey")).alias("summary"),
         F.lit("low").alias("priority"), F.lit("stored risk").alias("risks"),
     )
     return maintenance.upsert(base, _advice_edits(spark, sf), ["change_id"], ["summary", "priority", "risks"])
@@ -581,10 +580,10 @@ def unknown_edits(spark, sf):
 
 
 @query("toggle_parity", with_roles("changes") + """
-, t AS (SELECT user_id AS id, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1)
+, t AS (SELECT user_id AS id, count(*) AS n FROM events GROUP BY 1)
 SELECT c.id, (coalesce(t.n, 0) % 2 = 1) <> c.is_reviewed AS is_reviewed FROM changes c LEFT JOIN t ON c.id = t.id""")
 def toggle_parity(spark, sf):
-    toggles = sample.table(spark, sf, "events").filter("event_type <> 'view'").select(F.col("user_id").alias("id"))
+    toggles = sample.table(spark, sf, "events").select(F.col("user_id").alias("id"))
     return maintenance.toggle_reviewed(sample.changes(spark, sf), toggles).select("id", "is_reviewed")
 
 
