@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import alignment
-from tidemark.functions.ordered import with_last_known, with_previous
+from tidemark.functions.ordered import with_last_known, with_last_two, with_previous
 from tidemark.operators import change_summary, diff, scoring, snapshots
 
 
@@ -24,6 +24,10 @@ def test_look_back_equals_plain_windows_with_a_hot_key(spark):
     prev = {r.id: r.p for r in with_previous(data, ["k"], ["t", "id"], ["id"], seg).select("id", F.col("prev.id").alias("p")).collect()}
     last = {r.id: r.last_known for r in with_last_known(data, ["k"], ["t", "id"], F.col("v"), seg).collect()}
     assert {i: (prev[i], last[i]) for i in want} == want
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    two = {r.id: (r.v or [])[-2:][::-1] for r in data.select("id", F.collect_list("v").over(earlier).alias("v")).collect()}
+    got = {r.id: [x for x in (r.last_known, r.one_before) if x] for r in with_last_two(data, ["k"], ["t", "id"], F.col("v"), seg).collect()}
+    assert got == two
 
 
 def test_status_flow(spark):
@@ -216,3 +220,9 @@ def test_every_copy_and_name_is_an_item(spark):
     assert items(3, "リンク") == ["リンクテキスト変更:「Y1」→「X1」"]
     assert all(f"「field-number-{i}」" in items(4, "フィールド")[0] for i in range(9)) and "など9項目" in got[4].summary
     assert len(items(5, "ボタン追加")) == 6 and any(x.startswith("フォームが新規追加 [") and x.count("y" * 30) == 6 for x in got[5].summary_items)
+
+
+def test_keyword_borders_in_any_script(spark):
+    data = spark.createDataFrame([(1, "ボタンform form"), (2, "検索form"), (3, "form"), (4, None)], "id int, t string")
+    rows = data.select("id", change_summary.keyword_counts(F.col("t"), ["form"]).alias("k")).collect()
+    assert {r.id: [(k.keyword, k.n) for k in r.k or []] for r in rows} == {1: [("form", 1)], 2: [("form", 1)], 3: [("form", 1)], 4: []}

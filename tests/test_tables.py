@@ -94,3 +94,33 @@ def test_redelivered_capture_replaces_its_lines_and_its_change(spark, tmp_path):
     assert show() == first
     scan_batch(spark.createDataFrame([(2, "p", page("a", "b"))], rows.schema), 3, root, *args)
     assert show() == []
+
+
+def test_batches_and_merges_end_where_one_batch_ends(spark, tmp_path):
+    from tidemark.streaming.scan_stream import latest_changes, latest_statuses, merge_snapshots, scan_batch, snapshots_before
+
+    shape = "capture_id int, page_id string, html string"
+    page = lambda *words: "".join(f"<h2>{w}</h2>" for w in words)
+    make = lambda rows: spark.createDataFrame([(i, p, page(*w)) for i, p, w in rows], shape)
+    first = [(10 * i + j, f"p{i}", "abc"[: 1 + j]) for i in range(6) for j in (1, 2)] + [(900, None, "ab"), (901, None, "ad")]
+    late, corrected, same = (25, "p2", "xyz"), (11, "p1", "abq"), (31, "p3", "ab")
+    last = [(13, "p1", "abc"), (26, "p2", "xy"), (902, None, "ad")]
+    args = (("capture_id",), F.col("capture_id") % 1)
+    steps, whole = str(tmp_path / "steps"), str(tmp_path / "whole")
+    for batch, rows in enumerate([first, [late, same, corrected], [(20, "p2", "k"), *last]]):
+        scan_batch(make(rows), batch, steps, *args)
+        if batch == 1:
+            merge_snapshots(spark, steps, batch)
+    final = {r[0]: r for r in [*first, late, same, corrected, (20, "p2", "k"), *last]}
+    scan_batch(make(list(final.values())), 0, whole, *args)
+    shown = lambda root: (
+        sorted((r.capture_id, r.page_id or "", r.status, r.differs, r.dom_hash, r.prev_id or 0) for r in latest_statuses(spark, root).collect()),
+        sorted((r.pair_id, r.additions, r.deletions, r.diff_text, r.summary, r.category) for r in latest_changes(spark, root).collect()),
+    )
+    assert shown(steps) == shown(whole) and len(shown(whole)[0]) == len(final) and len(shown(whole)[1]) > 6
+    stored = spark.read.parquet(f"{steps}/snapshots/batch_id=2")
+    asked = [r.bucket for r in stored.select("bucket").distinct().collect()]
+    before = snapshots_before(spark, steps, 2, stored.schema, asked)
+    assert {r.page_id for r in before.collect()} == {"p1", "p2", None}
+    files = {r[0].split("/merged/")[1].split("/")[0] for r in before.select(F.input_file_name()).collect()}
+    assert files == {"upto=1"}

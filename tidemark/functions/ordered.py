@@ -70,3 +70,35 @@ def with_last_known(
     )
     joined = _with_carry(looked, carried, keys)
     return joined.withColumn(name, F.coalesce("_here", "_carry")).drop("_seg", "_val", "_here", "_carry", "_ends")
+
+
+def with_last_two(
+    rows: DataFrame, keys: list[str], order: list[str], value: Column, segment: Column,
+    names: tuple[str, str] = ("last_known", "one_before"),
+) -> DataFrame:
+    """Adds the latest and the second latest non-NULL ``value`` of the rows before each row of its key."""
+    over = f"OVER (PARTITION BY {', '.join([*keys, '_seg'])} ORDER BY {', '.join(order)})"
+    across = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY _seg)"
+    looked = rows.withColumn("_seg", segment).withColumn("_val", value).select(
+        "*", F.expr(f"lag(_val, 1) IGNORE NULLS {over}").alias("_one"), F.expr(f"lag(_val, 2) IGNORE NULLS {over}").alias("_two"),
+        F.expr(f"lead(1) {over} IS NULL").alias("_ends"),
+    )
+    last = F.coalesce("_val", "_one")
+    second = F.when(F.col("_val").isNotNull(), F.col("_one")).otherwise(F.col("_two"))
+    tails = looked.filter("_ends").select(
+        *keys, "_seg", F.when(last.isNotNull(), F.struct(last.alias("last"), second.alias("second"))).alias("_tail")
+    )
+    # The second latest value may lie one segment further back than the latest.
+    carried = tails.select(*keys, "_seg", F.struct(
+        F.expr(f"lag(_tail, 1) IGNORE NULLS {across}").alias("near"), F.expr(f"lag(_tail, 2) IGNORE NULLS {across}").alias("far")
+    ).alias("_carry"))
+    joined = _with_carry(looked, carried, keys)
+    near, far = F.col("_carry.near"), F.col("_carry.far")
+    before = (
+        F.when(F.col("_one").isNull(), F.coalesce(near["second"], far["last"]))
+        .when(F.col("_two").isNull(), near["last"])
+        .otherwise(F.col("_two"))
+    )
+    return joined.withColumn(names[1], before).withColumn(names[0], F.coalesce(F.col("_one"), near["last"])).drop(
+        "_seg", "_val", "_one", "_two", "_carry", "_ends"
+    )

@@ -193,12 +193,12 @@ def accessibility_growth(added: Column, removed: Column) -> Column:
 
 
 def keyword_counts(text: Column, keywords: list[str] | None = None) -> Column:
-    """Array of (keyword, n) with n > 0: whole words, or parts of words when there is no whole one."""
+    """Array of (keyword, n) with n > 0: whole words (letters of any script end none), else parts of words."""
     words = list(fixed.UI_KEYWORDS) if keywords is None else keywords
     lowered = F.lower(text)
 
     def counted(word: Column) -> Column:
-        whole = F.regexp_count(lowered, F.concat(F.lit(r"\b"), word, F.lit(r"\b")))
+        whole = F.regexp_count(lowered, F.concat(F.lit(r"(?U)\b"), word, F.lit(r"\b")))
         parts = ((F.length(lowered) - F.length(F.replace(lowered, word, F.lit("")))) / F.length(word)).cast("int")
         return F.struct(word.alias("keyword"), F.when(whole > 0, whole).otherwise(parts).alias("n"))
 

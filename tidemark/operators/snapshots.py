@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import with_last_known, with_previous
+from tidemark.functions.ordered import with_last_two, with_previous
 
 RENDER_RATIO = 0.1
 
@@ -106,23 +106,20 @@ def link_structures(
     """Structure before and after each change; both NULL when no structure was saved with it.
 
     ``structures`` hold saved (changed) structures only. The one saved at most ``within``
-    before the change is the "after", the one saved before that is the "before".
+    before the change is the "after", the one saved before that is the "before". Both sides go
+    through one exchange by page and segment and one ordering.
     """
-    saved = with_previous(structures, [page], [captured_at, "structure_id"], ["structure_id"], by_day(captured_at), "_b")
-    saved = saved.select(
-        page, F.col(captured_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("string").alias("change_id"),
-        F.struct(
-            F.col("structure_id").alias("after"), F.col("_b.structure_id").alias("before"),
-            F.col(captured_at).alias("at"),
-        ).alias("_saved"),
+    saved = structures.select(
+        page, F.col(captured_at).alias("_at"), F.lit(0).alias("_side"), "structure_id",
+        F.struct("structure_id", F.col(captured_at).alias("at")).alias("_saved"),
     )
-    asked = changes.select(page, F.col(changed_at).alias("_at"), F.lit(1).alias("_side"), F.col("change_id").cast("string"))
+    asked = changes.select(page, F.col(changed_at).alias("_at"), F.lit(1).alias("_side"), "change_id")
     both = saved.unionByName(asked, allowMissingColumns=True)
-    segment = F.date_trunc("day", "_at") if segment is None else segment
-    known = with_last_known(both, [page], ["_at", "_side", "change_id"], F.col("_saved"), segment, "_known")
-    fresh = F.col("_known.at") >= F.col("_at") - F.expr(f"INTERVAL {within}")
+    segment = by_day("_at") if segment is None else segment
+    known = with_last_two(both, [page], ["_at", "_side", "structure_id", "change_id"], F.col("_saved"), segment, ("_after", "_before"))
+    fresh = F.col("_after.at") >= F.col("_at") - F.expr(f"INTERVAL {within}")
     return known.filter("_side = 1").select(
         "change_id", page, F.col("_at").alias(changed_at),
-        F.when(fresh, F.col("_known.before")).alias("structure_before_id"),
-        F.when(fresh, F.col("_known.after")).alias("structure_after_id"),
+        F.when(fresh, F.col("_before.structure_id")).alias("structure_before_id"),
+        F.when(fresh, F.col("_after.structure_id")).alias("structure_after_id"),
     )

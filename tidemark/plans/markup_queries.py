@@ -549,17 +549,23 @@ def sentence_split(spark, sf):
 LANG_WORDS = {"en": ["that", "The"], "fr": ["avec", "Les"], "de": ["nicht", "Der"], "es": ["para", "Con"]}
 
 
-@query("extractive_summary", """
-WITH a AS (SELECT doc_id, lang, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS t FROM documents),
+def sql_summary(rows: str, category: str, keywords: dict[str, list[str]]) -> str:
+    """Summaries (doc_id, summary) of ``rows`` with the keywords of their ``category``."""
+    words = " ".join(f"WHEN {quoted(name)} THEN [{', '.join(quoted(w) for w in each)}]" for name, each in keywords.items())
+    return f"""
+WITH a AS (SELECT doc_id, {category} AS category, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS t FROM {rows}),
 s AS (SELECT *, list_filter(list_transform(regexp_extract_all(t, '[^.!?]*[.!?]|[^.!?]+'), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> '') AS l,
- CASE lang WHEN 'en' THEN ['that', 'The'] WHEN 'fr' THEN ['avec', 'Les'] WHEN 'de' THEN ['nicht', 'Der'] WHEN 'es' THEN ['para', 'Con'] ELSE [] END AS kw FROM a),
-k AS (SELECT *, l[1] AS lead, list_reduce(list_prepend({t: l[1], d: FALSE}, list_transform(list_filter(l, lambda x: len(list_filter(kw, lambda w: contains(x, w))) > 0), lambda x: {t: x, d: FALSE})),
-  lambda acc, x: CASE WHEN acc.d OR x.t = l[1] THEN acc WHEN length(acc.t || x.t) <= 200 THEN {t: acc.t || x.t, d: FALSE} ELSE {t: acc.t, d: TRUE} END).t AS keyed FROM s),
-p AS (SELECT *, list_reduce(list_prepend({t: keyed, d: length(keyed) >= 50}, list_transform(l[2:], lambda x: {t: x, d: FALSE})),
-  lambda acc, x: CASE WHEN acc.d OR contains(acc.t, x.t) THEN acc WHEN length(acc.t || x.t) <= 200 THEN {t: acc.t || x.t, d: length(acc.t || x.t) >= 50}
-  ELSE {t: CASE WHEN regexp_extract(substr(acc.t || x.t, 1, 200), '(?s)^.*[.!?]') <> '' THEN regexp_extract(substr(acc.t || x.t, 1, 200), '(?s)^.*[.!?]') ELSE substr(acc.t || x.t, 1, 200) END, d: TRUE} END).t AS padded FROM k)
+ CASE category {words} ELSE [] END AS kw FROM a),
+k AS (SELECT *, l[1] AS lead, list_reduce(list_prepend({{t: l[1], d: FALSE}}, list_transform(list_filter(l, lambda x: len(list_filter(kw, lambda w: contains(x, w))) > 0), lambda x: {{t: x, d: FALSE}})),
+  lambda acc, x: CASE WHEN acc.d OR x.t = l[1] THEN acc WHEN length(acc.t || x.t) <= 200 THEN {{t: acc.t || x.t, d: FALSE}} ELSE {{t: acc.t, d: TRUE}} END).t AS keyed FROM s),
+p AS (SELECT *, list_reduce(list_prepend({{t: keyed, d: length(keyed) >= 50}}, list_transform(l[2:], lambda x: {{t: x, d: FALSE}})),
+  lambda acc, x: CASE WHEN acc.d OR contains(acc.t, x.t) THEN acc WHEN length(acc.t || x.t) <= 200 THEN {{t: acc.t || x.t, d: length(acc.t || x.t) >= 50}}
+  ELSE {{t: CASE WHEN regexp_extract(substr(acc.t || x.t, 1, 200), '(?s)^.*[.!?]') <> '' THEN regexp_extract(substr(acc.t || x.t, 1, 200), '(?s)^.*[.!?]') ELSE substr(acc.t || x.t, 1, 200) END, d: TRUE}} END).t AS padded FROM k)
 SELECT doc_id, CASE WHEN length(t) <= 200 THEN t WHEN length(lead) > 200 THEN CASE WHEN regexp_extract(substr(lead, 1, 200), '(?s)^.*[.!?]') <> '' THEN regexp_extract(substr(lead, 1, 200), '(?s)^.*[.!?]') ELSE substr(lead, 1, 200) END
- ELSE padded END AS summary FROM p""")
+ ELSE padded END AS summary FROM p"""
+
+
+@query("extractive_summary", sql_summary("documents", "lang", LANG_WORDS))
 def extractive_summary(spark, sf):
     d = sample.table(spark, sf, "documents")
     return press_text.add_press_summary(d, "text", "lang", "summary", LANG_WORDS, ".!?").select("doc_id", "summary")

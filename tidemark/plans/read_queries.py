@@ -100,26 +100,25 @@ def save_on_change(spark, sf):
 
 
 @query("structure_link_asof", """
-WITH s AS (SELECT user_id, event_id, ts, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before
-           FROM events WHERE event_type = 'purchase'),
-c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error')
+WITH s AS (SELECT user_id, event_id, ts, lag(event_id) OVER w AS before, lead(ts) OVER w IS DISTINCT FROM ts AS latest
+           FROM events WHERE event_type IN ('purchase', 'signup') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT event_id, user_id, ts FROM events WHERE event_type NOT IN ('purchase', 'signup'))
 SELECT c.event_id AS change_id, c.user_id AS page_id,
   CASE WHEN s.ts >= c.ts - INTERVAL 6 HOURS THEN s.before END AS structure_before_id,
   CASE WHEN s.ts >= c.ts - INTERVAL 6 HOURS THEN s.event_id END AS structure_after_id
-FROM c ASOF LEFT JOIN s ON c.user_id = s.user_id AND c.ts >= s.ts""")
+FROM c ASOF LEFT JOIN (SELECT * FROM s WHERE latest) s ON c.user_id = s.user_id AND c.ts >= s.ts""")
 def structure_link_asof(spark, sf):
+    """Purchases and signups stand for saved structures, all other events for changes."""
     e = sample.table(spark, sf, "events")
-    saved = e.filter("event_type = 'purchase'").select(
-        F.col("user_id").alias("page_id"), F.col("event_id").cast("string").alias("structure_id"), F.col("ts").alias("captured_at")
+    structural = F.col("event_type").isin("purchase", "signup")
+    saved = e.filter(structural).select(
+        F.col("user_id").alias("page_id"), F.col("event_id").alias("structure_id"), F.col("ts").alias("captured_at")
     )
-    changed = e.filter("event_type = 'error'").select(
+    changed = e.filter(~structural).select(
         F.col("user_id").alias("page_id"), F.col("event_id").alias("change_id"), F.col("ts").alias("detected_at")
     )
     linked = snapshots.link_structures(changed, saved, within="6 hours")
-    return linked.select(
-        F.col("change_id").cast("bigint"), "page_id", F.col("structure_before_id").cast("bigint"),
-        F.col("structure_after_id").cast("bigint"),
-    )
+    return linked.select("change_id", "page_id", "structure_before_id", "structure_after_id")
 
 
 @query("scan_outcomes", """

@@ -40,23 +40,30 @@ def incremental_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article once, whatever the batches in which its copies arrive, classified and summarised."""
     root = work_folder(spark)
     found = sample.articles(spark, sf_dir).select(
-        "id", "source_id", "title", "article_url", "body_text", F.col("created_at").alias("found_at"),
-        F.col("id").alias("idx"),
+        "id", "source_id", F.substring("title", 1, 90).alias("title"), "article_url", F.col("title").alias("body_text"),
+        F.col("created_at").alias("found_at"), F.col("id").alias("idx"),
     )
     stream = in_drops(found, root)
     options = {"relevant": markup_queries.SAMPLE_RELEVANT, "irrelevant": markup_queries.SAMPLE_IRRELEVANT}
     scan_stream.start_press(stream, root, options, {"ends": ".!?", "keywords": markup_queries.SAMPLE_RELEVANT}).awaitTermination()
     rows = scan_stream.stored_articles(spark, root)
-    return rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_articles"), F.countDistinct("article_url").alias("n_urls"))
+    return rows.select(
+        "source_id", "article_url", "classification", "relevance_category", F.round("confidence", 4).alias("confidence"),
+        "needs_manual_review", "summary",
+    )
 
 
 QUERIES = {"incremental_status": incremental_status, "incremental_articles": incremental_articles}
 ORACLES = {
-    # The stream must end where the whole table read at once ends.
+    # The streams must end where the whole table read at once ends.
     "incremental_status": markup_queries.ORACLES["page_change_status"],
-    "incremental_articles": """
-SELECT source AS source_id, count(DISTINCT 'https://' || source || '.example.com/a/' || n_chars || '-' || md5(text)) AS n_articles,
- count(DISTINCT 'https://' || source || '.example.com/a/' || n_chars || '-' || md5(text)) AS n_urls FROM documents GROUP BY source""",
+    "incremental_articles": f"""
+WITH r AS ({markup_queries.ORACLES["relevance_class"]}), d AS (SELECT * FROM documents JOIN r ON id = doc_id),
+m AS ({markup_queries.sql_summary("d", "relevance_category", markup_queries.SAMPLE_RELEVANT)})
+SELECT DISTINCT source AS source_id, 'https://' || source || '.example.com/a/' || n_chars || '-' || md5(text) AS article_url,
+ classification, relevance_category, confidence, needs_manual_review, CASE WHEN classification = 'relevant' AND summary <> '' THEN summary END AS summary
+FROM d JOIN m USING (doc_id)""",
 }
