@@ -10,6 +10,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A join on (capture, element) may reuse the partitioning by capture alone.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Noting the Python line of every column costs several calls to the JVM each; wide plans hold thousands.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
 }
 
