@@ -124,3 +124,27 @@ def test_batches_and_merges_end_where_one_batch_ends(spark, tmp_path):
     assert {r.page_id for r in before.collect()} == {"p1", "p2", None}
     files = {r[0].split("/merged/")[1].split("/")[0] for r in before.select(F.input_file_name()).collect()}
     assert files == {"upto=1"}
+
+
+def test_structure_documents_are_stored_on_change(spark, tmp_path):
+    from tidemark.plans import structure_scan
+
+    form = '<form action="/go"><input name="a"><input type="email" name="b"><button type="submit">Send</button></form>'
+    body = lambda inner: f"<html><body><main>{inner}</main></body></html>"
+    rows = [
+        ("c1", "p", "2024-01-01 00:00:00", body(form)), ("c2", "p", "2024-01-02 00:00:00", body(form)),
+        ("c3", "p", "2024-01-03 00:00:00", body(form + '<a href="tel:1">Call</a>')), ("c4", "q", "2024-01-01 00:00:00", None),
+        ("c5", "q", "2024-01-02 00:00:00", ""), ("c6", "r", "2024-01-01 00:00:00", body("<input><input><input><select></select>")),
+    ]
+    captures = stamps(spark.createDataFrame(rows, "capture_id string, page_id string, captured_at string, html string"), "captured_at")
+    root = str(tmp_path)
+    tables.append_structures(structure_scan.changed_documents(captures), f"{root}/page_structure")
+    stored = tables.read_table(spark, root, "page_structure")
+    got = {r.id: r for r in stored.collect()}
+    assert set(got) == {"c1", "c3", "c4", "c6"}
+    assert [f.total_fields for f in got["c1"].forms] == [2] and [p.type for p in got["c3"].cv_points] == ["primary_cta", "tel_cta"]
+    assert got["c6"].forms[0].id == "form-implicit" and got["c1"].sections[0].components
+    assert (got["c4"].sections, got["c4"].cv_points, got["c4"].forms, got["c4"].summary.section_count) == ([], [], [], 0)
+    again = captures.filter("capture_id IN ('c3', 'c5')").withColumn("capture_id", F.concat("capture_id", F.lit("x"))).withColumn("captured_at", F.to_timestamp(F.lit("2024-02-01 00:00:00")))
+    assert structure_scan.changed_documents(again, stored).count() == 0
+    assert {r.id for r in structure_scan.changed_documents(again, stored, "own").collect()} == {"c3x", "c5x"}

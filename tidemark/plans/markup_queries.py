@@ -16,7 +16,7 @@ from tidemark.operators import change_summary, conversion, diff, forms, press_pa
 from tidemark.operators.normalise import normalise
 from tidemark.operators.tokens import NORMALISE_OPAQUE, element_nodes, token_table
 from tidemark.operators import tokens as token_ops
-from tidemark.plans import page_scan, sample
+from tidemark.plans import page_scan, sample, structure_scan
 from tidemark.rules import normalise as norm_rules
 from tidemark.rules import scan as scan_rules
 from tidemark.rules import summary as summary_rules
@@ -369,6 +369,30 @@ def cv_summary(spark, sf):
     return conversion.cv_summary(points).drop("has_micro_copy")
 
 
+@query("page_structure_full", FORM_SQL + """
+SELECT k AS id, 'c' || k AS page_id, 2::BIGINT AS section_count, 5 + tel + memo + boxes + 2 * line + urgent AS component_count, 2 + line AS cta_count,
+ 'header,main' AS section_types, 4 + tel + memo + boxes + 2 * line + urgent AS main_components,
+ 'primary_cta:Send,tel_cta:Call' || CASE WHEN line = 1 THEN ',line_cta:LINE相談' ELSE '' END || CASE WHEN urgent = 1 THEN ',urgency:期間限定 残り' || (k % 9 + 1) || '室' ELSE '' END AS points,
+ '/buy/' || k AS form_action, 3 + tel + memo + boxes AS form_fields,
+ CASE WHEN boxes > 0 THEN 'checkbox=' || boxes || ',' ELSE '' END || CASE WHEN tel = 1 THEN 'input_tel=1,' ELSE '' END || 'input_text=2,select=1' || CASE WHEN memo = 1 THEN ',textarea=1' ELSE '' END AS field_types FROM f""")
+def page_structure_full(spark, sf):
+    """Whole documents of pages stored for the first time, each captured once."""
+    pages = _form_pages(spark, sf).withColumn("page_id", F.concat(F.lit("c"), "capture_id")).withColumn("captured_at", F.timestamp_seconds("capture_id"))
+    rows = structure_scan.changed_documents(pages)
+    big = lambda c: F.col(f"summary.{c}").cast("bigint").alias(c)
+    form = F.element_at("forms", 1)
+    said = lambda p: F.concat_ws(":", p["type"], F.coalesce(p["label"], p["text"]))
+    counted = lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))
+    return rows.select(
+        "id", "page_id", big("section_count"), big("component_count"), big("cta_count"),
+        F.array_join("sections.type", ",").alias("section_types"),
+        F.size(F.element_at("sections", 2)["components"]).cast("bigint").alias("main_components"),
+        F.array_join(F.transform("cv_points", said), ",").alias("points"), form["action"].alias("form_action"),
+        form["total_fields"].cast("bigint").alias("form_fields"),
+        F.array_join(F.transform(F.map_entries(form["field_types"]), counted), ",").alias("field_types"),
+    )
+
+
 # Expired pages, services, replacement links ------------------------------------------
 
 # Weights for these: 10 and more, 6 (below the threshold of 8), 5 + 5, 3.
