@@ -590,6 +590,37 @@ def test_tiling(spark, docs):
     assert tiling.contaminated(frame, benchmark.limit(0)).count() == 0
 
 
+def test_tiling_against_whole_texts(spark, docs):
+    """Coverage of every document and item that share enough words, tiled on whole texts without seeds."""
+    benchmark = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    fold = lambda t: tiling.folded(t).split()
+    items = {b["item_id"]: fold(b["text"]) for b in benchmark.collect()}
+    moved = [(900_000 + i, " ".join(str(w, "utf8") for w in [*t[len(t) // 2 :], b"between", *t[: len(t) // 2]])) for i, t in items.items()]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(moved, "doc_id long, text string"))
+    number = {}
+    coded = lambda words: [number.setdefault(w, len(number)) for w in words]
+    want = set()
+    for d in rows.collect():
+        text = fold(d["text"])
+        held = set(text)
+        for i, item in items.items():
+            if item and sum(w in held for w in item) >= tiling.COVERAGE * len(item):
+                found = tiling.tiles(coded(item), coded(text), min(tiling.SEED_TOKENS, len(item)))
+                if sum(n for *_, n in found) >= tiling.COVERAGE * len(item):
+                    want.add((d["doc_id"], i, sum(n for *_, n in found), len(found)))
+    got = {(r["doc_id"], r["item_id"], r["covered_tokens"], r["tiles"]) for r in tiling.contaminated(rows, benchmark).collect()}
+    assert got == want and len(want) >= len(items)
+
+
+def test_items_with_one_opening_are_not_tiled(monkeypatch):
+    opening = "please read the following question with care "
+    items = [(i, opening + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(4000)]
+    texts = [opening + " ".join(f"d{k}y{j}" for j in range(200)) for k in range(100)] + [items[7][1]]
+    calls, plain = [], tiling.tiles
+    monkeypatch.setattr(tiling, "tiles", lambda *a: calls.append(1) or plain(*a))
+    assert [r[:3] for r in tiling.Block.of(items).matches(texts, 0.8)] == [(100, 7, 37)] and len(calls) == 1
+
+
 # ---- word arrays ----
 
 

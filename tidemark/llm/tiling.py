@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Test items are cut into seeds of a few tokens. A document and an item that share a seed are
-tiled: the longest token run common to both, found by running Karp-Rabin hashes, is marked in
+Test items are cut into seeds of a few tokens. A document and an item whose shared seeds reach
+the wanted coverage of the item are tiled: the longest token run common to both, found by running Karp-Rabin hashes, is marked in
 both, again and again, until no run of seed length is left. The share of the item's tokens
 under tiles is its coverage, which does not depend on the order of the passages.
 """
@@ -100,11 +100,11 @@ def tiles(item: list[int], text: list[int], least: int) -> list[tuple[int, int,
 
 @dataclass
 class Block:
-    """Items of one block: ids, token hashes, and seeds as sorted arrays by seed length."""
+    """Items of one block: ids, token hashes, and by seed length the sorted seeds, their items and places."""
 
     ids: list[int]
     tokens: list[np.ndarray]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray]]
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, items: list[tuple[int, str | None]], seed: int = SEED_TOKENS) -> Block:
@@ -119,34 +119,53 @@ class Block:
             mine = np.array([sizes.get(i) == size for i in range(len(items))])
             keep = inside & mine[owner]
             order = np.argsort(runs[keep], kind="stable")
-            seeds[size] = (runs[keep][order], owner[keep][order])
+            places = np.flatnonzero(keep) - np.asarray(batch.first)[owner[keep]]
+            seeds[size] = (runs[keep][order], owner[keep][order], places[order])
         return cls([i for i, _ in items], tokens, seeds)
 
-    def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
-        """``text index, item index, covered tokens, tiles`` for texts and items that share a seed."""
+    def promising(self, size: int, left: np.ndarray, right: np.ndarray, coverage: float) -> list[int]:
+        """Items whose shared seeds reach ``coverage``; tiles lie on shared seeds, so others can't.
+
+        ``left`` and ``right`` bound the entries of each different seed of one text, so an entry
+        is looked at once a text, however often its seed stands there.
+        """
+        _, owners, places = self.seeds[size]
+        lengths = right - left
+        entries = np.repeat(left - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        item, place = owners[entries], places[entries]
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        reach = np.full(len(item), size)
+        same = item[1:] == item[:-1]
+        reach[:-1][same] = np.minimum(size, np.diff(place)[same])
+        seen, at = np.unique(item, return_index=True)
+        covered = np.add.reduceat(reach, at)
+        return [i for i, n in zip(seen.tolist(), covered.tolist()) if n >= coverage * len(self.tokens[i])]
+
+    def matches(self, texts: list[str | None], coverage: float) -> Iterator[tuple[int, int, int, int]]:
+        """``text index, item index, covered tokens, tiles`` of pairs whose shared seeds reach ``coverage``."""
         batch = WordBatch([folded(t) for t in texts])
         hashes = batch.hashes
-        hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for size, (keys, owners) in self.seeds.items():
+        for size, (keys, owners, _) in self.seeds.items():
             runs, inside = batch.runs(size)
             left = np.searchsorted(keys, runs)
             found = np.flatnonzero(inside & (keys[np.minimum(left, len(keys) - 1)] == runs))
-            right = np.searchsorted(keys, runs[found], "right")
-            for at, a, b in zip(found.tolist(), left[found].tolist(), right.tolist()):
-                for item in set(owners[a:b].tolist()):
-                    hits.setdefault((int(batch.document[at]), item), []).append((at, at + size))
-        for (text, item), spans in hits.items():
-            stretch: list[int] = []
-            end = -1
-            for a, b in sorted(spans):
-                if a > end and end >= 0:
-                    stretch.append(-1)
-                stretch += hashes[max(a, end) : b].tolist()
-                end = max(b, end)
-            wanted = self.tokens[item].tolist()
-            found = tiles(wanted, stretch, min(SEED_TOKENS, len(wanted)))
-            if found:
-                yield text, item, sum(size for _, _, size in found), len(found)
+            for part in np.split(found, np.flatnonzero(np.diff(batch.document[found])) + 1):
+                if not len(part):
+                    continue
+                starts = np.unique(left[part])
+                for item in self.promising(size, starts, np.searchsorted(keys, keys[starts], "right"), coverage):
+                    stretch: list[int] = []
+                    end = -1
+                    for a in part[np.isin(runs[part], keys[owners == item])].tolist():
+                        if a > end and end >= 0:
+                            stretch.append(-1)
+                        stretch += hashes[max(a, end) : a + size].tolist()
+                        end = a + size
+                    wanted = self.tokens[item].tolist()
+                    tiled = tiles(wanted, stretch, min(SEED_TOKENS, len(wanted)))
+                    if tiled:
+                        yield int(batch.document[part[0]]), item, sum(n for _, _, n in tiled), len(tiled)
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
@@ -181,7 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             for step in text_steps(batches):
                 ids = step.column("doc_id").to_pylist()
                 found = []
-                for text, item, covered, count in block.matches(step.column("text").to_pylist()):
+                for text, item, covered, count in block.matches(step.column("text").to_pylist(), coverage):
                     size = len(block.tokens[item])
                     if covered >= coverage * size:
                         found.append((ids[text], block.ids[item], size, covered, count, covered / size))
