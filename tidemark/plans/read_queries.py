@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import compare, digest, maintenance, press_pages, reads, snapshots
+from tidemark.operators import compare, digest, maintenance, press_pages, reads, scoring, snapshots
 from tidemark.plans import sample
 from tidemark.plans.sample import with_roles
 from tidemark.sources import tables
@@ -273,6 +273,21 @@ def advice_feed(spark, sf):
     return rows.select("id", "category", "url", "service_display_name")
 
 
+@query("advice_stub", """
+SELECT doc_id AS change_id, CASE WHEN coalesce(text, '') = '' OR doc_id % 7 = 0 THEN '変更を検知しました' ELSE text END AS summary,
+ 'MCP経由でKiroに分析を依頼してください' AS intent, 'MCP経由でKiroに分析を依頼してください' AS proposal,
+ CASE lang WHEN 'en' THEN 'high' WHEN 'fr' THEN 'high' WHEN 'de' THEN 'medium' ELSE 'low' END AS priority FROM documents""")
+def advice_stub(spark, sf):
+    """Placeholder advice on whole texts as summaries; every seventh summary is missing or empty."""
+    d = sample.table(spark, sf, "documents")
+    missing = F.when(F.col("doc_id") % 2 == 0, F.lit(""))
+    rows = d.select(
+        F.col("doc_id").alias("change_id"), sample.case(F.col("lang"), {"en": "CRO", "fr": "AI", "de": "SEO"}, "OTHER").alias("category"),
+        F.when(F.col("doc_id") % 7 == 0, missing).otherwise(F.col("text")).alias("summary"),
+    )
+    return scoring.advice_stub(rows).select("change_id", "summary", "intent", "proposal", "priority")
+
+
 @query("service_page_counts", with_roles("services", "pages") + """
 SELECT s.id, s.name, (SELECT count(*) FROM mpages p WHERE p.service_id = s.id AND NOT p.is_deleted) AS page_count
 FROM services s WHERE NOT s.is_deleted""")
