@@ -192,13 +192,17 @@ def accessibility_growth(added: Column, removed: Column) -> Column:
     ).otherwise(F.array().cast(NO_STRINGS))
 
 
-def keyword_counts(text: Column, keywords: list[str] | None = None) -> Column:
-    """Array of (keyword, n) with n > 0: whole words (letters of any script end none), else parts of words."""
+def keyword_counts(text: Column, keywords: list[str] | None = None, ascii_borders: bool = False) -> Column:
+    """Array of (keyword, n) with n > 0: whole words, else parts of words.
+
+    Letters of any script end no word; with ``ascii_borders`` all but ASCII letters, digits and _ do.
+    """
     words = list(fixed.UI_KEYWORDS) if keywords is None else keywords
     lowered = F.lower(text)
+    first, last = ("(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])") if ascii_borders else (r"(?U)\b", r"\b")
 
     def counted(word: Column) -> Column:
-        whole = F.regexp_count(lowered, F.concat(F.lit(r"(?U)\b"), word, F.lit(r"\b")))
+        whole = F.regexp_count(lowered, F.concat(F.lit(first), word, F.lit(last)))
         parts = ((F.length(lowered) - F.length(F.replace(lowered, word, F.lit("")))) / F.length(word)).cast("int")
         return F.struct(word.alias("keyword"), F.when(whole > 0, whole).otherwise(parts).alias("n"))
 
