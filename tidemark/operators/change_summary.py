@@ -129,9 +129,11 @@ def said(parts: Column, whole: bool = False) -> Column:
 
 def structure_changes(added: Column, removed: Column, added_text: Column, removed_text: Column) -> Column:
     """(short, whole) messages on labelled structure patterns: newly there, gone, or grown by n."""
-    rules = F.array(
-        *[F.struct(F.lit(p).alias("pattern"), F.lit(name).alias("label")) for p, name in fixed.STRUCTURE_RULES]
-    )
+    # A fixed pattern is compiled once, one out of an array for every row: only the rules that match go on.
+    hit = lambda p: added_text.rlike("(?i)" + p) | removed_text.rlike("(?i)" + p)
+    rules = F.array_compact(F.array(
+        *[F.when(hit(p), F.struct(F.lit(p).alias("pattern"), F.lit(name).alias("label"))) for p, name in fixed.STRUCTURE_RULES]
+    ))
 
     def of_rule(rule: Column) -> Column:
         pattern = F.concat(F.lit("(?i)"), rule["pattern"])
@@ -202,7 +204,8 @@ def keyword_counts(text: Column, keywords: list[str] | None = None, ascii_border
     first, last = ("(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])") if ascii_borders else (r"(?U)\b", r"\b")
 
     def counted(word: Column) -> Column:
-        whole = F.regexp_count(lowered, F.concat(F.lit(first), word, F.lit(last)))
+        # A pattern made of a column is compiled anew each time, so only for words that are there.
+        whole = F.when(F.contains(lowered, word), F.regexp_count(lowered, F.concat(F.lit(first), word, F.lit(last)))).otherwise(0)
         parts = ((F.length(lowered) - F.length(F.replace(lowered, word, F.lit("")))) / F.length(word)).cast("int")
         return F.struct(word.alias("keyword"), F.when(whole > 0, whole).otherwise(parts).alias("n"))
 
