@@ -34,8 +34,13 @@ def is_text(token: Column) -> Column:
     return ~token.startswith("<") | (token == "<")
 
 
+def _lower(name: Column) -> Column:
+    """Lower case; names that are written so, nearly all, are only looked at."""
+    return F.when(name.rlike("[^a-z0-9_:-]"), F.lower(name)).otherwise(name)
+
+
 def tag_name(token: Column) -> Column:
-    return F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][a-zA-Z0-9:-]*)", 1))
+    return _lower(F.regexp_extract(token, r"^</?([a-zA-Z][a-zA-Z0-9:-]*)", 1))
 
 
 def token_kind(token: Column, tag: Column, opaque: tuple[str, ...]) -> Column:
@@ -52,24 +57,29 @@ def token_kind(token: Column, tag: Column, opaque: tuple[str, ...]) -> Column:
 ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def attribute_map(token: Column) -> Column:
     """Attributes of a start tag as map<string,string>; the first of a repeated name counts."""
     inside = F.regexp_replace(token, r"^<[a-zA-Z][^\s/>]*|/?>$", "")
-    names = F.transform(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
-    values = F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(2))
-    pairs = F.transform(
-        F.array_distinct(names),
-        lambda name: F.struct(
-            name.alias("key"),
-            decode_entities(
-                F.regexp_replace(
-                    F.element_at(values, F.array_position(names, name).cast("int")),
-                    r"""^["']|["']$""", "",
-                )
-            ).alias("value"),
-        ),
-    )
-    return F.map_from_entries(pairs)
+    unquoted = lambda v: F.when(v.startswith('"') | v.startswith("'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    cleaned = lambda value: decode_entities(unquoted(value))
+
+    def found(inside: Column) -> Column:
+        names = F.transform(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(1)), _lower)
+        return F.struct(names.alias("names"), F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(2)).alias("values"))
+
+    def pairs(each: Column) -> Column:
+        names, values = each["names"], each["values"]
+        all_of = F.transform(names, lambda name, i: F.struct(name.alias("key"), cleaned(F.get(values, i)).alias("value")))
+        once = F.filter(all_of, lambda p, i: F.array_position(names, p["key"]) == i + 1)
+        return F.map_from_entries(F.when(F.size(F.array_distinct(names)) == F.size(names), all_of).otherwise(once))
+
+    bare = F.create_map().cast("map<string,string>")
+    return F.when(token.rlike(r"^<[a-zA-Z][^\s/>]*/?>$"), bare).otherwise(_bound(_bound(inside, found), pairs))
 
 
 def attribute(attrs: Column, name: str) -> Column:

@@ -11,6 +11,9 @@ from tidemark.operators.tokens import FORM_OPAQUE, element_nodes
 from tidemark.rules import structure as fixed
 
 ANCESTORS = 3
+URGENCY_TAGS = ["span", "p", "div", "strong", "em", "small", "li"]
+PROOF_TAGS = ["span", "p", "div", "strong", "em", "small"]
+COPY_TAGS = ["p", "span", "small", "div", "em", "strong"]
 
 
 def _attr(name: str) -> Column:
@@ -18,12 +21,12 @@ def _attr(name: str) -> Column:
 
 
 def conversion_nodes(captures: DataFrame, key: str = "capture_id", html: str = "html") -> DataFrame:
-    """Elements with text, three ancestors, position label and the texts beside them."""
-    wanted = F.col("tag").isin(*["span", "p", "div", "strong", "em", "small", "li"]) & F.col("text").rlike(
-        fixed.URGENCY_TEXT
-    )
-    nodes = element_nodes(captures, key, html, FORM_OPAQUE, levels=ANCESTORS, parent_text_for=wanted)
-    nodes = nodes.filter(F.col("kind") != "text").withColumn("_parent", F.col("up_1.idx"))
+    """Candidates for conversion elements with position label and the texts beside them."""
+    wanted = lambda n: n["tag"].isin(*URGENCY_TAGS) & n["text"].rlike(fixed.URGENCY_TEXT)
+    nodes = element_nodes(captures, key, html, FORM_OPAQUE, levels=ANCESTORS, parent_text_for=wanted, up_fields=("idx", "tag", "cls", "style"))
+    nodes = nodes.filter(F.col("kind") != "text").withColumn("is_sticky", sticky()).withColumn("position", position_label())
+    columns = ["idx", "tag", "attrs", "cls", "text", "up_text", "is_sticky", "position"]
+    nodes = nodes.select(key, *columns, F.col("up_1.idx").alias("_parent"))
     siblings = Window.partitionBy(key, "_parent").orderBy("idx")
     family = siblings.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     copy = F.when(F.col("text").rlike(fixed.MICRO_COPY_TEXT), F.col("text"))
@@ -43,7 +46,20 @@ def conversion_nodes(captures: DataFrame, key: str = "capture_id", html: str = "
             F.lit(""),
         ).alias("near_proof"),
     ).drop("_copy", "_proof")
-    return nodes.withColumn("is_sticky", sticky()).withColumn("position", position_label())
+    return nodes.filter(_is_candidate()).select(key, *columns, "near_copy", "near_proof")
+
+
+def _is_candidate() -> Column:
+    """What any of the tables below looks at."""
+    tag, text = F.col("tag"), F.col("text")
+    return tag.isin("button", "input", "a") | _is_proof() | (tag.isin(*URGENCY_TAGS) & text.rlike(fixed.URGENCY_TEXT)) | (
+        tag.isin(*COPY_TAGS) & text.rlike(fixed.MICRO_COPY_TEXT)
+    )
+
+
+def _is_proof() -> Column:
+    by_text = F.col("tag").isin(*PROOF_TAGS) & F.col("text").rlike(fixed.PROOF_TEXT)
+    return (F.col("text") != "") & (F.col("cls").rlike(fixed.PROOF_CLASS) | by_text)
 
 
 def _levels() -> list[tuple[Column, Column]]:
@@ -124,7 +140,7 @@ def _numbered(rows: DataFrame, key: str, limit: int | None = fixed.CV_LIMIT) ->
 def social_proof_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
     """Social proof by class, then by text; at most ten per page."""
     by_class = F.col("cls").rlike(fixed.PROOF_CLASS)
-    by_text = F.col("tag").isin("span", "p", "div", "strong", "em", "small") & F.col("text").rlike(fixed.PROOF_TEXT)
+    by_text = F.col("tag").isin(*PROOF_TAGS) & F.col("text").rlike(fixed.PROOF_TEXT)
     both = F.filter(
         F.array(
             F.when(by_class, F.struct(F.lit(1).alias("turn"), F.col("is_sticky").alias("stuck"))),
@@ -132,7 +148,7 @@ def social_proof_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    rows = nodes.filter((F.col("text") != "") & (by_class | by_text)).select("*", F.explode(both).alias("_p"))
+    rows = nodes.filter(_is_proof()).select("*", F.explode(both).alias("_p"))
     rows = rows.select(
         key, "idx", F.lit("social_proof").alias("type"), F.col("tag").alias("element"), "text", "position",
         F.col("_p.stuck").alias("is_sticky"), F.col("_p.turn").alias("turn"), F.col("text").alias("_same"),
@@ -145,7 +161,7 @@ def social_proof_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
 def micro_copy_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
     """Reassuring texts; repeats of a whole text dropped."""
     rows = nodes.filter(
-        F.col("tag").isin("p", "span", "small", "div", "em", "strong") & F.col("text").rlike(fixed.MICRO_COPY_TEXT)
+        F.col("tag").isin(*COPY_TAGS) & F.col("text").rlike(fixed.MICRO_COPY_TEXT)
     ).select(
         key, "idx", F.lit("micro_copy").alias("type"), F.col("tag").alias("element"), "text",
         "position", F.lit(False).alias("is_sticky"), F.lit(1).alias("turn"), F.col("text").alias("_same"),
@@ -162,7 +178,7 @@ def urgency_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
     page (few and short) are folded in document order.
     """
     found = nodes.filter(
-        F.col("tag").isin("span", "p", "div", "strong", "em", "small", "li") & F.col("text").rlike(fixed.URGENCY_TEXT)
+        F.col("tag").isin(*URGENCY_TAGS) & F.col("text").rlike(fixed.URGENCY_TEXT)
     )
     item = F.struct(
         "idx", F.col("tag").alias("element"), "text", "position", "is_sticky",

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.html import attribute
 from tidemark.functions.text import any_of, lookup, strip
-from tidemark.operators.labels import field_label, with_label_candidates
+from tidemark.operators.labels import field_label, label_sources, with_label_candidates
 from tidemark.operators.tokens import FORM_OPAQUE, element_nodes, inside
 from tidemark.rules import structure as fixed
 
 FIELD_TAGS = ["input", "textarea", "select"]
+TEXT_TAGS = ["p", "span", "small", "div", "em", "strong", "button", "a"]
 
 
 def _attr(name: str) -> Column:
@@ -26,13 +27,33 @@ def _has(name: str) -> Column:
 
 
 def form_nodes(captures: DataFrame, key: str = "capture_id", html: str = "html") -> DataFrame:
-    """Nodes with labels for pages that hold any field."""
+    """Nodes with the facts of fields, for pages that hold any field."""
     candidates = captures.filter(F.col(html).rlike(r"(?i)<(input|textarea|select)\b"))
+    sources = label_sources()
+    inside_it = lambda n: (n["tag"] == "select") & (n["next_chosen"] < n["end_idx"])
+    is_form = lambda n: n["tag"] == "form"
+    # What stands beside a form: the element after it and the elements before it.
+    said = {**sources["said"], "chosen_text": ("next_chosen", inside_it), "after": ("next_sib", is_form)}
+    bar = lambda n: n["cls"].rlike(fixed.PROGRESS_BEFORE_CLASS)
     nodes = element_nodes(
         candidates, key, html, FORM_OPAQUE, levels=1, counted=("li", "option", "fieldset"),
-        parent_text_for=F.col("tag").isin(*FIELD_TAGS),
+        parent_text_for=lambda n: n["tag"].isin(*FIELD_TAGS),
+        following={"chosen": lambda e: (e["tag"] == "option") & F.map_contains_key(e["attrs"], "selected")},
+        up_fields=("idx", "end_idx", "tag", "cls", "seen", "seen_end"),
+        **{**sources, "said": said, "family_has": {**sources["family_has"], "bar_before": (bar, is_form, "before")}},
+    )
+    rows = _field_columns(with_label_candidates(nodes))
+    area_items = F.col("up_1.seen_end.li") - F.col("up_1.seen.li") - F.when(F.col("up_1.tag") == "li", 1).otherwise(0)
+    area = F.struct(
+        F.col("up_1.idx").alias("idx"), F.col("up_1.end_idx").alias("end_idx"), F.col("up_1.cls").alias("cls"), area_items.alias("items")
+    )
+    return rows.select(
+        key, "idx", "end_idx", "kind", "tag", "attrs", "cls", F.when(F.col("tag").isin(*TEXT_TAGS), F.col("text")).alias("text"),
+        "children", "seen", "seen_end", "form", F.when(F.col("up_1").isNotNull(), area).alias("area"),
+        "after", F.coalesce("bar_before", F.lit(False)).alias("bar_before"),
+        F.col("token").rlike(fixed.REALTIME_VALIDATION).alias("realtime"),
+        "field_type", "label", "required", "has_validation", "option_count", "default_option",
     )
-    return with_label_candidates(nodes, key)
 
 
 def _input_type() -> Column:
@@ -45,14 +66,8 @@ def is_field() -> Column:
     )
 
 
-def _field_columns(nodes: DataFrame, key: str) -> DataFrame:
+def _field_columns(nodes: DataFrame) -> DataFrame:
     """Adds the field facts to every node; options give their select its default."""
-    chosen = F.when(
-        (F.col("tag") == "option") & _has("selected"), F.struct("idx", "text")
-    )
-    nodes = nodes.withColumn("_chosen", chosen).withColumn(
-        "_default", F.expr(f"lead(_chosen, 1) IGNORE NULLS OVER (PARTITION BY {key} ORDER BY idx)")
-    )
     is_select = F.col("tag") == "select"
     kind = F.when(F.col("tag") == "input", lookup(_input_type(), fixed.INPUT_TYPES, F.lit("input_text"))).otherwise(
         F.col("tag")
@@ -71,9 +86,7 @@ def _field_columns(nodes: DataFrame, key: str) -> DataFrame:
         "*", kind.alias("field_type"), field_label().alias("label"), required.alias("required"),
         (validated & ~is_select).alias("has_validation"),
         F.when(is_select, F.greatest(inside("option") - 1, F.lit(0))).alias("option_count"),
-        F.when(
-            is_select, F.coalesce(F.when(F.col("_default.idx") < F.col("end_idx"), F.col("_default.text")), F.lit(""))
-        ).alias("default_option"),
+        F.when(is_select, F.coalesce("chosen_text", F.lit(""))).alias("default_option"),
     )
 
 
@@ -83,7 +96,7 @@ def field_table(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
     Columns: key, form_idx, position, type, name, label, required, placeholder,
     has_validation, option_count, default_option.
     """
-    rows = _field_columns(nodes, key).filter(is_field() & F.col("form").isNotNull())
+    rows = nodes.filter(is_field() & F.col("form").isNotNull())
     return _placed(rows, key, F.col("form.idx"), "form_idx")
 
 
@@ -121,40 +134,27 @@ def _first_distinct(texts: Column, count: int | None) -> Column:
     return texts if count is None else F.slice(texts, 1, count)
 
 
-def form_table(
+def all_forms(
     nodes: DataFrame, key: str = "capture_id", max_copies: int | None = None, max_proofs: int | None = None, max_length: int | None = None
 ) -> DataFrame:
-    """One row per form with at least one field.
+    """Forms with at least one field, and the implicit form of pages without one, from one grouping of the nodes.
 
-    Columns: key, form_no, action, method, total_fields, required_fields, field_types,
-    steps, has_progress_bar, validation_type, submit (struct), micro_copy, social_proof,
-    estimated_minutes. Texts beside a form are kept in any number and length without limits.
+    Columns: those of ``form_table``; what stands outside of forms is a group of its own on each page.
     """
-    rows = _field_columns(nodes, key)
-    parent = F.col("up_1.idx")
-    # What stands beside a form: the element after it and the elements before it.
-    siblings = Window.partitionBy(key, "_parent").orderBy("idx")
-    rows = rows.withColumn("_parent", parent)
-    rows = rows.withColumn("_beside", F.when(F.col("kind") != "text", F.struct("tag", "text"))).withColumn(
-        "_next", F.expr(f"lead(_beside, 1) IGNORE NULLS OVER (PARTITION BY {key}, _parent ORDER BY idx)")
-    ).withColumn(
-        "_bar_before",
-        F.max(F.col("cls").rlike(fixed.PROGRESS_BEFORE_CLASS).cast("int")).over(
-            siblings.rowsBetween(Window.unboundedPreceding, -1)
-        ),
-    )
-    elements = rows.filter(F.col("kind") != "text")
-    # Step indicators count list items below them, else their direct children.
-    children = elements.groupBy(key, F.col("_parent").alias("idx")).agg(F.count(F.lit(1)).alias("_children"))
-    step = F.col("cls").rlike(fixed.STEP_CLASS)
-    steps = (
-        elements.filter(step & F.col("form").isNotNull()).join(children, [key, "idx"], "left")
-        .withColumn("_items", F.when(inside("li") > 0, inside("li")).otherwise(F.coalesce("_children", F.lit(0))))
-        .filter(F.col("_items") >= 2)
-        .groupBy(key, F.col("form.idx").alias("form_idx")).agg(F.min_by("_items", "idx").alias("_step_items"))
+    is_form, own_form = F.col("tag") == "form", F.col("form.idx")
+    # A form inside another one counts for itself, and as a step container of the outer one.
+    groups = F.when(is_form & own_form.isNotNull(), F.array("idx", own_form)).otherwise(
+        F.array(F.when(is_form, F.col("idx")).otherwise(own_form))
     )
     short = lambda c: F.lit(True) if max_length is None else F.length(c) <= max_length
     text_ok = short("text") & (F.col("text") != "")
+    proof = F.col("tag").isin("p", "span", "div", "strong") & text_ok & F.col("text").rlike(fixed.FORM_PROOF)
+    field = is_field() & (F.col("kind") != "text")
+    loose = (
+        own_form.isNull() & F.col("tag").isin(*FIELD_TAGS)
+        & ~((F.col("tag") == "input") & _input_type().isin(*fixed.LOOSE_SKIPPED_INPUTS))
+    )
+    rows = nodes.filter(own_form.isNotNull() | is_form | loose | proof).withColumn("form_idx", F.explode(groups))
     copy = F.col("tag").isin("p", "span", "small", "div", "em") & text_ok & F.col("text").rlike(fixed.FORM_MICRO_COPY)
     link_button = (F.col("tag") == "a") & F.col("cls").rlike(fixed.SUBMIT_LINK_CLASS)
     preference = (
@@ -169,116 +169,109 @@ def form_table(
         F.col("cls").alias("class_name"), button_size(F.col("cls")).alias("size"), colour.alias("color"),
         F.lit("form_bottom").alias("position"),
     )
-    field = is_field() & (F.col("kind") != "text")
-    realtime = F.col("token").rlike(fixed.REALTIME_VALIDATION)
     html5 = F.col("tag").isin(*FIELD_TAGS) & (_has("pattern") | _has("required"))
-    is_form = F.col("tag") == "form"
     own = F.struct(
         _attr("action").alias("action"), F.upper(F.coalesce(attribute(F.col("attrs"), "method"), F.lit("GET"))).alias("method"),
-        _has("novalidate").alias("novalidate"), inside("fieldset").alias("fieldsets"),
-        F.coalesce(F.col("_bar_before") == 1, F.lit(False)).alias("bar_before"), F.col("_next.text").alias("after"),
-        F.col("up_1.idx").alias("area"), F.col("up_1.end_idx").alias("area_end"), F.col("up_1.cls").alias("area_cls"),
-        F.col("end_idx").alias("end_idx"),
+        _has("novalidate").alias("novalidate"), inside("fieldset").alias("fieldsets"), "bar_before", "after",
+        F.col("area.idx").alias("area_idx"), F.col("area.end_idx").alias("area_end"), F.col("area.cls").alias("area_cls"),
+        F.col("area.items").alias("area_items"), F.col("end_idx").alias("end_idx"),
     )
+    # Step indicators count list items below them, else their direct children.
+    items = F.when(inside("li") > 0, inside("li")).otherwise(F.col("children"))
+    steps = F.col("cls").rlike(fixed.STEP_CLASS) & (F.col("kind") != "text") & (own_form == F.col("form_idx")) & (items >= 2)
+    own_row = is_form & (F.col("idx") == F.col("form_idx"))
+    first_loose = F.struct(F.col("area.idx").alias("start"), F.col("area.end_idx").alias("end"))
     counts = [F.count_if(field & (F.col("field_type") == t)).cast("int").alias(f"_n_{t}") for t in fixed.FIELD_SECONDS]
-    # The form's own row and everything in it fall into one group.
-    joined = (
-        rows.withColumn("form_idx", F.when(is_form, F.col("idx")).otherwise(F.col("form.idx")))
-        .filter(F.col("form_idx").isNotNull()).groupBy(key, "form_idx").agg(
-            F.first(F.when(is_form, own), ignorenulls=True).alias("_own"),
-            *counts, F.count_if(field & F.col("required")).cast("int").alias("required_fields"),
-            F.sum(F.when(field, field_seconds(F.col("field_type")))).alias("_seconds"),
-            F.bool_or(realtime).alias("_realtime"), F.bool_or(F.coalesce(html5, F.lit(False))).alias("_html5"),
-            F.bool_or(
-                F.coalesce(
-                    ~is_form & ((F.col("tag") == "progress") | F.col("cls").rlike(fixed.PROGRESS_CLASS)), F.lit(False)
-                )
-            ).alias("_bar"),
-            F.min_by(
-                F.when(preference.isNotNull(), button), F.when(preference.isNotNull(), F.struct(preference, "idx"))
-            ).alias("submit"),
-            F.collect_list(F.when(copy, F.struct("idx", "text"))).alias("_copies"),
-        )
+    outside = F.col("form_idx").isNull()
+    joined = rows.groupBy(key, "form_idx").agg(
+        F.first(F.when(own_row, own), ignorenulls=True).alias("_own"),
+        *counts, F.count_if(field & F.col("required")).cast("int").alias("required_fields"),
+        F.sum(F.when(field, field_seconds(F.col("field_type")))).alias("_seconds"),
+        F.bool_or(F.col("realtime") & (~is_form | own_row)).alias("_realtime"), F.bool_or(F.coalesce(html5, F.lit(False))).alias("_html5"),
+        F.bool_or(
+            F.coalesce(
+                ~is_form & ((F.col("tag") == "progress") | F.col("cls").rlike(fixed.PROGRESS_CLASS)), F.lit(False)
+            )
+        ).alias("_bar"),
+        F.min_by(
+            F.when(preference.isNotNull(), button), F.when(preference.isNotNull(), F.struct(preference, "idx"))
+        ).alias("submit"),
+        F.collect_list(F.when(copy, F.struct("idx", "text"))).alias("_copies"),
+        F.min_by(F.when(steps, items), F.when(steps, F.col("idx"))).alias("_step_items"),
+        F.collect_list(F.when(proof, F.struct("idx", "text"))).alias("_page_proofs"),
+        F.count_if(loose).alias("_loose"), F.min_by(F.when(loose, first_loose), F.when(loose, F.col("idx"))).alias("_loose_area"),
+        F.collect_list(F.when(field & outside, F.struct("idx", "field_type", "required"))).alias("_loose_fields"),
     )
     types = list(fixed.FIELD_SECONDS)
     pairs = F.array_sort(F.array(*[F.struct(F.lit(t).alias("key"), F.col(f"_n_{t}").alias("value")) for t in types]))
     joined = joined.withColumn("field_types", F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0)))
     total = F.aggregate(F.map_values("field_types"), F.lit(0), lambda a, x: a + x)
-    joined = joined.withColumn("total_fields", total).select("*", "_own.*").drop("_own")
-    number = F.row_number().over(Window.partitionBy(key).orderBy("form_idx")) - 1
-    joined = joined.withColumn("form_no", number).filter("total_fields > 0")
-    joined = joined.join(steps, [key, "form_idx"], "left")
     # Proof is looked for in the parent of the form, list items there count as steps.
-    near = rows.filter(
-        (F.col("kind") != "text")
-        & (
-            (F.col("tag").isin("p", "span", "div", "strong") & text_ok & F.col("text").rlike(fixed.FORM_PROOF))
-            | (F.col("tag") == "li")
-        )
-    ).select(key, F.col("idx").alias("_at"), F.col("tag").alias("_tag"), F.col("text").alias("_said"))
-    inside_area = (
-        joined.select(key, "form_idx", "area", "area_end").join(near, key)
-        .filter((F.col("_at") > F.col("area")) & (F.col("_at") < F.col("area_end")))
-        .groupBy(key, "form_idx").agg(
-            F.count_if(F.col("_tag") == "li").alias("_area_items"),
-            F.collect_list(
-                F.when(F.col("_tag") != "li", F.struct(F.col("_at").alias("idx"), F.col("_said").alias("text")))
-            ).alias("_proofs"),
-        )
-    )
-    joined = joined.join(inside_area, [key, "form_idx"], "left")
+    page = Window.partitionBy(key)
+    joined = joined.withColumn("total_fields", total).select(
+        "*", "_own.*", (F.row_number().over(page.orderBy(F.col("form_idx").asc_nulls_last())) - 1).alias("form_no"),
+        F.flatten(F.collect_list("_page_proofs").over(page)).alias("_near"),
+        F.sum(F.when(~outside, F.col("total_fields"))).over(page).alias("_formed"),
+    ).drop("_own")
     none = F.array().cast("array<struct<idx:int,text:string>>")
+    proofs = F.filter("_near", lambda x: (x["idx"] > F.col("area_idx")) & (x["idx"] < F.col("area_end")))
     after_ok = short("after") & F.col("after").rlike(fixed.FORM_MICRO_COPY)
     copies = F.concat(
         F.coalesce("_copies", none),
         F.when(after_ok, F.array(F.struct(F.col("end_idx").alias("idx"), F.col("after").alias("text")))).otherwise(none),
     )
-    area_steps = F.col("area_cls").rlike(fixed.STEP_CLASS) & (F.col("_area_items") >= 2)
+    area_steps = F.col("area_cls").rlike(fixed.STEP_CLASS) & (F.col("area_items") >= 2)
+    # The fields of an implicit form are those below the parent of the first loose one.
+    below = F.filter(
+        "_loose_fields",
+        lambda x: (x["idx"] > F.coalesce(F.col("_loose_area.start"), F.lit(-1)))
+        & (x["idx"] < F.coalesce(F.col("_loose_area.end"), F.lit(2_000_000_000))),
+    )
+    joined = joined.withColumn("_below", F.when(outside & (F.col("_loose") >= 3) & (F.coalesce("_formed", F.lit(0)) == 0), below))
+    of_type = lambda t: F.size(F.filter("_below", lambda x: x["field_type"] == t))
+    below_types = F.map_from_entries(F.transform(
+        F.array_sort(F.array_distinct(F.transform("_below", lambda x: x["field_type"]))), lambda t: F.struct(t, of_type(t))
+    ))
+    joined = joined.filter((~outside & (F.col("total_fields") > 0)) | (F.size("_below") > 0))
+    real = lambda value, other: F.when(~outside, value).otherwise(other)
     return joined.select(
-        key, "form_no", F.concat(F.lit("form-"), F.col("form_no")).alias("id"), "action", "method",
-        "total_fields", "required_fields", "field_types",
+        key, F.when(~outside, F.col("form_no")).alias("form_no"),
+        real(F.concat(F.lit("form-"), F.col("form_no")), F.lit("form-implicit")).alias("id"), real(F.col("action"), F.lit("")).alias("action"),
+        real(F.col("method"), F.lit("")).alias("method"), real(F.col("total_fields"), F.size("_below")).alias("total_fields"),
+        real(F.col("required_fields"), F.size(F.filter("_below", lambda x: x["required"]))).alias("required_fields"),
+        real(F.col("field_types"), below_types).alias("field_types"),
         F.coalesce(
-            F.col("_step_items"), F.when(area_steps, F.col("_area_items")),
+            F.col("_step_items"), F.when(area_steps, F.col("area_items")),
             F.when(F.col("fieldsets") >= 2, F.col("fieldsets")), F.lit(1),
         ).cast("int").alias("steps"),
-        (F.col("_bar") | F.col("bar_before")).alias("has_progress_bar"),
-        F.when(F.col("novalidate") | F.col("_realtime"), "realtime")
-        .when(F.col("_html5"), "onsubmit").otherwise("none").alias("validation_type"),
-        "submit", _first_distinct(copies, max_copies).alias("micro_copy"),
-        _first_distinct(F.coalesce("_proofs", none), max_proofs).alias("social_proof"),
-        estimated_minutes(F.col("_seconds")).alias("estimated_minutes"),
-        F.lit(False).alias("is_implicit"),
+        real(F.col("_bar") | F.col("bar_before"), F.lit(False)).alias("has_progress_bar"),
+        real(
+            F.when(F.col("novalidate") | F.col("_realtime"), "realtime").when(F.col("_html5"), "onsubmit").otherwise("none"), F.lit("none")
+        ).alias("validation_type"),
+        F.when(~outside, F.col("submit")).alias("submit"), F.when(~outside, _first_distinct(copies, max_copies)).alias("micro_copy"),
+        F.when(~outside, _first_distinct(F.coalesce(proofs, none), max_proofs)).alias("social_proof"),
+        real(estimated_minutes(F.col("_seconds")), F.lit(1)).alias("estimated_minutes"), outside.alias("is_implicit"),
     )
 
 
+def form_table(
+    nodes: DataFrame, key: str = "capture_id", max_copies: int | None = None, max_proofs: int | None = None, max_length: int | None = None
+) -> DataFrame:
+    """One row per form with at least one field.
+
+    Columns: key, form_no, action, method, total_fields, required_fields, field_types,
+    steps, has_progress_bar, validation_type, submit (struct), micro_copy, social_proof,
+    estimated_minutes. Texts beside a form are kept in any number and length without limits.
+    """
+    return all_forms(nodes, key, max_copies, max_proofs, max_length).filter(~F.col("is_implicit"))
+
+
 def implicit_forms(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
     """Pages without a form that has fields, but with three or more loose fields.
 
     The fields counted are those below the parent of the first loose one.
     """
-    rows = _field_columns(nodes, key)
-    loose = (
-        F.col("form").isNull() & F.col("tag").isin(*FIELD_TAGS)
-        & ~((F.col("tag") == "input") & _input_type().isin(*fixed.LOOSE_SKIPPED_INPUTS))
-    )
-    area = F.struct(F.col("idx").alias("at"), F.col("up_1.idx").alias("start"), F.col("up_1.end_idx").alias("end"))
-    pages = rows.groupBy(key).agg(
-        F.count_if(loose).alias("_loose"), F.count_if(is_field() & F.col("form").isNotNull()).alias("_formed"),
-        F.min_by(F.when(loose, area), F.when(loose, F.col("idx"))).alias("_area"),
-    ).filter("_loose >= 3 AND _formed = 0")
-    fields = rows.filter(is_field() & (F.col("kind") != "text")).join(pages.select(key, "_area"), key).filter(
-        (F.col("idx") > F.coalesce(F.col("_area.start"), F.lit(-1)))
-        & (F.col("idx") < F.coalesce(F.col("_area.end"), F.lit(2_000_000_000)))
-    )
-    types = fields.groupBy(key, "field_type").agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_if("required").alias("r"))
-    return types.groupBy(key).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_type", "n")))).alias("field_types"),
-        F.sum("n").cast("int").alias("total_fields"), F.sum("r").cast("int").alias("required_fields"),
-    ).select(
-        key, F.lit("form-implicit").alias("id"), F.lit("").alias("action"), F.lit("").alias("method"), "total_fields",
-        "required_fields", "field_types", F.lit(1).alias("steps"), F.lit(False).alias("has_progress_bar"),
-        F.lit("none").alias("validation_type"), F.lit(1).alias("estimated_minutes"), F.lit(True).alias("is_implicit"),
-    )
+    return all_forms(nodes, key).filter("is_implicit").drop("form_no", "submit", "micro_copy", "social_proof")
 
 
 def form_summary(forms: DataFrame, key: str = "capture_id") -> DataFrame:

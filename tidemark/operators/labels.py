@@ -1,73 +1,39 @@
-"""Labels of form fields, by windows over the nodes of one capture."""
+"""Labels of form fields, from what stands around and beside them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.html import attribute
-from tidemark.operators.tokens import carried
 from tidemark.rules import structure as fixed
 
 FIELD_TAGS = ["input", "textarea", "select"]
 
 
-def with_label_candidates(nodes: DataFrame, key: str = "capture_id") -> DataFrame:
-    """Adds every label a node could take, and the form (struct or NULL) around it.
-
-    New columns: form, earlier_label, form_label, wrap_label, aria_label, sibling_label,
-    sibling_text, child_text, mark_sibling.
-    """
-    span = F.struct("idx", "end_idx", "text")
-    rows = carried(nodes, "form", F.col("tag") == "form", span, key)
-    rows = carried(rows, "wrap", F.col("tag") == "label", span, key)
-    refers = F.when(F.col("tag") == "label", attribute(F.col("attrs"), "for")).when(
-        F.col("tag").isin(*FIELD_TAGS), F.when(F.col("elem_id") != "", F.col("elem_id"))
-    )
-    rows = rows.withColumn("_ref", refers).withColumn("_lab", F.when(F.col("tag") == "label", F.col("text")))
-    rows = rows.withColumn(
-        "_earlier",
-        F.expr(
-            f"last(_lab) IGNORE NULLS OVER (PARTITION BY {key}, _ref ORDER BY idx "
-            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-        ),
-    )
-    whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    in_form = whole(Window.partitionBy(key, "_ref", "form.idx").orderBy("idx"))
-    anywhere = whole(Window.partitionBy(key, "_ref").orderBy("idx"))
-    rows = rows.withColumn(
-        "_scoped",
-        F.when(F.col("form").isNotNull(), F.first("_lab", ignorenulls=True).over(in_form)).otherwise(
-            F.first("_lab", ignorenulls=True).over(anywhere)
-        ),
-    )
-    rows = rows.withColumn("_parent", F.col("up_1.idx"))
-    siblings = Window.partitionBy(key, "_parent").orderBy("idx")
-    earlier = siblings.rowsBetween(Window.unboundedPreceding, -1)
-    pick = lambda tags: F.last(F.when(F.col("tag").isin(*tags), F.col("text")), ignorenulls=True).over(earlier)
-    said = F.when(
-        (F.col("kind") == "text") | (F.col("tag").isin("label", "span", "p") & (F.col("text") != "")), F.col("text")
-    )
-    marked = F.col("tag").isin("span", "em", "strong") & F.col("text").isin(*fixed.REQUIRED_MARKS)
-    rows = rows.select(
-        "*",
-        pick(["label", "span", "p", "dt"]).alias("_sib"),
-        pick(["label", "span", "dt", "th", "p"]).alias("_sib_wide"),
-        F.first(said, ignorenulls=True).over(whole(siblings)).alias("_child"),
-        F.coalesce(F.max(marked.cast("int")).over(whole(siblings)) == 1, F.lit(False)).alias("mark_sibling"),
+def label_sources() -> dict:
+    """What ``element_nodes`` has to find for labels: the form and label around, labels by reference."""
+    refers = lambda e: F.when(e["tag"] == "label", attribute(e["attrs"], "for")).when(
+        e["tag"].isin(*FIELD_TAGS), F.when(e["elem_id"] != "", e["elem_id"])
     )
-    has_ref = F.col("_ref").isNotNull()
+    is_field = lambda n: n["tag"].isin(*FIELD_TAGS)
+    marked = lambda n: n["tag"].isin("span", "em", "strong") & n["text"].isin(*fixed.REQUIRED_MARKS)
+    places = {
+        "earlier_label": "ref_before", "form_label": "ref_first", "wrap_label": "last_label", "sibling_label": "sib",
+        "wide_label": "sib_wide", "child_text": "sib_said",
+    }
+    return {
+        "latest": {"form": "form", "label": "label"}, "refs": refers, "said": {name: (at, is_field) for name, at in places.items()},
+        "family_has": {"mark_sibling": (marked, is_field)},
+    }
+
+
+def with_label_candidates(nodes: DataFrame) -> DataFrame:
+    """Nodes made with ``label_sources`` with the form (struct or NULL) around them, aria_label and sibling_text."""
     aria = attribute(F.col("attrs"), "aria-label")
-    return rows.select(
-        *nodes.columns, "form",
-        F.when(has_ref, F.col("_earlier")).alias("earlier_label"),
-        F.when(has_ref, F.col("_scoped")).alias("form_label"),
-        F.col("wrap.text").alias("wrap_label"),
-        F.when(aria != "", aria).alias("aria_label"),
-        F.col("_sib").alias("sibling_label"),
-        F.when(F.col("_sib_wide") != "", F.col("_sib_wide")).alias("sibling_text"),
-        F.col("_child").alias("child_text"),
-        "mark_sibling",
+    return nodes.select(
+        "*", F.when(F.col("last_form").isNotNull(), F.struct(F.col("last_form").alias("idx"))).alias("form"),
+        F.when(aria != "", aria).alias("aria_label"), F.when(F.col("wide_label") != "", F.col("wide_label")).alias("sibling_text"),
     )
 
 

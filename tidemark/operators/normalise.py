@@ -10,12 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.html import attribute, has_class
 from tidemark.functions.text import any_of, blank, collapse
-from tidemark.operators.tokens import (
-    NORMALISE_OPAQUE,
-    node_table,
-    spanned_tokens,
-    token_table,
-)
+from tidemark.operators.tokens import NORMALISE_OPAQUE, element_nodes
 from tidemark.rules import normalise as fixed
 
 
@@ -101,18 +96,16 @@ def normalised_lines(
 ) -> DataFrame:
     """One row per kept token: key, idx, line, leaf (continues the line before)."""
     rules = fixed.EXCLUDED if excluded is None else excluded
-    spanned = spanned_tokens(token_table(captures, key, html, NORMALISE_OPAQUE), key)
     element = F.col("attrs").isNotNull()
-    dropped = selected(rules, F.col("tag"), F.col("cls"), F.col("elem_id"), F.col("attrs"))
-    described = F.concat_ws(" ", F.col("cls"), F.coalesce(F.col("elem_id"), F.lit("")))
+    described = lambda e: F.concat_ws(" ", e["cls"], F.coalesce(e["elem_id"], F.lit("")))
     areas = {
-        "excluded": element & dropped,
-        "recommend": element & F.map_contains_key("attrs", "class") & described.rlike(fixed.RECOMMEND_SECTION),
-        "kept_text": F.col("tag").isin(*fixed.KEPT_TEXT_TAGS),
+        "excluded": lambda e: selected(rules, e["tag"], e["cls"], e["elem_id"], e["attrs"]),
+        "recommend": lambda e: F.map_contains_key(e["attrs"], "class") & described(e).rlike(fixed.RECOMMEND_SECTION),
+        "kept_text": tuple(fixed.KEPT_TEXT_TAGS),
     }
-    nodes = node_table(spanned, key, levels=1, keep=("leaf",), whole=True, areas=areas)
-    nodes = nodes.withColumn("_gone", element & dropped)
-    nodes = nodes.filter((F.col("kind") != "opaque") & (F.col("in_excluded") == 0) & ~F.coalesce("_gone", F.lit(False)))
+    nodes = element_nodes(captures, key, html, NORMALISE_OPAQUE, levels=1, areas=areas, texts=(), whole=True)
+    gone = element & selected(rules, F.col("tag"), F.col("cls"), F.col("elem_id"), F.col("attrs"))
+    nodes = nodes.filter((F.col("kind") != "opaque") & (F.col("in_excluded") == 0) & ~F.coalesce(gone, F.lit(False)))
     parent_class = F.lower(F.coalesce(F.col("up_1.cls"), F.lit("")))
     kept = (
         (F.col("in_kept_text") > 0)

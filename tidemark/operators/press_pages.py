@@ -62,6 +62,14 @@ def _areas() -> dict[tuple, str]:
     return {pair: f"sel_{i}" for i, pair in enumerate(dict.fromkeys(wanted))}
 
 
+def _area_flag(tag: str | None, cls: str | None):
+    """Flag of the elements of one (tag, class) pair."""
+    if not cls:
+        return tag
+    classed = lambda e: has_class(F.coalesce(e["cls"], F.lit("")), cls)
+    return classed if not tag else lambda e: (e["tag"] == tag) & classed(e)
+
+
 def _matches(selector: tuple, areas: dict[tuple, str]) -> Column:
     tag, cls, up_tag, up_cls = selector
     test = F.lit(True)
@@ -74,11 +82,11 @@ def _matches(selector: tuple, areas: dict[tuple, str]) -> Column:
     return test
 
 
-def _ahead(rows: DataFrame, key: str, name: str, condition: Column, value: Column) -> DataFrame:
-    """Adds the first later node with ``condition``; it lies inside a row when its idx is below end_idx."""
-    return rows.withColumn("_m", F.when(condition, value)).withColumn(
-        name, F.expr(f"lead(_m, 1) IGNORE NULLS OVER (PARTITION BY {key} ORDER BY idx)")
-    ).drop("_m")
+def _ahead(rows: DataFrame, key: str, found: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Adds per name the first later node with its condition; it lies inside a row when its idx is below end_idx."""
+    marked = rows.select("*", *[F.when(condition, value).alias(f"_m{name}") for name, (condition, value) in found.items()])
+    ahead = lambda name: F.expr(f"lead(_m{name}, 1) IGNORE NULLS OVER (PARTITION BY {key} ORDER BY idx)")
+    return marked.select(*rows.columns, *[ahead(name).alias(name) for name in found])
 
 
 def _inside(name: str) -> Column:
@@ -91,31 +99,27 @@ def listing_rows(listings: DataFrame, key: str = "capture_id") -> DataFrame:
     ``listings``: key, source_name, base_url, html.
     """
     areas = _areas()
-    cls = F.coalesce("cls", F.lit(""))
-    flags = {
-        name: ((F.col("tag") == pair[0]) if pair[0] else F.lit(True)) & (has_class(cls, pair[1]) if pair[1] else F.lit(True))
-        for pair, name in areas.items()
-    }
-    nodes = element_nodes(listings, key, "html", OPAQUE, levels=1, areas=flags)
+    listings = listings.select(key, "html", profile_of(F.col("source_name")).alias("profile"), "base_url")
+    flags = {name: _area_flag(*pair) for pair, name in areas.items()}
+    nodes = element_nodes(
+        listings, key, "html", OPAQUE, levels=1, areas=flags, texts=("raw_text",), carry=("profile", "base_url")
+    )
     nodes = nodes.filter(F.col("kind") != "text")
-    facts = listings.select(key, profile_of(F.col("source_name")).alias("profile"), "base_url")
-    nodes = nodes.join(facts, key)
     said = collapse(F.col("raw_text"))
     link = F.struct("idx", _attr("href").alias("href"), said.alias("title"), F.map_contains_key("attrs", "href").alias("has"))
     is_a = F.col("tag") == "a"
-    rows = _ahead(nodes, key, "_link", is_a, link)
-    rows = _ahead(rows, key, "_href", is_a & F.map_contains_key("attrs", "href"), link)
-    rows = _ahead(rows, key, "_head234", F.col("tag").isin("h2", "h3", "h4"), F.struct("idx", "end_idx", said.alias("title")))
-    head = F.struct("idx", "end_idx", said.alias("title"), _inside("_link").alias("link"))
-    rows = _ahead(rows, key, "_head", F.col("tag").isin("h1", "h2", "h3", "h4"), head)
     stamp = F.struct("idx", F.coalesce(none_if_empty(_attr("datetime")), F.col("raw_text")).alias("said"))
-    rows = _ahead(rows, key, "_time", F.col("tag") == "time", stamp)
     all_classes = list(dict.fromkeys(c for p in fixed.LISTING_PROFILES.values() for c in p["date_classes"]))
     plain = F.struct("idx", F.col("raw_text").alias("said"))
-    for i, name in enumerate(all_classes):
-        rows = _ahead(rows, key, f"_date{i}", has_class(F.col("cls"), name), plain)
     any_dated = has_class(F.col("cls"), "date") | has_class(F.col("cls"), "time") | F.contains(_attr("class"), F.lit("date"))
-    rows = _ahead(rows, key, "_anydate", any_dated, plain)
+    rows = _ahead(nodes, key, {
+        "_link": (is_a, link), "_href": (is_a & F.map_contains_key("attrs", "href"), link),
+        "_head234": (F.col("tag").isin("h2", "h3", "h4"), F.struct("idx", "end_idx", said.alias("title"))),
+        "_time": (F.col("tag") == "time", stamp), "_anydate": (any_dated, plain),
+        **{f"_date{i}": (has_class(F.col("cls"), name), plain) for i, name in enumerate(all_classes)},
+    })
+    head = F.struct("idx", "end_idx", said.alias("title"), _inside("_link").alias("link"))
+    rows = _ahead(rows, key, {"_head": (F.col("tag").isin("h1", "h2", "h3", "h4"), head)})
     around = F.struct("idx", "end_idx", _attr("href").alias("href"), said.alias("title"), F.lit(True).alias("has"))
     rows = carried(rows, "_around", is_a, around, key)
     siblings = Window.partitionBy(key, "up_1.idx").orderBy("idx")
@@ -242,9 +246,10 @@ def _bodies(pages: DataFrame, names: list[str], removed: tuple[str, ...], key: s
 def _ranked_blocks(
     pages: DataFrame, names: list[str], opaque: tuple[str, ...], key: str, with_selectors: bool, with_largest: bool
 ) -> DataFrame:
-    flags = {"article": F.col("tag") == "article", "main": F.col("tag") == "main"}
-    nodes = element_nodes(pages, key, "html", opaque, levels=1, areas=flags).filter(F.col("kind") == "open")
-    nodes = nodes.join(pages.select(key, "_profile"), key)
+    flags = {"article": "article", "main": "main"}
+    nodes = element_nodes(
+        pages, key, "html", opaque, levels=1, areas=flags, texts=("text", "spaced_text"), carry=("_profile",)
+    ).filter(F.col("kind") == "open")
     ranks, need = [], []
     for name in names:
         profile = fixed.BODY_PROFILES[name]
@@ -300,7 +305,7 @@ def structured_date(html: Column) -> Column:
 
 def article_dates(pages: DataFrame, key: str = "capture_id", html: str = "html") -> DataFrame:
     """Publication date per article page: structured data, meta, time, date classes, header text."""
-    nodes = element_nodes(pages, key, html, OPAQUE, levels=1).filter(F.col("kind") != "text")
+    nodes = element_nodes(pages, key, html, OPAQUE, levels=1, texts=("raw_text",)).filter(F.col("kind") != "text")
     first_of = Window.partitionBy(key, "_slot").orderBy("idx")
     metas = []
     for i, name in enumerate(fixed.DATE_META):

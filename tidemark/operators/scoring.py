@@ -13,7 +13,7 @@ from tidemark.functions import urls
 from tidemark.functions.html import attribute, has_class
 from tidemark.functions.press_text import add_press_summary
 from tidemark.functions.text import any_of, chain, first_group, lookup, strip
-from tidemark.operators.tokens import STRUCTURE_OPAQUE, node_table, spanned_tokens, token_table
+from tidemark.operators.tokens import STRUCTURE_OPAQUE, element_nodes
 from tidemark.rules import press as press_rules
 from tidemark.rules import scan as scan_rules
 
@@ -78,11 +78,10 @@ def replacement_urls(
     link must look like a detail page and lead to another path than the old one.
     """
     selectors = scan_rules.DETAIL_LINKS if links_by_service is None else links_by_service
-    spanned = spanned_tokens(token_table(listings, key, "html", STRUCTURE_OPAQUE), key)
     areas = sorted({area for rules in selectors.values() for area, *_ in rules if area})
     names = {area: f"area_{i}" for i, area in enumerate(areas)}
-    flags = {names[a]: has_class(F.coalesce("cls", F.lit("")), a) for a in areas}
-    nodes = node_table(spanned, key, levels=1, areas=flags)
+    flags = {names[a]: lambda e, a=a: has_class(F.coalesce(e["cls"], F.lit("")), a) for a in areas}
+    nodes = element_nodes(listings, key, "html", STRUCTURE_OPAQUE, levels=1, areas=flags, texts=())
     links = nodes.filter((F.col("tag") == "a") & F.map_contains_key("attrs", "href"))
     links = links.withColumn("href", attribute(F.col("attrs"), "href")).filter(F.col("href") != "")
     links = links.join(listings.select(key, "service", "list_url", "old_url"), key)

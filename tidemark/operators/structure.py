@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.html import attribute
 from tidemark.functions.text import any_of, lookup
 from tidemark.functions.urls import without_query
-from tidemark.operators.labels import component_label, with_label_candidates
-from tidemark.operators.tokens import STRUCTURE_OPAQUE, carried, element_nodes, inside
+from tidemark.operators.labels import component_label, label_sources, with_label_candidates
+from tidemark.operators.tokens import STRUCTURE_OPAQUE, element_nodes, inside
 from tidemark.rules import structure as fixed
 
 URGENCY_TAGS = ["span", "p", "div", "strong", "em"]
@@ -22,11 +22,14 @@ def _attr(name: str) -> Column:
 
 def structure_nodes(captures: DataFrame, key: str = "capture_id", html: str = "html") -> DataFrame:
     """Nodes of the structure analysis, with the open carousel containers counted."""
-    areas = {"carousel": F.coalesce(F.col("cls"), F.lit("")).rlike(fixed.CAROUSEL_CLASS)}
-    urgent = F.col("tag").isin(*URGENCY_TAGS) & F.col("text").rlike(fixed.URGENCY_COMPONENT_TEXT)
+    sources = label_sources()
+    inside_it = lambda n: (n["tag"] == "details") & (n["next_summary"] < n["end_idx"])
     return element_nodes(
-        captures, key, html, STRUCTURE_OPAQUE, levels=1, areas=areas, counted=("img", "tr", "th", "td"),
-        parent_text_for=urgent,
+        captures, key, html, STRUCTURE_OPAQUE, levels=1, areas={"carousel": lambda e: F.coalesce(e["cls"], F.lit("")).rlike(fixed.CAROUSEL_CLASS)},
+        counted=("img", "tr", "th", "td"),
+        parent_text_for=lambda n: n["tag"].isin(*URGENCY_TAGS) & n["text"].rlike(fixed.URGENCY_COMPONENT_TEXT),
+        following={"summary": "summary"}, roots=("body", "html", tuple(HEAD_TAGS)), up_fields=("idx", "tag"),
+        **{**sources, "said": {**sources["said"], "summary_text": ("next_summary", inside_it)}},
     )
 
 
@@ -92,7 +95,6 @@ def _component_attributes() -> Column:
     entry = lambda *pairs: F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)])
     kind, text = F.col("component"), F.col("text")
     columns = F.when(inside("th") > 0, inside("th")).otherwise(F.least(inside("td"), F.lit(1)))
-    summary = F.when(F.col("_summary.idx") < F.col("end_idx"), F.col("_summary.text"))
     return (
         F.when(
             F.col("tag").isin("input", "textarea", "select"),
@@ -121,7 +123,7 @@ def _component_attributes() -> Column:
         )
         .when(
             kind == "accordion",
-            entry(("summary", F.coalesce(summary, F.lit(""))), ("open", flag(has("open")))),
+            entry(("summary", F.coalesce("summary_text", F.lit(""))), ("open", flag(has("open")))),
         )
         .when(kind == "social_proof", entry(("text", text), ("className", F.col("cls"))))
         .when(kind == "urgency", entry(("text", text)))
@@ -136,20 +138,10 @@ def page_sections(nodes: DataFrame, key: str = "capture_id", attributes: bool =
     (array of position, type, tag_name, child_count, is_sticky, attributes). Every node
     carries the section it lies in, so sections and components come from one grouping.
     """
-    rows = with_label_candidates(nodes, key) if attributes else nodes
+    rows = with_label_candidates(nodes) if attributes else nodes
     elements = rows.filter(F.col("kind") != "text")
-    anyone = Window.partitionBy(key)
-    elements = elements.withColumn("_has_body", F.max((F.col("tag") == "body").cast("int")).over(anyone) == 1)
-    root = F.when(F.col("_has_body"), F.col("up_1.tag") == "body").otherwise(
-        F.coalesce(F.col("up_1.tag"), F.lit("html")) == "html"
-    ) & ~F.col("tag").isin(*HEAD_TAGS)
-    elements = elements.withColumn("_root", F.coalesce(root, F.lit(False)))
-    elements = carried(elements, "_sec", F.col("_root"), F.struct("idx", "end_idx"), key)
-    elements = elements.withColumn("_sec_idx", F.when(F.col("_root"), F.col("idx")).otherwise(F.col("_sec.idx")))
-    if attributes:
-        elements = elements.withColumn("_said", F.when(F.col("tag") == "summary", F.struct("idx", "text"))).withColumn(
-            "_summary", F.expr(f"lead(_said, 1) IGNORE NULLS OVER (PARTITION BY {key} ORDER BY idx)")
-        )
+    elements = elements.withColumn("_root", F.col("is_root") == 1)
+    elements = elements.withColumn("_sec_idx", F.when(F.col("_root"), F.col("idx")).otherwise(F.col("last_root")))
     elements = elements.filter(F.col("_sec_idx").isNotNull()).withColumn(
         "component", F.when(~F.col("_root"), component_type())
     )
@@ -166,6 +158,7 @@ def page_sections(nodes: DataFrame, key: str = "capture_id", attributes: bool =
         F.when(F.col("cls") != "", F.col("cls")).alias("class_name"), fixed_style.alias("is_sticky"),
     )
     inner_section = F.col("tag").isin(*fixed.SECTION_TAGS) & (F.col("up_1.idx") == F.col("_sec_idx"))
+    elements = elements.filter(F.col("_root") | F.col("component").isNotNull() | F.coalesce(inner_section, F.lit(False)))
     grouped = elements.groupBy(key, "_sec_idx").agg(
         F.first(F.when(F.col("_root"), section), ignorenulls=True).alias("_s"),
         F.coalesce(F.bool_or(inner_section & ~F.col("_root")), F.lit(False)).alias("_holds"),

@@ -1,8 +1,9 @@
 """Captured markup as a table of tokens and of elements.
 
-Captures are partitioned by their key once, before the tokens are exploded: one
-exchange of whole documents. Every later window works inside that partitioning, so
-the (far more numerous) token rows are sorted locally and never shuffled.
+Captures are partitioned by their key once, as whole documents: one exchange. Ends, depths,
+ancestors and counts are worked out on the arrays of a page (``functions/page_tree.py``), and
+its nodes are exploded with all of them. Later windows work inside that partitioning, so the
+(far more numerous) token rows are sorted locally and never shuffled.
 
 Elements come from the token order alone. A start tag ends at its own end tag of the
 same nesting level; elements with implied ends (paragraphs, list items, table rows
@@ -14,9 +15,15 @@ on broken input it can differ from what a tree-building parser would repair.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import page_tree
+
 from tidemark.functions.html import (
     attribute,
     attribute_map,
@@ -28,6 +35,9 @@ from tidemark.functions.html import (
 )
 from tidemark.functions.text import blank, chain, decode_entities, strip
 
+# The module travels with its function, so executors need no copy of the package.
+register_pickle_by_value(page_tree)
+
 # Elements left out before analysis, by caller.
 NORMALISE_OPAQUE = ("script", "style", "noscript", "iframe")
 STRUCTURE_OPAQUE = ("script", "style", "noscript", "iframe", "svg")
@@ -50,6 +60,8 @@ INLINE_TAGS = [
 # Parents whose text no rule looks at.
 TEXTLESS_PARENTS = ["body", "html"]
 
+UP_FIELDS = ("idx", "end_idx", "tag", "cls", "style", "role", "texts_before", "texts_end")
+
 # Elements with implied ends: (family, members, containers that open a new level, other closers).
 IMPLIED = [
     ("p", ["p"], [], BLOCK_TAGS),
@@ -119,18 +131,6 @@ def token_table(
     )
 
 
-def page_texts(
-    captures: DataFrame,
-    key: str = "capture_id",
-    html: str = "html",
-    opaque: tuple[str, ...] = STRUCTURE_OPAQUE,
-) -> DataFrame:
-    """One row per capture: its text runs in order, entities decoded (array ``texts``)."""
-    base = by_capture(captures.select(key, html), key)
-    base = base.select(key, token_array(F.col(html), opaque).alias("_tokens"))
-    return base.select(key, F.transform(F.filter("_tokens", is_text), decode_entities).alias("texts"))
-
-
 def _families_of(tag: str, kind: str) -> list[tuple[str, int, bool, bool]]:
     """Families (name, level change, opens, closes) of a known tag; its own family first."""
     opening = kind == "open"
@@ -240,150 +240,186 @@ def spanned_tokens(tokens: DataFrame, key: str = "capture_id") -> DataFrame:
     )
 
 
-def node_table(
-    spanned: DataFrame,
-    key: str = "capture_id",
-    levels: int = 1,
-    keep: tuple[str, ...] = (),
-    whole: bool = False,
-    areas: dict[str, Column] | None = None,
-) -> DataFrame:
-    """Elements and non-blank text runs (or ``whole``: all tokens) with depth and nearest ancestors.
+Flag = "str | tuple[str, ...] | Callable[[Column], Column]"
 
-    Adds attrs, cls, elem_id, depth and up_1..up_<levels>: struct(idx, tag, cls, style, role,
-    texts_before, texts_end) of the parent, its parent, and so on (NULL above the root), and
-    per area in_<area>, the number of enclosing elements for which it holds. ``keep``
-    names further columns of ``spanned`` to carry.
 
-    Depth and areas are running sums over element starts and ends; a parent is the last
-    element of the depth above. Neither needs a range join.
-    """
-    areas = areas or {}
-    is_element = F.col("kind").isin("open", "void")
-    nodes = spanned if whole else spanned.filter(is_element | ((F.col("kind") == "text") & ~blank(F.col("token"))))
-    nodes = nodes.withColumn("attrs", F.when(is_element, attribute_map(F.col("token"))))
-    nodes = nodes.withColumn("cls", F.when(is_element, class_text(F.col("attrs"))))
-    nodes = nodes.withColumn("elem_id", attribute(F.col("attrs"), "id"))
-    nodes = nodes.withColumn("_open", ((F.col("kind") == "open") & (F.col("end_idx") > F.col("idx"))).cast("int"))
-    for name, holds in areas.items():
-        nodes = nodes.withColumn(f"_d_{name}", F.when((F.col("_open") == 1) & F.coalesce(holds, F.lit(False)), 1).otherwise(0))
-    start = F.struct(F.col("idx").alias("at"), F.lit(1).alias("sign"))
-    stop = F.struct(F.col("cover_end").alias("at"), F.lit(-1).alias("sign"))
-    deltas = ["_open", *[f"_d_{name}" for name in areas]]
-    heavy = ["token", "attrs", "cls", "elem_id", "tag", "kind", *keep]
-    heavy = [c for c in dict.fromkeys(heavy)]
-    events = nodes.withColumn("_e", F.explode(F.when(F.col("_open") == 1, F.array(start, stop)).otherwise(F.array(start))))
-    first = F.col("_e.sign") == 1
-    # End events carry their position and deltas only.
-    events = events.select(
-        key, "idx", "end_idx", "texts_before", "texts_end", F.col("_e.at").alias("_at"), F.col("_e.sign").alias("_sign"),
-        *deltas, *[F.when(first, F.col(c)).alias(c) for c in heavy],
-    )
-    # Ordered by position with ties taken together: an end at a position counts before it.
-    running = Window.partitionBy(key).orderBy("_at")
-    summed = [(F.sum(F.col(d) * F.col("_sign")).over(running) - F.col(d)).cast("int").alias(f"_in{d}") for d in deltas]
-    nodes = events.select("*", *summed).filter(F.col("_sign") == 1)
-    nodes = nodes.withColumn("depth", F.col("_in_open") + 1)
-    for name in areas:
-        nodes = nodes.withColumnRenamed(f"_in_d_{name}", f"in_{name}")
-    offer = F.struct(
-        "idx", "end_idx", "tag", "cls", F.coalesce(attribute(F.col("attrs"), "style"), F.lit("")).alias("style"),
-        F.coalesce(attribute(F.col("attrs"), "role"), F.lit("")).alias("role"), "texts_before", "texts_end",
-    )
-    # Row k=0 offers an element at its own depth and carries nothing else; row k=1 is the
-    # node itself asking for the depth above; rows k>1 only ask.
-    carried_columns = [
-        "end_idx", "texts_before", "texts_end", "depth", *[f"in_{n}" for n in areas], *heavy,
-    ]
-    asks = [F.lit(k) for k in range(1, levels + 1)]
-    steps = F.when(F.col("_open") == 1, F.array(F.lit(0), *asks)).otherwise(F.array(*asks))
-    asked = nodes.withColumn("_k", F.explode(steps))
-    asked = asked.select(
-        key, "idx", "_k", (F.col("depth") - F.col("_k")).alias("_at_depth"),
-        F.when(F.col("_k") == 0, offer).alias("_offer"),
-        *[F.when(F.col("_k") == 1, F.col(c)).alias(c) for c in carried_columns],
-    )
-    asked = asked.withColumn(
-        "_found",
-        F.expr(
-            f"last(_offer) IGNORE NULLS OVER (PARTITION BY {key}, _at_depth ORDER BY idx "
-            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-        ),
-    ).filter("_k > 0").drop("_offer", "_at_depth")
-    if levels == 1:
-        nodes = asked.withColumnRenamed("_found", "up_1")
-    else:
-        back = Window.partitionBy(key, "idx").orderBy(F.col("_k").desc())
-        nodes = asked
-        for k in range(2, levels + 1):
-            nodes = nodes.withColumn(f"up_{k}", F.lag("_found", k - 1).over(back))
-        nodes = nodes.filter("_k = 1").withColumnRenamed("_found", "up_1")
-    order = [key, "idx", "end_idx", "kind", "tag", "token", "attrs", "cls", "elem_id", "depth", "texts_before", "texts_end"]
-    extra = [c for c in keep if c not in order]
-    return nodes.select(*order, *[f"up_{k}" for k in range(1, levels + 1)], *[f"in_{n}" for n in areas], *extra)
-
-
-def with_text(
-    nodes: DataFrame,
-    texts: DataFrame,
-    key: str = "capture_id",
-    name: str = "text",
-    parent_text_for: Column | None = None,
-) -> DataFrame:
-    """Adds the stripped pieces of the subtree joined without a separator, and ``raw_<name>``.
+def _families_known() -> dict[tuple[str, str], tuple]:
+    """Family steps of the tags that belong to more than their own family, by kind and tag."""
+    listed = set(BLOCK_TAGS) | {t for _, members, containers, closers in IMPLIED for t in [*members, *containers, *closers]}
+    return {(kind, tag): tuple(_families_of(tag, kind)) for tag in sorted(listed) for kind in ("open", "close")}
 
-    ``up_<name>`` is the text of the parent of the rows where ``parent_text_for`` holds
-    (building it for every child would repeat a parent's text once per child). Both sides
-    keep the partitioning by capture; each element reads its slice of the capture's text
-    array. Columns that are not used are pruned and cost nothing.
-    """
-    wanted = F.lit(False) if parent_text_for is None else parent_text_for
-    joined = nodes.join(texts, key, "left")
-    part = F.slice(
-        F.col("texts"), F.col("texts_before") + 1,
-        F.greatest(F.coalesce(F.col("texts_end"), F.col("texts_before") + 1) - F.col("texts_before"), F.lit(0)),
+
+def _elements(tokens: Column, opaque: tuple[str, ...]) -> Column:
+    """Tokens as structs (token, tag, kind, attrs, cls, elem_id); the last three of elements only."""
+    rows = F.transform(tokens, lambda t: F.struct(t.alias("token"), tag_name(t).alias("tag")))
+    named = lambda e, *names: [e[n].alias(n) for n in names]
+    rows = F.transform(
+        rows, lambda e: F.struct(*named(e, "token", "tag"), token_kind(e["token"], e["tag"], opaque).alias("kind"))
     )
-    part = F.when(F.col("kind") == "void", F.array().cast("array<string>")).otherwise(part)
-    return (
-        joined.withColumn(name, F.array_join(F.transform(part, strip), ""))
-        .withColumn(f"raw_{name}", F.array_join(part, ""))
-        .withColumn(f"spaced_{name}", F.array_join(part, " "))
-        .withColumn(
-            f"up_{name}",
-            F.when(
-                ~F.col("up_1.tag").isin(*TEXTLESS_PARENTS) & wanted,
-                span_text(F.col("texts"), F.col("up_1.texts_before"), F.col("up_1.texts_end")),
-            ),
-        )
-        .drop("texts")
+    attrs = lambda e: F.when(e["kind"].isin("open", "void"), attribute_map(e["token"]))
+    rows = F.transform(rows, lambda e: F.struct(*named(e, "token", "tag", "kind"), attrs(e).alias("attrs")))
+    return F.transform(
+        rows,
+        lambda e: F.struct(
+            *named(e, "token", "tag", "kind", "attrs"),
+            F.when(e["attrs"].isNotNull(), class_text(e["attrs"])).alias("cls"), attribute(e["attrs"], "id").alias("elem_id"),
+        ),
     )
 
 
-def span_text(texts: Column, before: Column, end: Column) -> Column:
-    """Stripped text of a span given by text ordinals."""
-    part = F.slice(texts, before + 1, F.greatest(end - before, F.lit(0)))
-    return F.array_join(F.transform(part, strip), "")
-
-
 def element_nodes(
     captures: DataFrame,
     key: str = "capture_id",
     html: str = "html",
     opaque: tuple[str, ...] = STRUCTURE_OPAQUE,
     levels: int = 3,
-    areas: dict[str, Column] | None = None,
+    areas: dict[str, Flag] | None = None,
     counted: tuple[str, ...] = (),
-    parent_text_for: Column | None = None,
+    parent_text_for: Callable[[Column], Column] | None = None,
+    texts: tuple[str, ...] = ("text",),
+    latest: dict[str, Flag] | None = None,
+    following: dict[str, Flag] | None = None,
+    refs: Callable[[Column], Column] | None = None,
+    said: dict[str, tuple[str, Callable[[Column], Column]]] | None = None,
+    family_has: dict[str, tuple] | None = None,
+    roots: tuple[str, str, tuple[str, ...]] | None = None,
+    up_fields: tuple[str, ...] = UP_FIELDS,
+    carry: tuple[str, ...] = (),
+    whole: bool = False,
 ) -> DataFrame:
-    """Nodes with text, ancestors and the number of enclosing elements per area.
-
-    Areas always counted: body, form, header, footer, nav, label.
+    """Elements and non-blank text runs (or ``whole``: all tokens) with text, depth and nearest ancestors.
+
+    Adds attrs, cls, elem_id, depth, children (elements right below) and up_1..up_<levels>: struct(idx,
+    end_idx, tag, cls, style, role, texts_before, texts_end) of the parent, its parent, and so on (NULL above
+    the root), and per area in_<area>, the number of enclosing elements for which it holds; body, form,
+    header, footer, nav and label are always counted. A flag is a tag, several, or a test of an element's struct.
+
+    ``texts``: "text" (stripped pieces of the subtree joined without a separator), "raw_text", "spaced_text".
+    ``up_text`` is the parent's text of the nodes where ``parent_text_for`` holds. last_<name> is the latest
+    element of ``latest`` before a node that is still open, next_<name> the next one of ``following``; with
+    ``refs`` ref_before and ref_first are the labels with the same reference (the last before, the first in the
+    same form), sib, sib_wide and sib_said what stands beside a field, next_sib the next element beside one. ``said`` adds texts of such places,
+    ``family_has`` whether a sibling passes a test (for the nodes of a second one; "before": an earlier sibling), ``carry`` columns of the
+    captures. ``roots`` (inside, otherwise, without): is_root marks the elements right below ``inside``, or on
+    pages without one below ``otherwise`` or nothing, last_root is the latest of them that is still open.
+    ``seen``, ``seen_end`` count the tags of ``counted`` up to a node and to its end.
+
+    A page is taken apart as one row of arrays, which are exploded once all this is known.
     """
-    spanned = spanned_tokens(token_table(captures, key, html, opaque, counted), key)
-    flags = {tag: F.col("tag") == tag for tag in ("body", "form", "header", "footer", "nav", "label")}
-    keep = ("seen", "seen_end") if counted else ()
-    nodes = node_table(spanned, key, levels, keep=keep, areas={**flags, **(areas or {})})
-    return with_text(nodes, page_texts(captures, key, html, opaque), key, parent_text_for=parent_text_for)
+    areas = {**{tag: tag for tag in ("body", "form", "header", "footer", "nav", "label")}, **(areas or {})}
+    latest, following = latest or {}, following or {}
+    specs = {**{f"in {n}": f for n, f in areas.items()}, **{f"last {n}": f for n, f in latest.items()}, **{f"next {n}": f for n, f in following.items()}}
+    tests = [name for name, flag in specs.items() if callable(flag)]
+    tags = lambda flag: None if callable(flag) else ((flag,) if isinstance(flag, str) else tuple(flag))
+    shape = {
+        "known": _families_known(), "inline": tuple(INLINE_TAGS), "blocks": tuple(BLOCK_TAGS), "levels": levels, "counted": tuple(counted),
+        "flags": {name: (tags(flag), tests.index(name) if callable(flag) else 0) for name, flag in specs.items()},
+        "areas": list(areas), "latest": list(latest), "following": list(following), "refs": refs is not None, "roots": roots,
+    }
+    return _nodes(
+        _page_arrays(captures, key, html, opaque, [specs[n] for n in tests], refs, carry, shape),
+        key, shape, texts, parent_text_for, said or {}, family_has or {}, up_fields, carry, whole,
+    )
+
+
+def _page_arrays(
+    captures: DataFrame, key: str, html: str, opaque: tuple[str, ...], tests: list, refs, carry: tuple[str, ...], shape: dict
+) -> DataFrame:
+    """One row per capture: key, ``carry``, arrays of elements, tree places, texts and stripped texts."""
+    base = by_capture(captures.select(key, *carry, F.coalesce(html, F.lit("")).alias("_html")), key)
+    base = base.select(key, *carry, token_array(F.col("_html"), opaque).alias("_tokens"))
+    base = base.select(key, *carry, _elements(F.col("_tokens"), opaque).alias("_els"))
+    is_element = lambda e: e["kind"].isin("open", "void")
+    bit = lambda e, k: F.when(F.coalesce(tests[k](e), F.lit(False)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
+    mask = lambda e: F.when(is_element(e), sum((bit(e, k) for k in range(1, len(tests))), bit(e, 0))).otherwise(F.lit(0).cast("long"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    full = lambda e: F.when(blank(e["token"]), "#blank").when(strip(decode_entities(e["token"])) == "", "#empty").otherwise("#said")
+    marks = F.transform("_els", lambda e: F.concat_ws(" ", e["kind"], F.when(e["kind"] == "text", full(e)).otherwise(e["tag"])))
+    masks = F.transform("_els", mask) if tests else none("long")
+    names = F.transform("_els", refs) if refs else none("string")
+
+    def trees(marks: pa.Array, masks: pa.Array, refs: pa.Array) -> pa.Array:
+        return page_tree.page_trees(marks, masks, refs, shape)
+
+    fields = ", ".join(f"{name}: int" for name in page_tree.fields_of(shape))
+    base = base.withColumn("_tree", F.arrow_udf(trees, f"array<struct<{fields}>>")(marks, masks, names))
+    raw = F.transform(F.filter("_els", lambda e: e["kind"] == "text"), lambda e: decode_entities(e["token"]))
+    pages = base.select(key, *carry, "_els", "_tree", raw.alias("_texts"))
+    return pages.select("*", F.transform("_texts", strip).alias("_strip"))
+
+
+def _nodes(
+    pages: DataFrame, key: str, shape: dict, texts: tuple[str, ...], parent_text_for, said: dict, family_has: dict,
+    up_fields: tuple[str, ...], carry: tuple[str, ...], whole: bool,
+) -> DataFrame:
+    """The arrays of a page as rows of nodes."""
+    element_at = lambda i: F.get("_els", i)
+    tree_at = lambda i: F.get("_tree", i)
+
+    def span(array: str, t: Column, joiner: str) -> Column:
+        length = F.greatest(F.coalesce(t["te"], t["tb"] + 1) - t["tb"], F.lit(0))
+        return F.array_join(F.slice(F.col(array), t["tb"] + 1, length), joiner)
+
+    forms = {"text": ("_strip", ""), "raw_text": ("_texts", ""), "spaced_text": ("_texts", " ")}
+    counts = lambda t, side: F.struct(*[t[f"{side}_{name}"].alias(name) for name in shape["counted"]])
+    counted = lambda t: [counts(t, "seen").alias("seen"), counts(t, "ended").alias("seen_end")] if shape["counted"] else []
+
+    def offer(at: Column) -> Column:
+        e, t = element_at(at), tree_at(at)
+        style, role = (F.coalesce(attribute(e["attrs"], name), F.lit("")) for name in ("style", "role"))
+        offered = dict(zip(UP_FIELDS, (at, t["end"], e["tag"], e["cls"], style, role, t["tb"], t["te"])))
+        if shape["counted"]:
+            offered |= {"seen": counts(t, "seen"), "seen_end": counts(t, "ended")}
+        return F.when(at.isNotNull(), F.struct(*[offered[name].alias(name) for name in up_fields]))
+
+    plain = ["children", *[f"in_{n}" for n in shape["areas"]], *[f"last_{n}" for n in shape["latest"]], *[f"next_{n}" for n in shape["following"]]]
+    plain += ["ref_before", "ref_first", "sib", "sib_wide", "sib_said", "next_sib"] if shape["refs"] else []
+    plain += ["is_root", "last_root"] if shape["roots"] else []
+    names = ("kind", "tag", "token", "attrs", "cls", "elem_id")
+
+    def node(n: Column) -> Column:
+        e, t = n["e"], n["t"]
+        return F.struct(
+            n["idx"].alias("idx"), t["end"].alias("end_idx"), *[e[name].alias(name) for name in names], t["depth"].alias("depth"),
+            t["tb"].alias("texts_before"), t["te"].alias("texts_end"), (t["leaf"] == 1).alias("leaf"),
+            *[offer(t[f"up_{k}"]).alias(f"up_{k}") for k in range(1, shape["levels"] + 1)],
+            *[t[name].alias(name) for name in plain], *counted(t),
+            *[span(forms[name][0], t, forms[name][1]).alias(name) for name in texts],
+        )
+
+    rows = F.transform("_tree", lambda t, i: F.struct(i.alias("idx"), t.alias("t"), element_at(i).alias("e")))
+    if not whole:
+        rows = F.filter(rows, lambda n: n["e"]["kind"].isin("open", "void") | ((n["e"]["kind"] == "text") & ~blank(n["e"]["token"])))
+    rows = F.transform(rows, node)
+    # What looks at a node's own text or at other places comes after it is a struct.
+    places = {name: lambda n, at=at, when=when: F.when(when(n), span("_strip", tree_at(n[at]), "")) for name, (at, when) in said.items()}
+    if parent_text_for is not None:
+        up = lambda n: tree_at(n["up_1"]["idx"])
+        places["up_text"] = lambda n: F.when(
+            ~n["up_1"]["tag"].isin(*TEXTLESS_PARENTS) & parent_text_for(n), span("_strip", up(n), "")
+        )
+    if family_has:
+        pages = pages.select("*", rows.alias("_rows"))
+        parent = lambda n: F.coalesce(n["up_1"]["idx"], F.lit(-1))
+        kin = lambda n: F.struct(parent(n).alias("up"), n["idx"].alias("idx"))
+        found = [F.transform(F.filter("_rows", test), kin).alias(f"_of_{name}") for name, (test, *_) in family_has.items()]
+        pages, rows = pages.select("*", *found), F.col("_rows")
+
+        def related(name: str, when, *side: str):
+            beside = lambda n: F.array_contains(F.col(f"_of_{name}")["up"], parent(n))
+            before = lambda n: F.exists(f"_of_{name}", lambda m: (m["up"] == parent(n)) & (m["idx"] < n["idx"]))
+            return lambda n: when(n) & (before(n) if side else beside(n))
+
+        places |= {name: related(name, *rest) for name, (_, *rest) in family_has.items()}
+    if places:
+        rows = F.transform(rows, lambda n: F.struct(n.alias("n"), *[make(n).alias(name) for name, make in places.items()]))
+    # The outer form keeps the optimiser from testing the array (a second pass) in a filter of its own.
+    out = pages.select(key, *carry, F.explode_outer(rows).alias("_n"))
+    if places:
+        out = out.select(key, *carry, "_n.n.*", *[f"_n.{name}" for name in places])
+    else:
+        out = out.select(key, *carry, "_n.*")
+    return out.filter(F.col("idx").isNotNull())
 
 
 def carried(rows: DataFrame, name: str, condition: Column, value: Column, key: str = "capture_id") -> DataFrame:

@@ -55,8 +55,7 @@ def structure_documents(captures: DataFrame, site_role: str = "rival") -> DataFr
     key = "capture_id"
     sections = structure.page_structures(structure.page_sections(structure.structure_nodes(captures))).drop("hash")
     points = nested_points(conversion.cv_points(cut_lineage(conversion.conversion_nodes(captures))))
-    nodes = cut_lineage(forms.form_nodes(captures))
-    found = nested_forms(forms.form_table(nodes).unionByName(forms.implicit_forms(nodes), allowMissingColumns=True))
+    found = nested_forms(forms.all_forms(forms.form_nodes(captures)))
     rows = captures.select(key, "page_id", "captured_at")
     for part in (sections, points, found):
         rows = rows.join(part, key, "left")
