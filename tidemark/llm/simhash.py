@@ -127,7 +127,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) ->
     variants = signatures(distinct.repartition(tasks, F.xxhash64("fp")))
     sizes = variants.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     chunks = F.ceil(F.col("members") / chunk).cast("int")
-    members = variants.join(sizes, "sig").select("sig", "fp", chunks.alias("chunks"))
+    # Spark sizes the exploded variants as hardly more than the fingerprints and would broadcast them.
+    members = variants.hint("merge").join(sizes, "sig").select("sig", "fp", chunks.alias("chunks"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     members = members.withColumn("own", own).select(
         "sig", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
