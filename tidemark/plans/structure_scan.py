@@ -57,8 +57,10 @@ def structure_documents(captures: DataFrame, site_role: str = "rival") -> DataFr
     points = nested_points(conversion.cv_points(cut_lineage(conversion.conversion_nodes(captures))))
     found = nested_forms(forms.all_forms(forms.form_nodes(captures)))
     rows = captures.select(key, "page_id", "captured_at")
+    # Spark sizes a part by the table that the pages come from, far below its nested rows, and would
+    # broadcast it; the parts lie by capture already.
     for part in (sections, points, found):
-        rows = rows.join(part, key, "left")
+        rows = rows.join(part.hint("merge"), key, "left")
     rows = rows.select(
         F.col(key).alias("id"), F.lit(site_role).alias("site_role"), "page_id", "captured_at",
         F.coalesce("summary", F.expr(NO_SUMMARY)).alias("summary"), _or_none("sections", schemas.SECTION),
