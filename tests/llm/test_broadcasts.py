@@ -19,7 +19,7 @@ def test_variants_of_fingerprints_are_not_broadcast(spark):
     assert "Broadcast" not in executed_plan(found)
 
 
-def test_near_dedup_of_the_pipeline_does_not_broadcast_variants(spark, monkeypatch):
+def test_near_dedup_of_the_pipeline_does_not_broadcast_variants(spark, monkeypatch, tmp_path):
     plans, roots = [], simhash.component_roots
 
     def seen(edges):
@@ -30,7 +30,8 @@ def test_near_dedup_of_the_pipeline_does_not_broadcast_variants(spark, monkeypat
     monkeypatch.setattr(simhash, "component_roots", seen)
     texts = [" ".join(f"w{i * j % 97}" for j in range(1, 30)) for i in range(1, 60)]
     rows = [(i, text, "en", "web", len(text)) for i, text in enumerate(texts + texts[:20])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
     kept = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()}
     assert kept == set(range(59))
     assert len(plans) == 1 and "Broadcast" not in plans[0]
